@@ -1,5 +1,7 @@
 """Lookups into small tables whose size is checked, with a shuffle join beyond the bound."""
 
+import json
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Largest table that may be sent to every executor.
 MAX_LOOKUP_ROWS = 200_000
+# Largest table that may be written into a plan as a constant.
+MAX_LITERAL_ROWS = 50_000
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> bool:
@@ -22,36 +26,29 @@ def lookup_join(
 
 
 def lookup_column(
-    table: DataFrame, key: str, value: str, max_rows: int = MAX_LOOKUP_ROWS
+    table: DataFrame, key: str, value: str, max_rows: int = MAX_LITERAL_ROWS
 ) -> Callable[[Column], Column] | None:
     """A function `Column -> Column` that looks a key up in `table`, or None beyond the bound.
 
-    The table becomes one value, an array of small maps addressed by the key's hash, read
-    once as a scalar subquery. It can be used inside array functions and on streams, and needs
-    neither a shuffle nor a Python worker. Equal keys keep their smallest value.
+    The table becomes one constant: an array of small maps addressed by the key's hash. It can be
+    used inside array functions and on streams, and needs neither a shuffle nor a Python worker.
+    Equal keys keep their smallest value.
     """
-    rows = table.select(key, value).limit(max_rows + 1).count()
-    if rows > max_rows:
-        return None
-    buckets = max(16, 1 << rows.bit_length())
-    slot = F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")
-    entries = (
-        table.select(F.col(key).alias("k"), F.col(value).alias("v"))
-        .where(F.col("k").isNotNull())
-        .groupBy("k")
-        .agg(F.min("v").alias("v"))
-        .groupBy(slot.alias("slot"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    )
-    filled = table.sparkSession.range(buckets).select(F.col("id").cast("int").alias("slot"))
-    packed = (
-        filled.join(entries, "slot", "left")
-        .agg(F.array_sort(F.collect_list(F.struct("slot", "m"))).alias("s"))
-        .select(F.transform("s", lambda x: x["m"]).alias("maps"))
-        .scalar()
+    pairs = table.select(F.col(key).alias("k"), F.col(value).alias("v")).where(F.col("k").isNotNull())
+    rows = (
+        pairs.groupBy("k").agg(F.min("v").alias("v")).limit(max_rows + 1).select(F.to_json(F.struct("k", "v"))).collect()
     )
+    if len(rows) > max_rows:
+        return None
+    size = max(16, 1 << len(rows).bit_length())
+    maps: list[dict] = [{} for _ in range(size)]
+    for (text,) in rows:
+        pair = json.loads(text)
+        maps[zlib.crc32(pair["k"].encode()) % size][pair["k"]] = pair.get("v")
+    kind = pairs.schema["v"].dataType.simpleString()
+    packed = F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>")
 
     def lookup(term: Column) -> Column:
-        return F.get(packed, F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int"))[term]
+        return F.get(packed, F.pmod(F.crc32(term), F.lit(size)).cast("int"))[term]
 
     return lookup
