@@ -13,16 +13,21 @@ MAX_LOOKUP_ROWS = 200_000
 MAX_LITERAL_ROWS = 50_000
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> bool:
-    """True if `df` has at most `max_rows` rows; reads at most one row more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small_copy(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame | None:
+    """`df` as a local table if it has at most `max_rows` rows, else None.
+
+    Computes `df` once, and reads at most one row more than the bound.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= max_rows else None
 
 
 def lookup_join(
     df: DataFrame, table: DataFrame, on, how: str = "left", max_rows: int = MAX_LOOKUP_ROWS
 ) -> DataFrame:
     """Join to a lookup table: broadcast if its size allows, else a shuffle join (split by AQE)."""
-    return df.join(F.broadcast(table) if is_small(table, max_rows) else table, on, how)
+    small = small_copy(table, max_rows)
+    return df.join(table if small is None else F.broadcast(small), on, how)
 
 
 def lookup_column(

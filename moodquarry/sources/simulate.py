@@ -1,0 +1,48 @@
+"""Made-up posts from a stream or table of numbers, repeatable."""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# The three kinds of post, their text, and the number of authors.
+TWITTER_TEXT = "Sample tweet about {topic}"
+REDDIT_TEXT = "Reddit post in r/{topic} about sentiment analysis"
+NEWS_TEXT = "Breaking news: Technology advances in AI and machine learning"
+AUTHORS = {"twitter": ("user_", 1000), "reddit": ("redditor_", 500)}
+COUNT_BOUNDS = {"twitter": (100, 500), "reddit": (1000, 0), "news": (0, 0)}
+
+
+def _filled(template: str, topic: Column) -> Column:
+    before, mark, after = template.partition("{topic}")
+    return F.concat(F.lit(before), topic, F.lit(after)) if mark else F.lit(before)
+
+
+def _count(value: Column, bound: int, salt: str) -> Column:
+    """A number from 0 to bound - 1 that depends only on the value."""
+    if not bound:
+        return F.lit(0).cast("long")
+    digits = F.substring(F.md5(F.concat(F.lit(salt), value.cast("string"))), 1, 8)
+    return F.conv(digits, 16, 10).cast("long") % bound
+
+
+def simulate_posts(df: DataFrame, kind: str, topics: list[str]) -> DataFrame:
+    """Posts of one kind from rows with `value` and `timestamp`, such as a rate stream."""
+    value = F.col("value")
+    topic = F.element_at(F.array(*[F.lit(t) for t in topics]), (F.pmod(value, F.lit(len(topics))) + 1).cast("int"))
+    prefix = {"twitter": "tweet_", "reddit": "reddit_", "news": "news_"}[kind]
+    if kind == "news":
+        author = topic
+    else:
+        name, count = AUTHORS[kind]
+        author = F.concat(F.lit(name), F.pmod(value, F.lit(count)).cast("string"))
+    text = {"twitter": TWITTER_TEXT, "reddit": REDDIT_TEXT, "news": NEWS_TEXT}[kind]
+    retweets, likes = COUNT_BOUNDS[kind]
+    return df.select(
+        F.concat(F.lit(prefix), value.cast("string")).alias("tweet_id"),
+        _filled(text, topic).alias("text"),
+        author.alias("author_id"),
+        F.col("timestamp").alias("created_at"),
+        _count(value, retweets, "r").alias("retweet_count"),
+        _count(value, likes, "l").alias("like_count"),
+        (F.lit(",".join(topics)) if kind == "twitter" else topic).alias("keywords"),
+        F.lit(kind).alias("source"),
+    )
