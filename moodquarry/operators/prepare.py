@@ -10,7 +10,7 @@ from moodquarry.functions.labels import (
 )
 from moodquarry.functions.text import strip, text_hash
 from moodquarry.operators.tables import dedup_key
-from moodquarry.plans.lookup import small_copy
+from moodquarry.plans.lookup import lookup_join
 
 # Shares, smallest class and seed of the two split rules.
 SPLIT_70 = {"ratios": (0.7, 0.15), "min_class": 10}
@@ -87,6 +87,55 @@ def _place(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
+def _split_at(
+    df: DataFrame, label: str, key: str, shares: dict[str, float], last: str, min_class: int, seed: int, mode: str
+) -> DataFrame:
+    """Add split. `shares` holds the parts in order with the share of rows up to their end; the rest is `last`.
+
+    No class is ever sorted: its rows are counted in hash ranges, only the ranges that hold a cut
+    are ranked, and every row is then compared to the few cut places of its class.
+    """
+    placed = df.where(F.col(label).isNotNull()).withColumn("_place", _place(key, seed))
+    split = None
+    if mode == "hash":
+        position = F.conv(F.substring("_place", 1, 8), 16, 10).cast("double") / float(1 << 32)
+        for part, share in shares.items():
+            split = F.when(position < share, part) if split is None else split.when(position < share, part)
+        return placed.withColumn("split", split.otherwise(last)).drop("_place")
+    bucket = F.conv(F.substring("_place", 1, 4), 16, 10).cast("int")
+    narrow = placed.select(F.col(label).alias("_label"), "_place", bucket.alias("_bucket"))
+    # At most RANGES rows per class.
+    counts = narrow.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = W.partitionBy("_label").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.withColumns(
+        {"_upto": F.sum("_n").over(ordered), "_total": F.sum("_n").over(W.partitionBy("_label"))}
+    )
+    small = F.col("_total") < min_class
+    wanted = [
+        F.struct(
+            F.lit(part).alias("part"),
+            F.when(small, F.col("_total")).otherwise(F.floor(F.col("_total") * share)).cast("bigint").alias("want"),
+        )
+        for part, share in shares.items()
+    ]
+    before = (F.col("_upto") - F.col("_n")).alias("_before")
+    cuts = counts.select("_label", "_bucket", before, "_upto", F.explode(F.array(*wanted)).alias("c"))
+    cuts = cuts.select("_label", "_bucket", "_before", "_upto", "c.*")
+    cuts = cuts.where((F.col("want") > F.col("_before")) & (F.col("want") <= F.col("_upto"))).drop("_upto")
+    # The ranked rows are one of RANGES parts of a class.
+    rank = F.row_number().over(W.partitionBy("_label", "part").orderBy("_place"))
+    edges = lookup_join(narrow, cuts, ["_label", "_bucket"], "inner").withColumn("_rank", rank + F.col("_before"))
+    edges = edges.where(F.col("_rank") == F.col("want")).groupBy(F.col("_label").alias(label)).agg(
+        *[F.max(F.when(F.col("part") == part, F.col("_place"))).alias(f"_{part}") for part in shares]
+    )
+    # A part without rows has no cut place, and no place is below ''.
+    for part in shares:
+        inside = F.col("_place") <= F.coalesce(f"_{part}", F.lit(""))
+        split = F.when(inside, part) if split is None else split.when(inside, part)
+    out = lookup_join(placed, edges, label, "left")
+    return out.select(*df.columns, split.otherwise(last).alias("split"))
+
+
 def stratified_split(
     df: DataFrame,
     label: str,
@@ -96,62 +145,20 @@ def stratified_split(
     seed: int = SEED,
     mode: str = "exact",
 ) -> DataFrame:
-    """Add split: train, val or test. Rows without a label are dropped.
+    """Add split: train, val or test. Rows without a label are dropped; `key` must be unique.
 
-    exact: of n rows of a class in the order of their places, the first int(n * r1) train, up to
-    int(n * (r1 + r2)) validate, the rest test; a class below `min_class` only trains. `key` must
-    be unique. No class is ever sorted: its rows are counted in hash ranges, only the two ranges
-    that hold a cut are ranked, and every row is then compared to the two cut places.
-    hash: a row goes by its own place, sizes are approximate, and nothing is counted.
+    exact: of the n rows of a class in the order of their places, the first int(n * r1) train, up
+    to int(n * (r1 + r2)) validate, the rest test; a class below `min_class` only trains.
+    hash: each row goes by its own place, so sizes are approximate and nothing is counted.
     """
-    first, second = ratios[0], ratios[0] + ratios[1]
-    placed = df.where(F.col(label).isNotNull()).withColumn("_place", _place(key, seed))
-    if mode == "hash":
-        part = F.conv(F.substring("_place", 1, 8), 16, 10).cast("double") / float(1 << 32)
-        split = F.when(part < first, "train").when(part < second, "val").otherwise("test")
-        return placed.withColumn("split", split).drop("_place")
-    bucket = F.conv(F.substring("_place", 1, 4), 16, 10).cast("int")
-    narrow = placed.select(F.col(label).alias("_label"), "_place", bucket.alias("_bucket"))
-    counts = narrow.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    # At most RANGES rows per class.
-    upto = W.partitionBy("_label").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(W.partitionBy("_label")))
-    small = F.col("total") < min_class
-    wanted = {
-        "train": F.when(small, F.col("total")).otherwise(F.floor(F.col("total") * first)),
-        "val": F.when(small, F.col("total")).otherwise(F.floor(F.col("total") * second)),
-    }
-    cuts = counts.select(
-        "_label", "_bucket", F.col("upto").alias("_upto"), F.col("n").alias("_n"),
-        F.explode(
-            F.array(*[F.struct(F.lit(s).alias("part"), n.cast("bigint").alias("want")) for s, n in wanted.items()])
-        ).alias("c"),
-    ).select("_label", "_bucket", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", "c.*")
-    cuts = cuts.where((F.col("want") > F.col("_before")) & (F.col("want") <= F.col("_upto")))
-    held = small_copy(cuts)
-    cuts = cuts if held is None else F.broadcast(held)
-    # One range in RANGES of each class, at most two.
-    rank = F.row_number().over(W.partitionBy("_label", "part").orderBy("_place"))
-    edges = narrow.join(cuts, ["_label", "_bucket"]).withColumn("_rank", rank + F.col("_before"))
-    edges = edges.where(F.col("_rank") == F.col("want")).groupBy("_label").agg(
-        *[F.max(F.when(F.col("part") == s, F.col("_place"))).alias(f"_{s}") for s in wanted]
-    )
-    held = small_copy(edges)
-    edges = edges if held is None else F.broadcast(held)
-    # No place is a hash, so '' keeps a class with no row up to a cut out of that part.
-    split = (
-        F.when(F.col("_place") <= F.coalesce("_train", F.lit("")), "train")
-        .when(F.col("_place") <= F.coalesce("_val", F.lit("")), "val")
-        .otherwise("test")
-    )
-    out = placed.join(edges, F.col(label) == F.col("_label"), "left").withColumn("split", split)
-    return out.drop("_place", "_label", "_train", "_val")
+    shares = {"train": ratios[0], "val": ratios[0] + ratios[1]}
+    return _split_at(df, label, key, shares, "test", min_class, seed, mode)
 
 
 def random_split(df: DataFrame, ratio: float = 0.9, key: str = "text_hash", seed: int = SEED, mode: str = "exact") -> DataFrame:
-    """Add split: int(n * ratio) rows train and the others validate."""
+    """Add split: int(n * ratio) rows train and the others validate; `key` must be unique."""
     whole = df.withColumn("_all", F.lit("all"))
-    return stratified_split(whole, "_all", key, (ratio, 1.0 - ratio + 1e-9), 0, seed, mode).drop("_all")
+    return _split_at(whole, "_all", key, {"train": ratio}, "val", 0, seed, mode).drop("_all")
 
 
 def split_metadata(df: DataFrame, sources: DataFrame | None = None) -> DataFrame:
