@@ -24,7 +24,7 @@ def job_metrics(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     seconds = (F.unix_micros(end) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
     return df.withColumns(
         {
-            "progress_percent": F.coalesce(F.least(F.lit(100), done), F.lit(0)),
+            "progress_percent": F.least(F.lit(100), F.coalesce(done, F.lit(0))),
             "duration_seconds": seconds,
         }
     ).withColumn(

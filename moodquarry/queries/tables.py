@@ -44,7 +44,7 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return (
         e.withColumn("k", k)
-        .withColumn("compound_score", (F.col("k") - 50) / F.lit(50.0))
+        .withColumn("compound_score", (F.col("k") - 50) / F.lit(51.0))
         .select(
             F.col("event_id").cast("string").alias("tweet_id"),
             F.concat(F.lit("post on "), "event_type", F.lit(" about "), F.col("k").cast("string")).alias("text"),
@@ -55,7 +55,7 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
             compound_to_label(F.col("compound_score")).alias("sentiment"),
             "compound_score",
             F.nullif("event_type", F.lit("error")).alias("primary_emotion"),
-            (F.col("k") / F.lit(100.0)).alias("confidence"),
+            (F.col("k") / F.lit(101.0)).alias("confidence"),
             F.lit("lexicon").alias("model_used"),
             F.concat("event_type", F.lit(",k"), (F.col("k") % 10).cast("string")).alias("keywords"),
             F.element_at(
@@ -133,9 +133,9 @@ def models(spark: SparkSession, sf: str) -> DataFrame:
         F.col("s_name").alias("name"),
         F.concat(F.lit("1."), F.col("s_suppkey").cast("string")).alias("version"),
         F.lit("two heads").alias("architecture"),
-        (F.col("s_acctbal") / 20000 + 0.5).alias("accuracy"),
-        (F.col("s_acctbal") / 20000).alias("f1_macro"),
-        F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal") / 10000).alias("f1_weighted"),
+        (F.col("s_acctbal") / 30000 + 0.5).alias("accuracy"),
+        (F.col("s_acctbal") / 30000).alias("f1_macro"),
+        F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal") / 15000).alias("f1_weighted"),
         (F.col("s_suppkey") % 2 == 0).alias("is_production"),
         F.when(F.col("s_nationkey") < 20, F.col("s_nationkey")).alias("training_dataset_id"),
     )
@@ -239,9 +239,9 @@ PARTS: dict[str, str] = {
     "posts": f"""
         SELECT CAST(event_id AS VARCHAR) AS tweet_id, 'post on ' || event_type || ' about ' || k AS text,
                'user_' || user_id AS author_id, ts AS created_at, CAST(floor(value) AS BIGINT) AS retweet_count,
-               CAST(k AS BIGINT) AS like_count, {sql_label('((k - 50) / 50.0)')} AS sentiment,
-               CAST((k - 50) / 50.0 AS DOUBLE) AS compound_score, nullif(event_type, 'error') AS primary_emotion,
-               CAST(k / 100.0 AS DOUBLE) AS confidence, 'lexicon' AS model_used,
+               CAST(k AS BIGINT) AS like_count, {sql_label('((k - 50) / 51.0::DOUBLE)')} AS sentiment,
+               (k - 50) / 51.0::DOUBLE AS compound_score, nullif(event_type, 'error') AS primary_emotion,
+               k / 101.0::DOUBLE AS confidence, 'lexicon' AS model_used,
                event_type || ',k' || (k % 10) AS keywords,
                CASE user_id % 3 WHEN 0 THEN 'twitter' WHEN 1 THEN 'reddit' ELSE 'news' END AS source,
                CASE k % 10 WHEN 0 THEN '[]' WHEN 1 THEN NULL
@@ -272,8 +272,8 @@ PARTS: dict[str, str] = {
         UNION ALL SELECT 'p' || page_id, url || ' ' || html FROM pages
         UNION ALL SELECT 'c' || conv_id || '.' || turn, text FROM conversations""",
     "models": """
-        SELECT s_name AS name, '1.' || s_suppkey AS version, 'two heads' AS architecture, s_acctbal / 20000 + 0.5 AS accuracy,
-               s_acctbal / 20000 AS f1_macro, CASE WHEN s_acctbal >= 0 THEN s_acctbal / 10000 END AS f1_weighted,
+        SELECT s_name AS name, '1.' || s_suppkey AS version, 'two heads' AS architecture, s_acctbal / 30000 + 0.5 AS accuracy,
+               s_acctbal / 30000 AS f1_macro, CASE WHEN s_acctbal >= 0 THEN s_acctbal / 15000 END AS f1_weighted,
                s_suppkey % 2 = 0 AS is_production, CASE WHEN s_nationkey < 20 THEN s_nationkey END AS training_dataset_id
         FROM supplier""",
     "datasets": "SELECT n_nationkey AS id, n_name AS name, CAST(n_nationkey * 1000 AS INT) AS total_samples FROM nation",
@@ -304,7 +304,7 @@ PARTS: dict[str, str] = {
 NEEDS = {"posts": ["posts0"], "analyses": ["posts"], "analysed": ["posts"], "lexicon": ["lex0"], "emolex": ["lex0"]}
 
 
-def sql(parts: str, body: str, **more: str) -> str:
+def sql(parts: str, body: str, /, **more: str) -> str:
     """`body` with the named stand-ins (blank-separated) and then `more` as subqueries before it."""
     order: list[str] = []
 
@@ -318,4 +318,4 @@ def sql(parts: str, body: str, **more: str) -> str:
         add(name)
     ctes = [f"{n} AS MATERIALIZED ({PARTS[n]})" if n in ("lex0",) else f"{n} AS ({PARTS[n]})" for n in order]
     ctes += [f"{n} AS ({text})" for n, text in more.items()]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+    return "WITH " + ",\n".join(ctes) + "\n" + body
