@@ -101,9 +101,9 @@ def _emphasis(clean: Column) -> Column:
     )
 
 
-def _with_words(df: DataFrame, text: str) -> DataFrame:
+def _with_words(df: DataFrame, text: str, max_len: int | None) -> DataFrame:
     return (
-        df.withColumn("_clean", clean_text(text))
+        df.withColumn("_clean", clean_text(text, max_len))
         .withColumn("_words", split_words(F.col("_clean")))
         .withColumn("_lows", F.transform("_words", F.lower))
         .withColumn("_but", F.array_position("_lows", F.lit("but")))
@@ -180,16 +180,18 @@ def add_sentiment(
     key: str | None = None,
     alpha: float = ALPHA,
     rules: dict | None = None,
+    max_len: int | None = None,
     max_literal: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
     """All columns of `df` plus the columns SCORES.
 
     `lexicon` has the columns term and valence. `key`, unique in `df`, is needed only for a
     lexicon of more than `max_literal` terms. Empty text is neutral with pos, neg and compound 0.
+    Whole texts are scored unless `max_len` cuts the cleaned text.
     """
     rules = rules or RULES
     kept = df.columns
-    df = _with_words(df, text)
+    df = _with_words(df, text, max_len)
     lookup = lookup_column(word_roles(lexicon, rules), "term", "role", max_literal)
     if lookup is not None:
         df = _sums_in_row(df, lookup)
@@ -228,7 +230,12 @@ def score_sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame, alph
 
 
 def add_emotion(
-    df: DataFrame, text: str, lexicon: DataFrame, key: str | None = None, max_literal: int = MAX_LITERAL_ROWS
+    df: DataFrame,
+    text: str,
+    lexicon: DataFrame,
+    key: str | None = None,
+    max_len: int | None = None,
+    max_literal: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
     """All columns of `df` plus primary_emotion, emotion_confidence and the map emotion_scores.
 
@@ -241,7 +248,7 @@ def add_emotion(
         F.lower("term").alias("term"), "emotion", F.col("weight").cast("double").alias("weight")
     )
     by_term = terms.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("emotion", "weight"))).alias("found"))
-    df = df.withColumn("_clean", clean_text(text)).withColumn("_lows", F.transform(split_words(F.col("_clean")), F.lower))
+    df = df.withColumn("_words", split_words(clean_text(text, max_len))).withColumn("_lows", F.transform("_words", F.lower))
     lookup = lookup_column(by_term, "term", "found", max_literal)
     if lookup is not None:
         df = df.withColumn("_found", F.flatten(F.filter(F.transform("_lows", lookup), lambda x: x.isNotNull())))
@@ -280,10 +287,18 @@ def score_emotion(df: DataFrame, key: str, text: str, lexicon: DataFrame, **opti
     return scored.select(key, "primary_emotion", "emotion_confidence", "emotion_scores")
 
 
-def add_analysis(df: DataFrame, text: str, lexicons: tuple[DataFrame, DataFrame], key: str | None = None) -> DataFrame:
+def add_analysis(
+    df: DataFrame,
+    text: str,
+    lexicons: tuple[DataFrame, DataFrame],
+    key: str | None = None,
+    rules: dict | None = None,
+    max_len: int | None = None,
+) -> DataFrame:
     """Both lexicon scores side by side; `lexicons` are the sentiment and the emotion lexicon."""
-    scored = add_sentiment(df, text, lexicons[0], key).withColumnRenamed("confidence", "sentiment_confidence")
-    return add_emotion(scored, text, lexicons[1], key)
+    scored = add_sentiment(df, text, lexicons[0], key, rules=rules, max_len=max_len)
+    scored = scored.withColumnRenamed("confidence", "sentiment_confidence")
+    return add_emotion(scored, text, lexicons[1], key, max_len)
 
 
 def analyze_full(
@@ -292,10 +307,12 @@ def analyze_full(
     text: str,
     lexicons: tuple[DataFrame, DataFrame],
     model: Callable[[DataFrame], DataFrame] | None = None,
+    **options,
 ) -> DataFrame:
     """Full result per key. `model` maps (key, text) to (key, sentiment, compound, primary_emotion,
     confidence); rows it leaves out or null fall back to the lexicons."""
-    scored = add_analysis(df.select(key, text), text, lexicons, key).withColumnRenamed("emotion_confidence", "confidence")
+    scored = add_analysis(df.select(key, text), text, lexicons, key, **options)
+    scored = scored.withColumnRenamed("emotion_confidence", "confidence")
     scored = scored.withColumn("model_used", F.lit("lexicon"))
     if model is not None:
         own = ["sentiment", "compound", "primary_emotion", "confidence"]
@@ -308,13 +325,13 @@ def analyze_full(
         )
     return scored.select(
         key,
-        preview(clean_text(text), 200).alias("text"),
+        preview(clean_text(text, options.get("max_len")), 200).alias("text"),
         "sentiment", "compound", "pos", "neg", "neu", "primary_emotion", "confidence", "emotion_scores", "model_used",
     )
 
 
 def analyze_table(
-    df: DataFrame, key: str | None, text: str, lexicons: tuple[DataFrame, DataFrame], emotions: bool = True
+    df: DataFrame, key: str | None, text: str, lexicons: tuple[DataFrame, DataFrame], emotions: bool = True, **options
 ) -> DataFrame:
     """The input columns plus score columns; null text scores as empty text."""
     names = {
@@ -322,16 +339,18 @@ def analyze_table(
         "neg": "Negative_Score", "neu": "Neutral_Score",
     }
     if emotions:
-        scored = add_analysis(df, text, lexicons, key)
+        scored = add_analysis(df, text, lexicons, key, **options)
         names |= {"primary_emotion": "Primary_Emotion", "emotion_confidence": "Emotion_Confidence"}
     else:
-        scored = add_sentiment(df, text, lexicons[0], key)
+        scored = add_sentiment(df, text, lexicons[0], key, **options)
     return scored.select(*df.columns, *[F.col(c).alias(n) for c, n in names.items()])
 
 
-def score_guarded(df: DataFrame, text: str, lexicons: tuple[DataFrame, DataFrame], key: str | None = None) -> DataFrame:
+def score_guarded(
+    df: DataFrame, text: str, lexicons: tuple[DataFrame, DataFrame], key: str | None = None, **options
+) -> DataFrame:
     """Input columns plus the five stream columns; a blank text is neutral and names no model."""
-    scored = add_analysis(df, text, lexicons, key)
+    scored = add_analysis(df, text, lexicons, key, **options)
     blank = strip(F.coalesce(F.col(text), F.lit(""))) == ""
     return scored.select(
         *df.columns,
@@ -355,7 +374,7 @@ def map_back(df: DataFrame, text: str, scorer: Callable[[DataFrame, str, str], D
     `scorer(texts, key, text)` returns the key and the columns named in `defaults`, which hold
     for empty texts. Rows of one hot text meet one score row; AQE splits that join partition.
     """
-    keyed = df.withColumn("_clean", clean_text(text)).withColumn("_h", F.when(F.col("_clean") != "", F.md5("_clean")))
+    keyed = df.withColumn("_clean", clean_text(text, None)).withColumn("_h", F.when(F.col("_clean") != "", F.md5("_clean")))
     full = keyed.where(F.col("_h").isNotNull())
     texts = full.groupBy("_h").agg(F.any_value("_clean").alias("_clean"))
     scores = scorer(texts, "_h", "_clean").select("_h", *defaults)
@@ -378,7 +397,7 @@ def score_with_cache(
 
     `cache` has cache_key, `columns` and stored_at. Each missing text is scored once.
     """
-    keyed = df.withColumn("_clean", clean_text(text)).withColumn("cache_key", cache_key("_clean", kind))
+    keyed = df.withColumn("_clean", clean_text(text, None)).withColumn("cache_key", cache_key("_clean", kind))
     fresh = cache.where(F.col("stored_at") > as_of - F.make_interval(secs=F.lit(ttl_seconds)))
     fresh = fresh.groupBy("cache_key").agg(F.max_by(F.struct(*columns), "stored_at").alias("_r"))
     fresh = fresh.select("cache_key", "_r.*", F.lit(True).alias("from_cache"))

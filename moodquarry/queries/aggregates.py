@@ -325,7 +325,7 @@ def upsert_hourly(spark, sf):
     return T.upsert_hourly(old, hours(posts(spark, sf).where(F.col("created_at") >= stamp(START))))
 
 
-_EXISTING = "SELECT DISTINCT user_id, source FROM posts WHERE sentiment = 'neutral'"
+_EXISTING = "SELECT DISTINCT user_id, source FROM posts WHERE k = 50"
 
 
 @query(
@@ -337,9 +337,9 @@ _EXISTING = "SELECT DISTINCT user_id, source FROM posts WHERE sentiment = 'neutr
     ),
 )
 def insert_new(spark, sf):
-    p = posts(spark, sf).select("id", "user_id", "source", "sentiment")
-    have = p.where(F.col("sentiment") == "neutral").select("user_id", "source").distinct()
-    return T.insert_new(have, p.drop("sentiment"), ["user_id", "source"], "id")
+    p = posts(spark, sf).select("id", "user_id", "source", "k")
+    have = p.where(F.col("k") == 50).select("user_id", "source").distinct()
+    return T.insert_new(have, p.drop("k"), ["user_id", "source"], "id")
 
 
 @query(
