@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from moodquarry.functions.labels import EMOTIONS, compound_to_label
 from moodquarry.functions.text import cache_key, clean_text, preview, strip
-from moodquarry.plans.lookup import MAX_LITERAL_ROWS, lookup_column, lookup_join
+from moodquarry.plans.lookup import MAX_LITERAL_ROWS, constant_lookup, lookup_column, lookup_join, small_map
 
 # Fixed values of the published method; every one is only a default.
 ALPHA = 15.0
@@ -64,18 +64,17 @@ def _modifiers(rules: dict) -> dict[str, tuple[float, float]]:
     return kinds | {w: (0.0, NEGATION) for w in rules["negators"]}
 
 
-def word_roles(lexicon: DataFrame, rules: dict) -> DataFrame:
-    """One row per term: its valence (null for a mere modifier), degree and turn factor."""
-    modifiers = lexicon.sparkSession.createDataFrame(
-        [(w, d, t) for w, (d, t) in _modifiers(rules).items()], "term string, degree double, turn double"
-    )
-    valences = lexicon.groupBy(F.lower("term").alias("term")).agg(F.min("valence").alias("valence"))
-    role = F.struct(
-        F.col("valence").cast("double").alias("valence"),
-        F.coalesce("degree", F.lit(0.0)).alias("degree"),
-        F.coalesce("turn", F.lit(1.0)).alias("turn"),
-    )
-    return valences.join(modifiers, "term", "full").select("term", role.alias("role"))
+ROLE = "struct<valence:double,degree:double,turn:double>"
+
+
+def _role_lookup(valences: dict[str, float], rules: dict) -> Callable[[Column], Column]:
+    """Valence (null for a mere modifier), degree and turn factor of a word; null for any other word."""
+    modifiers = _modifiers(rules)
+    roles = {}
+    for term in valences.keys() | modifiers.keys():
+        degree, turn = modifiers.get(term, (0.0, 1.0))
+        roles[term] = {"valence": valences.get(term), "degree": degree, "turn": turn}
+    return constant_lookup(roles, ROLE)
 
 
 def _strength(valence: Column, loud: Column, before: list[Column]) -> Column:
@@ -134,11 +133,7 @@ def _sums_in_row(df: DataFrame, lookup) -> DataFrame:
 
 def _sums_by_join(df: DataFrame, key: str, lexicon: DataFrame, rules: dict) -> DataFrame:
     """The same sums for a lexicon too large for a constant: one row per word, joined and added up."""
-    modifiers = lexicon.sparkSession.createDataFrame(
-        [(w, {"degree": d, "turn": t}) for w, (d, t) in _modifiers(rules).items()],
-        "term string, role struct<degree:double,turn:double>",
-    )
-    turn = lookup_column(modifiers, "term", "role")
+    turn = _role_lookup({}, rules)
     valences = lexicon.groupBy(F.lower("term").alias("_low")).agg(F.min("valence").cast("double").alias("_v"))
     words = (
         df.withColumn("_turns", F.transform("_lows", turn))
@@ -192,9 +187,10 @@ def add_sentiment(
     rules = rules or RULES
     kept = df.columns
     df = _with_words(df, text, max_len)
-    lookup = lookup_column(word_roles(lexicon, rules), "term", "role", max_literal)
-    if lookup is not None:
-        df = _sums_in_row(df, lookup)
+    lowered = lexicon.select(F.lower("term").alias("term"), F.col("valence").cast("double").alias("valence"))
+    valences = small_map(lowered, "term", "valence", max_literal)
+    if valences is not None:
+        df = _sums_in_row(df, _role_lookup(valences, rules))
     elif key is not None:
         df = _sums_by_join(df, key, lexicon, rules)
     else:

@@ -30,30 +30,42 @@ def lookup_join(
     return df.join(table if small is None else F.broadcast(small), on, how)
 
 
-def lookup_column(
-    table: DataFrame, key: str, value: str, max_rows: int = MAX_LITERAL_ROWS
-) -> Callable[[Column], Column] | None:
-    """A function `Column -> Column` that looks a key up in `table`, or None beyond the bound.
-
-    The table becomes one constant: an array of small maps addressed by the key's hash. It can be
-    used inside array functions and on streams, and needs neither a shuffle nor a Python worker.
-    Equal keys keep their smallest value.
-    """
+def small_map(table: DataFrame, key: str, value: str, max_rows: int = MAX_LITERAL_ROWS) -> dict | None:
+    """`table` as a dictionary, or None beyond the bound. Of equal keys one keeps its value: the smallest number or text."""
     pairs = table.select(F.col(key).alias("k"), F.col(value).alias("v")).where(F.col("k").isNotNull())
-    rows = (
-        pairs.groupBy("k").agg(F.min("v").alias("v")).limit(max_rows + 1).select(F.to_json(F.struct("k", "v"))).collect()
-    )
+    rows = pairs.limit(max_rows + 1).select("k", F.to_json(F.struct("v"))).collect()
     if len(rows) > max_rows:
         return None
-    size = max(16, 1 << len(rows).bit_length())
+    found: dict = {}
+    for k, text in rows:
+        v = json.loads(text).get("v")
+        if k not in found or (isinstance(v, (int, float, str)) and v < found[k]):
+            found[k] = v
+    return found
+
+
+def constant_lookup(values: dict, kind: str) -> Callable[[Column], Column]:
+    """A function `Column -> Column` that looks a text key up in `values`, whose type is `kind`.
+
+    The dictionary becomes one constant: an array of small maps addressed by the key's checksum,
+    because Spark searches a single map from end to end. It can be used inside array functions and
+    on streams, and needs neither a shuffle nor a Python worker.
+    """
+    size = max(16, 1 << len(values).bit_length())
     maps: list[dict] = [{} for _ in range(size)]
-    for (text,) in rows:
-        pair = json.loads(text)
-        maps[zlib.crc32(pair["k"].encode()) % size][pair["k"]] = pair.get("v")
-    kind = pairs.schema["v"].dataType.simpleString()
+    for key, value in values.items():
+        maps[zlib.crc32(key.encode()) % size][key] = value
     packed = F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>")
 
     def lookup(term: Column) -> Column:
         return F.get(packed, F.pmod(F.crc32(term), F.lit(size)).cast("int"))[term]
 
     return lookup
+
+
+def lookup_column(
+    table: DataFrame, key: str, value: str, max_rows: int = MAX_LITERAL_ROWS
+) -> Callable[[Column], Column] | None:
+    """`constant_lookup` of a table, or None if it has more than `max_rows` rows."""
+    values = small_map(table, key, value, max_rows)
+    return None if values is None else constant_lookup(values, table.schema[value].dataType.simpleString())

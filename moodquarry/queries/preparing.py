@@ -7,7 +7,7 @@ from moodquarry.operators import jobs as J
 from moodquarry.operators import prepare as P
 from moodquarry.operators import stats as S
 from moodquarry.queries import query
-from moodquarry.queries.tables import epochs, samples, sql, sql_strip, sql_tokens_text, table
+from moodquarry.queries.tables import epochs, samples, sql, sql_strip, sql_tokens_text, table, text_table
 
 _TRIMMED = f"SELECT * FROM (SELECT doc_id, {sql_strip('text')} AS text, sentiment, emotion, source FROM samples) WHERE length(text) > 3"
 _DEDUP = """SELECT * FROM (SELECT *, md5(text) AS text_hash, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r
@@ -118,7 +118,7 @@ _TOKENS = f"""SELECT doc_id, list_filter(string_split({sql_tokens_text('text')},
     sql("", f"SELECT doc_id, array_to_string(list_filter(t, lambda x: x NOT IN ({_STOP})), ' ') AS tokens FROM toks", toks=_TOKENS),
 )
 def tokenize(spark, sf):
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents").select(
         "doc_id", F.array_join(X.tokenize("text", X.STOP_WORDS), " ").alias("tokens")
     )
 
@@ -131,7 +131,7 @@ _VOCAB = """SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS
 
 @query("build_vocab", sql("", "SELECT * FROM vocab", toks=_TOKENS, vocab=_VOCAB.format(size=20000)))
 def build_vocab(spark, sf):
-    return X.build_vocab(table(spark, sf, "documents"), "text", 20_000).na.fill(0, ["n"])
+    return X.build_vocab(text_table(spark, sf, "documents"), "text", 20_000).na.fill(0, ["n"])
 
 
 _ENCODED = """
@@ -152,7 +152,7 @@ def _encode_sql(size):
 
 
 def _encode(spark, sf, size, **options):
-    docs = table(spark, sf, "documents")
+    docs = text_table(spark, sf, "documents")
     df = X.encode(docs, "doc_id", "text", X.build_vocab(docs, "text", size), 160, **options)
     ones = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return df.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.size("attention_mask").alias("length"), ones.alias("tokens"))

@@ -6,7 +6,7 @@ from moodquarry.functions.labels import EMOTIONS
 from moodquarry.operators import scoring as S
 from moodquarry.queries import query
 from moodquarry.queries.tables import (
-    AS_OF, STAND_IN_RULES, lexicons, r6, sql, sql_clean, sql_label, sql_list, stamp, table,
+    AS_OF, STAND_IN_RULES, lexicons, r6, sql, sql_clean, sql_label, sql_list, stamp, table, text_table,
 )
 
 _PUNCTUATION = S.EDGE_PUNCTUATION.replace("'", "''")
@@ -99,14 +99,14 @@ _SENTIMENT = "SELECT key AS doc_id, sentiment, compound, pos, neg, neu, confiden
 
 @query("score_sentiment", _scored_sql(_SENTIMENT))
 def score_sentiment(spark, sf):
-    return S.score_sentiment(table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES)
+    return S.score_sentiment(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES)
 
 
 @query("score_sentiment_cut", _scored_sql(_SENTIMENT, cut=True))
 def score_sentiment_cut(spark, sf):
     """With the length limit of `clean_text` as an option."""
     return S.score_sentiment(
-        table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES, max_len=5000
+        text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES, max_len=5000
     )
 
 
@@ -114,7 +114,7 @@ def score_sentiment_cut(spark, sf):
 def score_sentiment_large_lexicon(spark, sf):
     """A lexicon beyond the bound of a constant, joined word by word."""
     return S.score_sentiment(
-        table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES, max_literal=100
+        text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES, max_literal=100
     )
 
 
@@ -130,12 +130,12 @@ def _emotion_columns(df):
 
 @query("score_emotion", sql("emolex", _EMOTION, **_emotion_parts("documents", "doc_id")))
 def score_emotion(spark, sf):
-    return _emotion_columns(S.score_emotion(table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[1]))
+    return _emotion_columns(S.score_emotion(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[1]))
 
 
 @query("score_emotion_large_lexicon", sql("emolex", _EMOTION, **_emotion_parts("documents", "doc_id")))
 def score_emotion_large_lexicon(spark, sf):
-    df = S.score_emotion(table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[1], max_literal=100)
+    df = S.score_emotion(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[1], max_literal=100)
     return _emotion_columns(df)
 
 
@@ -148,7 +148,7 @@ def score_emotion_large_lexicon(spark, sf):
     ),
 )
 def analyze_full(spark, sf):
-    df = S.analyze_full(table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf), rules=STAND_IN_RULES)
+    df = S.analyze_full(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf), rules=STAND_IN_RULES)
     return df.withColumn("confidence", F.round("confidence", 6)).drop("emotion_scores")
 
 
@@ -175,7 +175,7 @@ def analyze_full_with_model(spark, sf):
             F.lit(0.9).alias("confidence"),
         )
 
-    df = S.analyze_full(table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf), model, rules=STAND_IN_RULES)
+    df = S.analyze_full(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf), model, rules=STAND_IN_RULES)
     return df.select("doc_id", "sentiment", "compound", "primary_emotion", "model_used")
 
 
@@ -183,7 +183,7 @@ _TURNS = "SELECT conv_id || '.' || turn AS id, role, text FROM conversations"
 
 
 def _turns(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     key = F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
     return c.select(key.alias("id"), "role", "text")
 
@@ -235,7 +235,7 @@ def lexicon_lookup(spark, sf):
     from moodquarry.functions.text import clean_text
 
     words = F.transform(S.split_words(clean_text("text", None)), F.lower)
-    tokens = table(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("position", "token"))
+    tokens = text_table(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("position", "token"))
     return S.lexicon_lookup(tokens, lexicons(spark, sf)[0])
 
 
@@ -251,7 +251,7 @@ def _scorer(spark, sf, rules=STAND_IN_RULES):
 @query("map_back", _scored_sql("SELECT key AS doc_id, sentiment, compound, neu FROM sentiments"))
 def map_back(spark, sf):
     defaults = {"sentiment": "neutral", "compound": 0.0, "neu": 1.0}
-    df = S.map_back(table(spark, sf, "documents").select("doc_id", "text"), "text", _scorer(spark, sf), defaults)
+    df = S.map_back(text_table(spark, sf, "documents").select("doc_id", "text"), "text", _scorer(spark, sf), defaults)
     return df.drop("text")
 
 
@@ -282,7 +282,7 @@ def _cache(spark, sf):
     ),
 )
 def score_with_cache(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf, "documents").select("doc_id", "text")
     out, _ = S.score_with_cache(
         docs, "text", "quick", _scorer(spark, sf), ["sentiment", "compound"], _cache(spark, sf), 86_400, stamp(AS_OF)
     )
@@ -297,7 +297,7 @@ def score_with_cache(spark, sf):
     ),
 )
 def new_cache_rows(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf, "documents").select("doc_id", "text")
     _, new = S.score_with_cache(
         docs, "text", "quick", _scorer(spark, sf), ["sentiment", "compound"], _cache(spark, sf), 86_400, stamp(AS_OF)
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from moodquarry.functions.labels import EMOTIONS, compound_to_label
 from moodquarry.operators.scoring import RULES
 from moodquarry.plans.lookup import small_copy
+from moodquarry.plans.spread import spread
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
 AS_OF = "2024-01-15 12:30:00"
@@ -39,8 +40,22 @@ def stamp(text: str):
     return F.lit(text).cast("timestamp")
 
 
+def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for costly work per row; the test files hold all rows in one piece."""
+    return spread(table(spark, sf, name))
+
+
+def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """One of the given tables as a stream."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    return posts_of(table(spark, sf, "events"))
+
+
+def posts_of(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return (
         e.withColumn("k", k)
