@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from moodquarry.queries import (  # noqa: F401
-        aggregates, preparing, scoring, screening, texts,
+        aggregates, learning, preparing, scoring, screening, sources, streams, texts,
     )

@@ -201,7 +201,7 @@ def lexicons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A sentiment and an emotion lexicon of the most frequent words, with values from their hash."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _LEXICONS:
-        words = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
+        words = text_table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
         top = words.where("term <> ''").groupBy("term").count().orderBy(F.desc("count"), "term").limit(LEXICON_SIZE)
         top = small_copy(top.select("term"), LEXICON_SIZE)
         label = F.element_at(F.array(*[F.lit(e) for e in EMOTIONS]), _hex_byte("term", 3) % 7 + 1)

@@ -112,8 +112,7 @@ def start_trends(spark: SparkSession, name: str, root: str, trigger: str | None,
 def start_collector(df: DataFrame, name: str, root: str, checkpoint: str, trigger: str | None = FLUSH_TRIGGER) -> StreamingQuery:
     """Flush collected rows in folders of the date and hour of arrival at each trigger.
 
-    The source bounds a flush by its rows or files per trigger. The time of arrival is that of the
-    batch, so a repeated batch lands where it did before, in its own folder.
+    The source bounds a flush by its rows or files per trigger. A repeated batch replaces its own folder.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
