@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodquarry.plans.lookup import lookup_join
+from moodquarry.plans.lookup import MAX_LITERAL_ROWS, constant_lookup, lookup_join
 
 # Up to this many keywords one pattern is tried on each text; more are joined as words.
 MAX_PATTERN_KEYWORDS = 50
@@ -26,21 +26,33 @@ def match_language(df: DataFrame, languages: list[str], column: str = "lang") ->
     return df.where(F.col(column).isin(languages))
 
 
-def match_keywords(df: DataFrame, key: str, text: str, keywords: list[str], join_from: int = MAX_PATTERN_KEYWORDS) -> DataFrame:
+def match_keywords(
+    df: DataFrame,
+    key: str,
+    text: str,
+    keywords: list[str],
+    max_pattern: int = MAX_PATTERN_KEYWORDS,
+    max_literal: int = MAX_LITERAL_ROWS,
+) -> DataFrame:
     """Rows whose text has one of the keywords as a whole word, in any case.
 
-    A few keywords make one pattern; many single words are joined to the words of the text,
-    and the keys found select the rows. `key` must be unique.
+    A few keywords make one pattern; many single words are looked up for each word of the text,
+    inside the row. More than a constant can hold are joined, and the keys found, which must be
+    unique, select the rows.
     """
     edge = r"[^\p{L}\p{N}_]"
-    if len(keywords) <= join_from:
+    if len(keywords) <= max_pattern:
         words = "|".join(re.escape(k.lower()) for k in keywords)
         return df.where(F.lower(text).rlike(f"(?:^|{edge})(?:{words})(?:{edge}|$)"))
     single = [k.lower() for k in keywords]
-    if any(re.search(rf"[^\w]", k) for k in single):
+    if any(re.search(r"\W", k) for k in single):
         raise ValueError("more than a few keywords must be single words")
+    words = F.split(F.lower(text), edge)
+    if len(single) <= max_literal:
+        known = constant_lookup({k: True for k in single}, "boolean")
+        return df.where(F.exists(words, lambda w: known(w).isNotNull()))
     wanted = df.sparkSession.createDataFrame([(k,) for k in sorted(set(single))], "word string")
-    words = df.select(key, F.explode(F.array_distinct(F.split(F.lower(text), edge))).alias("word"))
+    words = df.select(key, F.explode(F.array_distinct(words)).alias("word"))
     return df.join(lookup_join(words, wanted, "word", "left_semi").select(key), key, "left_semi")
 
 

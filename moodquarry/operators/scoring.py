@@ -43,6 +43,9 @@ WEAKER = ["almost", "barely", "hardly", "kinda", "less", "little", "marginally",
 EDGE_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RULES = {"negators": NEGATORS, "stronger": STRONGER, "weaker": WEAKER}
 
+# Keys shared by rows without text in a join by text.
+SPARE_KEYS = 10_000
+
 SCORES = ["sentiment", "compound", "pos", "neg", "neu", "confidence"]
 
 
@@ -368,15 +371,16 @@ def map_back(df: DataFrame, text: str, scorer: Callable[[DataFrame, str, str], D
     """Score each distinct cleaned text once and give every row its score.
 
     `scorer(texts, key, text)` returns the key and the columns named in `defaults`, which hold
-    for empty texts. Rows of one hot text meet one score row; AQE splits that join partition.
+    for empty texts. Rows of one hot text meet one score row; AQE splits that join partition. Empty
+    texts get one of many keys that match nothing, so they do not gather in one task.
     """
-    keyed = df.withColumn("_clean", clean_text(text, None)).withColumn("_h", F.when(F.col("_clean") != "", F.md5("_clean")))
-    full = keyed.where(F.col("_h").isNotNull())
-    texts = full.groupBy("_h").agg(F.any_value("_clean").alias("_clean"))
-    scores = scorer(texts, "_h", "_clean").select("_h", *defaults)
-    found = full.join(scores, "_h", "left").select(*df.columns, *defaults)
-    empty = keyed.where(F.col("_h").isNull()).select(*df.columns, *[F.lit(v).alias(c) for c, v in defaults.items()])
-    return found.unionByName(empty)
+    keyed = df.withColumn("_clean", clean_text(text, None))
+    spare = F.concat(F.lit("-"), F.pmod(F.xxhash64(*df.columns), F.lit(SPARE_KEYS)).cast("string"))
+    keyed = keyed.withColumn("_h", F.when(F.col("_clean") != "", F.md5("_clean")).otherwise(spare))
+    texts = keyed.where(F.col("_clean") != "").groupBy("_h").agg(F.any_value("_clean").alias("_clean"))
+    scores = scorer(texts, "_h", "_clean").select("_h", *[F.col(c).alias(f"_{c}") for c in defaults])
+    found = keyed.join(scores, "_h", "left")
+    return found.select(*df.columns, *[F.coalesce(f"_{c}", F.lit(v)).alias(c) for c, v in defaults.items()])
 
 
 def score_with_cache(
@@ -388,10 +392,13 @@ def score_with_cache(
     cache: DataFrame,
     ttl_seconds: int,
     as_of: Column,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores of all rows, reusing cached ones younger than the limit, and the new cache rows.
 
-    `cache` has cache_key, `columns` and stored_at. Each missing text is scored once.
+    `cache` has cache_key, `columns` and stored_at. Each missing text is scored once; with
+    `folder` the new rows are written there and both results read them, so that using both does
+    not score again.
     """
     keyed = df.withColumn("_clean", clean_text(text, None)).withColumn("cache_key", cache_key("_clean", kind))
     fresh = cache.where(F.col("stored_at") > as_of - F.make_interval(secs=F.lit(ttl_seconds)))
@@ -400,5 +407,8 @@ def score_with_cache(
     texts = keyed.groupBy("cache_key").agg(F.any_value("_clean").alias("_clean"))
     missing = texts.join(fresh, "cache_key", "left_anti")
     scored = scorer(missing, "cache_key", "_clean").select("cache_key", *columns)
+    if folder is not None:
+        scored.write.parquet(folder)
+        scored = df.sparkSession.read.parquet(folder)
     known = fresh.unionByName(scored.withColumn("from_cache", F.lit(False)))
     return keyed.join(known, "cache_key", "left").drop("_clean"), scored.withColumn("stored_at", as_of)

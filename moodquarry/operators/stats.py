@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from moodquarry.functions.labels import SENTIMENTS
 from moodquarry.functions.times import day_of, hour_of
 from moodquarry.operators.filters import last_interval, time_range
-from moodquarry.plans.lookup import lookup_join
 
 # Fixed value: score columns of an analysed table that are averaged.
 SCORE_COLUMNS = ["Compound_Score", "Positive_Score", "Negative_Score", "Neutral_Score", "Emotion_Confidence"]
@@ -217,7 +216,9 @@ def profile_columns(df: DataFrame, k: int = 10, few: int = 20) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("column").orderBy(F.desc("count"), "h"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(distinct), "column")
     top = top.where(F.col("column").isin(sorted(text)) | (F.col("n_distinct") < few))
-    values = lookup_join(cells, top.select("column", "h"), ["column", "h"], "left_semi")
+    # At most `k` rows per column, computed once for both uses below.
+    top = F.broadcast(df.sparkSession.createDataFrame(top.collect(), top.schema))
+    values = cells.join(top.select("column", "h"), ["column", "h"], "left_semi")
     values = values.groupBy("column", "h").agg(F.any_value("value").alias("value"))
     types = F.create_map(*[F.lit(x) for f in columns for x in (f.name, f.dataType.simpleString())])
     return top.join(values, ["column", "h"]).select(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from moodquarry.plans.lookup import lookup_join
 
@@ -22,12 +23,13 @@ def model_comparison(models: DataFrame, datasets: DataFrame) -> DataFrame:
 def dedup_key(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """One row per key: the one with the smallest `order`, any one without it.
 
-    Copies are dropped before the shuffle, so a key with many rows costs one row per task.
+    Spark drops further rows of a key before the shuffle, so a key with many rows costs one row
+    per task, and columns that are not used later are not read.
     """
     if order is None:
         return df.dropDuplicates(keys)
-    first = F.min_by(F.struct(*df.columns), F.col(order)).alias("_r")
-    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(first).select("_r.*")
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    return df.withColumn("_first", first).where(F.col("_first") == 1).drop("_first")
 
 
 def insert_new(existing: DataFrame, fresh: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:

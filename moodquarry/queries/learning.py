@@ -67,7 +67,7 @@ def class_metrics(spark, sf):
 
 def _training(spark, sf):
     """Labelled samples, and the documents without a label as neutral ones, split by hash."""
-    df = samples(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
+    df = samples(spark, sf, text_table(spark, sf, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
     df = P.normalize_labels(df, sentiment="sentiment", emotion="emotion")
     return P.stratified_split(df, "sentiment", "doc_id", (0.8, 0.2), 0, mode="hash")
 

@@ -94,13 +94,23 @@ def match_keywords(spark, sf):
     return FL.match_keywords(df, "doc_id", "text", ["une", "nicht", "worthless"]).select("doc_id", "lang")
 
 
+@query(
+    "match_keywords_joined",
+    f"SELECT doc_id, lang FROM documents WHERE regexp_matches(lower(text), '(?:^|{_EDGE})(?:une|nicht|worthless)(?:{_EDGE}|$)')",
+)
+def match_keywords_joined(spark, sf):
+    """More keywords than a constant may hold."""
+    df = table(spark, sf, "documents")
+    return FL.match_keywords(df, "doc_id", "text", ["une", "nicht", "worthless"], 1, 1).select("doc_id", "lang")
+
+
 @query(
     "match_many_keywords",
     f"SELECT doc_id, lang FROM documents WHERE regexp_matches(lower(text), '(?:^|{_EDGE})(?:une|nicht|worthless)(?:{_EDGE}|$)')",
 )
 def match_many_keywords(spark, sf):
     df = table(spark, sf, "documents")
-    return FL.match_keywords(df, "doc_id", "text", ["une", "nicht", "worthless"], join_from=1).select("doc_id", "lang")
+    return FL.match_keywords(df, "doc_id", "text", ["une", "nicht", "worthless"], max_pattern=1).select("doc_id", "lang")
 
 
 @query("time_range", f"SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'")

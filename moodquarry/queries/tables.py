@@ -116,16 +116,16 @@ def analysed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def samples(spark: SparkSession, sf: str) -> DataFrame:
+def samples(spark: SparkSession, sf: str, documents: DataFrame | None = None) -> DataFrame:
     feeling = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").when(
         F.col("quality") == 0, "neutral"
     )
     emotion = F.when(F.col("lang") == "en", "joy").when(F.col("lang") == "fr", "sadness").when(
         F.col("lang") == "de", "love"
     ).otherwise("neutral")
+    documents = table(spark, sf, "documents") if documents is None else documents
     return (
-        table(spark, sf, "documents")
-        .join(table(spark, sf, "labels"), "doc_id", "left")
+        documents.join(table(spark, sf, "labels"), "doc_id", "left")
         .select("doc_id", "text", feeling.alias("sentiment"), emotion.alias("emotion"), "source")
     )
 

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from moodquarry.functions.times import time_buckets
 from moodquarry.operators.prepare import split_metadata
 from moodquarry.operators.tables import upsert
+from moodquarry.plans.lookup import small_copy
 from moodquarry.plans.session import settle
 
+# Up to this many folders are named in the filter of a read.
+MAX_FOLDERS = 10_000
 # Fixed value: folders of the post archive.
 POST_FOLDERS = ["source", "date", "hour"]
 
@@ -48,7 +51,11 @@ def write_upsert(spark: SparkSession, path: str, fresh: DataFrame, keys: list[st
 
     Only the folders of `fresh` are read and written again.
     """
-    days = fresh.select(folder).distinct()
-    old = spark.read.parquet(path).join(days, folder, "left_semi")
+    days = small_copy(fresh.select(folder).distinct(), MAX_FOLDERS)
+    old = spark.read.parquet(path)
+    if days is None:
+        old = old.join(fresh.select(folder).distinct(), folder, "left_semi")
+    else:
+        old = old.where(F.col(folder).isin([row[0] for row in days.collect()]))
     merged = settle(upsert(old, fresh, keys))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(path)

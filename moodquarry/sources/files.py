@@ -17,14 +17,20 @@ def find_text_column(columns: list[str]) -> str | None:
     return next((name for name in TEXT_COLUMNS if name in columns), None)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; quoted fields may hold line breaks and doubled quotes; all text."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """CSV with a header and doubled quotes; all columns are text.
+
+    With `line_breaks` quoted fields may hold line breaks, and a file is read by one task. Without
+    them a large file is split over many.
+    """
+    return spark.read.csv(path, header=True, multiLine=line_breaks, quote='"', escape='"')
 
 
-def read_text_csv(spark: SparkSession, path: str, text_column: str | None = None) -> tuple[DataFrame, str]:
+def read_text_csv(
+    spark: SparkSession, path: str, text_column: str | None = None, line_breaks: bool = True
+) -> tuple[DataFrame, str]:
     """The table and the name of its text column; null text becomes ''."""
-    df = read_csv(spark, path)
+    df = read_csv(spark, path, line_breaks)
     name = text_column or find_text_column(df.columns)
     if name not in df.columns:
         raise ValueError(f"no text column in {df.columns}")
