@@ -58,11 +58,12 @@ def encode(
     if lookup is not None:
         df = df.withColumn("_ids", F.transform("_t", lambda t: F.coalesce(lookup(t), unknown)))
     else:
-        words = df.select(key, F.posexplode("_t").alias("_i", "token"))
-        found = lookup_join(words, vocab.select("token", "id"), "token", "left")
+        words = df.select(key, F.posexplode("_t").alias("_i", "_token"))
+        numbers = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_number"))
+        found = lookup_join(words, numbers, "_token", "left")
         # At most `max_len` words of a text come together.
         ids = found.groupBy(key).agg(
-            F.array_sort(F.collect_list(F.struct("_i", F.coalesce("id", unknown).alias("id")))).alias("_s")
+            F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_number", unknown).alias("id")))).alias("_s")
         )
         df = df.join(ids, key, "left").withColumn("_ids", F.coalesce(F.col("_s.id"), F.array().cast("array<int>")))
     if special:

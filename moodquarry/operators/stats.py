@@ -54,7 +54,8 @@ def batch_summary(
     totals = by_emotion.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in SENTIMENTS],
-        *[x for c in scores for x in (F.sum(f"s_{c}").alias(f"s_{c}"), F.sum(f"n_{c}").alias(f"n_{c}"))],
+        *[F.sum(f"s_{c}").alias(f"s_{c}") for c in scores],
+        *[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(f"n_{c}") for c in scores],
         F.collect_list(F.when(F.col("emotion").isNotNull(), F.struct("emotion", "n"))).alias("emotions"),
     )
 

@@ -91,17 +91,6 @@ def predict(spark, sf):
     return out.select("doc_id", "sentiment_prediction", r6("sentiment_confidence"), "emotion_prediction", r6("emotion_confidence"))
 
 
-def _load_length_model():
-    def model(texts: pd.Series) -> pd.DataFrame:
-        if (texts.str.len() > 50_000).any():
-            raise ValueError("text too long for this model")
-        n = texts.str.len()
-        label = n.map(lambda v: "positive" if v % 3 == 0 else "negative" if v % 3 == 1 else "neutral")
-        return pd.DataFrame({"label": label, "score": n % 10 / 10.0})
-
-    return model
-
-
 @query(
     "apply_model",
     """SELECT doc_id, CASE WHEN n > 50000 THEN 'error' WHEN n % 3 = 0 THEN 'positive' WHEN n % 3 = 1 THEN 'negative' ELSE 'neutral' END AS label,
@@ -110,6 +99,17 @@ def _load_length_model():
 )
 def apply_model(spark, sf):
     """A stand-in model that refuses some texts, whose rows are marked."""
+
+    def load():
+        def model(texts: pd.Series) -> pd.DataFrame:
+            n = texts.str.len()
+            if (n > 50_000).any():
+                raise ValueError("text too long for this model")
+            label = n.map(lambda v: "positive" if v % 3 == 0 else "negative" if v % 3 == 1 else "neutral")
+            return pd.DataFrame({"label": label, "score": n % 10 / 10.0})
+
+        return model
+
     schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
     df = text_table(spark, sf, "documents").select("doc_id", "text")
-    return L.apply_model(df, _load_length_model, schema, error={"label": "error", "score": 0.0}).drop("text")
+    return L.apply_model(df, load, schema, error={"label": "error", "score": 0.0}).drop("text")
