@@ -42,13 +42,15 @@ def test_trends_close_and_drop_late_rows(spark, tmp_path):
     files = [
         [("1", "a", at(0), "positive", 0.5), ("2", "a", at(1), "positive", 0.7), ("3", "a", at(2), "negative", 0.2)],
         [("4", "a", at(30), "positive", 0.9)],
+        # A watermark drops rows from the batch after the next one on.
+        [("7", "a", at(31), "positive", 0.7)],
         [("5", "a", at(1), "positive", 0.1), ("6", "a", at(60), "neutral", 0.4)],
     ]
     rows = P.flatten_trends(P.trend_windows(feed(spark, tmp_path / "in", files)))
     query = run(C.start(rows, "trends", make_batch_writer([table_sink(str(tmp_path / "out"))]), None, str(tmp_path / "state")))
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     got = {(r.window_start, r.sentiment): (r.tweet_count, round(r.avg_confidence, 6)) for r in out}
-    assert got == {(at(0), "positive"): (2, 0.6), (at(0), "negative"): (1, 0.2), (at(30), "positive"): (1, 0.9)}
+    assert got == {(at(0), "positive"): (2, 0.6), (at(0), "negative"): (1, 0.2), (at(30), "positive"): (2, 0.8)}
     assert P.late_rows(query) == 1
 
 
