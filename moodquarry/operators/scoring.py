@@ -41,19 +41,26 @@ STRONGER = [
 WEAKER = ["almost", "barely", "hardly", "kinda", "less", "little", "marginally", "occasionally",
           "partly", "scarcely", "slightly", "somewhat"]
 EDGE_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+AT_EDGE = r"^[!-/:-@\[-`{-~]|[!-/:-@\[-`{-~]$"
 RULES = {"negators": NEGATORS, "stronger": STRONGER, "weaker": WEAKER}
 
 # Keys shared by rows without text in a join by text.
 SPARE_KEYS = 10_000
 
 SCORES = ["sentiment", "compound", "pos", "neg", "neu", "confidence"]
+EMOTION_SCORES = ["primary_emotion", "emotion_confidence", "emotion_scores"]
 
 
 def split_words(clean: Column) -> Column:
     """Words with edge punctuation removed; a word of nothing but punctuation stays."""
     edge = F.lit(EDGE_PUNCTUATION)
     raw = F.filter(F.split(clean, " "), lambda w: w != "")
-    return F.transform(raw, lambda w: F.coalesce(F.nullif(F.trim(w, edge), F.lit("")), w))
+
+    def bare(w: Column) -> Column:
+        # Most words have no punctuation at an edge, and testing is cheaper than trimming.
+        return F.when(w.rlike(AT_EDGE), F.coalesce(F.nullif(F.trim(w, edge), F.lit("")), w)).otherwise(w)
+
+    return F.transform(raw, bare)
 
 
 def _is_upper(w: Column) -> Column:
@@ -104,12 +111,11 @@ def _emphasis(clean: Column) -> Column:
 
 
 def _with_words(df: DataFrame, text: str, max_len: int | None) -> DataFrame:
+    """Add the words of the cleaned text as they are and in lower case."""
     return (
         df.withColumn("_clean", clean_text(text, max_len))
         .withColumn("_words", split_words(F.col("_clean")))
         .withColumn("_lows", F.transform("_words", F.lower))
-        .withColumn("_but", F.array_position("_lows", F.lit("but")))
-        .withColumn("_mixed", F.exists("_words", _is_upper) & ~F.forall("_words", _is_upper))
     )
 
 
@@ -171,25 +177,19 @@ def _sums_by_join(df: DataFrame, key: str, lexicon: DataFrame, rules: dict) -> D
     return df.join(sums, key, "left").na.fill(0, ["_pos", "_neg", "_npos", "_nneg"])
 
 
-def add_sentiment(
-    df: DataFrame,
-    text: str,
-    lexicon: DataFrame,
-    key: str | None = None,
-    alpha: float = ALPHA,
-    rules: dict | None = None,
-    max_len: int | None = None,
-    max_literal: int = MAX_LITERAL_ROWS,
+def _sentiment_columns(
+    df: DataFrame, lexicon: DataFrame, key: str | None, alpha: float, rules: dict | None, max_literal: int
 ) -> DataFrame:
-    """All columns of `df` plus the columns SCORES.
-
-    `lexicon` has the columns term and valence. `key`, unique in `df`, is needed only for a
-    lexicon of more than `max_literal` terms. Empty text is neutral with pos, neg and compound 0.
-    Whole texts are scored unless `max_len` cuts the cleaned text.
-    """
+    """Add SCORES to a frame made by `_with_words`."""
     rules = rules or RULES
-    kept = df.columns
-    df = _with_words(df, text, max_len)
+    df = df.withColumns(
+        {
+            "_but": F.array_position("_lows", F.lit("but")),
+            "_mixed": F.exists("_words", _is_upper) & ~F.forall("_words", _is_upper),
+            "_n": F.size("_words"),
+            "_e": _emphasis(F.col("_clean")),
+        }
+    )
     lowered = lexicon.select(F.lower("term").alias("term"), F.col("valence").cast("double").alias("valence"))
     valences = small_map(lowered, "term", "valence", max_literal)
     if valences is not None:
@@ -198,92 +198,117 @@ def add_sentiment(
         df = _sums_by_join(df, key, lexicon, rules)
     else:
         raise ValueError(f"a lexicon of more than {max_literal} terms needs a key")
-    df = (
-        df.withColumn("_e", _emphasis(F.col("_clean")))
-        .withColumn("_sum", F.col("_pos") + F.col("_neg"))
-        .withColumn("_sum", F.col("_sum") + F.signum("_sum") * F.col("_e"))
-        .withColumn("_up", F.col("_pos") + F.col("_npos"))
-        .withColumn("_down", F.col("_nneg") - F.col("_neg"))
-        .withColumn("_calm", (F.size("_words") - F.col("_npos") - F.col("_nneg")).cast("double"))
-        .withColumn("_side", F.signum(F.col("_up") - F.col("_down")))
-        .withColumn("_up", F.col("_up") + F.when(F.col("_side") > 0, F.col("_e")).otherwise(0.0))
-        .withColumn("_down", F.col("_down") + F.when(F.col("_side") < 0, F.col("_e")).otherwise(0.0))
-        .withColumn("_all", F.col("_up") + F.col("_down") + F.col("_calm"))
-        .withColumn("compound", F.round(F.col("_sum") / F.sqrt(F.col("_sum") * F.col("_sum") + alpha), 4))
+    total = F.col("_pos") + F.col("_neg")
+    up, down = F.col("_pos") + F.col("_npos"), F.col("_nneg") - F.col("_neg")
+    df = df.withColumns(
+        {
+            "_sum": total + F.signum(total) * F.col("_e"),
+            "_up": up + F.when(up > down, F.col("_e")).otherwise(0.0),
+            "_down": down + F.when(down > up, F.col("_e")).otherwise(0.0),
+            "_calm": (F.col("_n") - F.col("_npos") - F.col("_nneg")).cast("double"),
+        }
+    ).withColumns(
+        {
+            "compound": F.round(F.col("_sum") / F.sqrt(F.col("_sum") * F.col("_sum") + alpha), 4),
+            "_all": F.col("_up") + F.col("_down") + F.col("_calm"),
+        }
     )
     empty = F.col("_all") == 0
-    share = lambda part: F.when(empty, 0.0).otherwise(F.round(F.col(part) / F.when(~empty, F.col("_all")), 3))
-    return df.select(
-        *kept,
-        compound_to_label(F.col("compound")).alias("sentiment"),
-        "compound",
-        share("_up").alias("pos"),
-        share("_down").alias("neg"),
-        F.when(empty, 1.0).otherwise(share("_calm")).alias("neu"),
-        F.abs("compound").alias("confidence"),
-    )
-
-
-def score_sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame, alpha: float = ALPHA, **options) -> DataFrame:
-    return add_sentiment(df.select(key, text), text, lexicon, key, alpha, **options).select(key, *SCORES)
+    share = lambda part: F.round(F.col(part) / F.when(~empty, F.col("_all")), 3)
+    return df.withColumns(
+        {
+            "sentiment": compound_to_label(F.col("compound")),
+            "pos": F.coalesce(share("_up"), F.lit(0.0)),
+            "neg": F.coalesce(share("_down"), F.lit(0.0)),
+            "neu": F.coalesce(share("_calm"), F.lit(1.0)),
+            "confidence": F.abs("compound"),
+        }
+    ).drop("_but", "_mixed", "_n", "_e", "_pos", "_neg", "_npos", "_nneg", "_sum", "_up", "_down", "_calm", "_all")
 
 
-def add_emotion(
+def add_sentiment(
     df: DataFrame,
     text: str,
     lexicon: DataFrame,
     key: str | None = None,
+    alpha: float = ALPHA,
+    rules: dict | None = None,
     max_len: int | None = None,
     max_literal: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
-    """All columns of `df` plus primary_emotion, emotion_confidence and the map emotion_scores.
+    """All columns of `df` plus the columns SCORES.
 
-    `lexicon` has the columns term, emotion and weight. Scores are shares of the weights found;
-    the first label in order wins a tie; a text without any hit is neutral with score 1.
+    `lexicon` has the columns term and valence. `key`, unique in `df`, is needed only for a
+    lexicon of more than `max_literal` terms. Empty text is neutral with pos, neg and compound 0.
+    Whole texts are scored unless `max_len` cuts the cleaned text.
     """
-    kept = df.columns
+    scored = _sentiment_columns(_with_words(df, text, max_len), lexicon, key, alpha, rules, max_literal)
+    return scored.select(*df.columns, *SCORES)
+
+
+def score_sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame, alpha: float = ALPHA, **options) -> DataFrame:
+    return add_sentiment(df.select(key, text), text, lexicon, key, alpha, **options).select(key, *SCORES)
+
+
+def _emotion_columns(df: DataFrame, lexicon: DataFrame, key: str | None, max_literal: int) -> DataFrame:
+    """Add EMOTION_SCORES to a frame made by `_with_words`."""
     names = [f"_{e}" for e in EMOTIONS]
     terms = lexicon.where(F.col("emotion").isin(EMOTIONS)).select(
-        F.lower("term").alias("term"), "emotion", F.col("weight").cast("double").alias("weight")
+        F.lower("term").alias("_low"), "emotion", F.col("weight").cast("double").alias("weight")
     )
-    by_term = terms.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("emotion", "weight"))).alias("found"))
-    df = df.withColumn("_words", split_words(clean_text(text, max_len))).withColumn("_lows", F.transform("_words", F.lower))
-    lookup = lookup_column(by_term, "term", "found", max_literal)
+    by_term = terms.groupBy("_low").agg(F.array_sort(F.collect_list(F.struct("emotion", "weight"))).alias("found"))
+    lookup = lookup_column(by_term, "_low", "found", max_literal)
     if lookup is not None:
         df = df.withColumn("_found", F.flatten(F.filter(F.transform("_lows", lookup), lambda x: x.isNotNull())))
+        sums = {}
         for name, emotion in zip(names, EMOTIONS):
             same = F.filter("_found", lambda x: x["emotion"] == emotion)
-            df = df.withColumn(name, F.aggregate(same, F.lit(0.0), lambda acc, x: acc + x["weight"]))
+            sums[name] = F.aggregate(same, F.lit(0.0), lambda acc, x: acc + x["weight"])
+        df = df.withColumns(sums).drop("_found")
     elif key is not None:
-        words = df.select(key, F.explode("_lows").alias("term"))
-        sums = lookup_join(words, by_term, "term", "inner").select(key, F.explode("found").alias("f")).groupBy(key)
-        sums = sums.agg(
-            *[F.sum(F.when(F.col("f.emotion") == e, F.col("f.weight")).otherwise(0.0)).alias(n) for n, e in zip(names, EMOTIONS)]
-        )
+        words = df.select(key, F.explode("_lows").alias("_low"))
+        found = lookup_join(words, by_term, "_low", "inner").select(key, F.explode("found").alias("f")).groupBy(key)
+        weight = lambda e: F.when(F.col("f.emotion") == e, F.col("f.weight")).otherwise(0.0)
+        sums = found.agg(*[F.sum(weight(e)).alias(n) for n, e in zip(names, EMOTIONS)])
         df = df.join(sums, key, "left").na.fill(0.0, names)
     else:
         raise ValueError(f"a lexicon of more than {max_literal} terms needs a key")
-    df = df.withColumn("_all", sum((F.col(n) for n in names[1:]), F.col(names[0]))).withColumn("_max", F.greatest(*names))
+    df = df.withColumns({"_all": sum((F.col(n) for n in names[1:]), F.col(names[0])), "_max": F.greatest(*names)})
     none = F.col("_all") <= 0
-    primary = None
+    total = F.when(~none, F.col("_all"))
+    primary = F.when(none, "neutral")
     for name, emotion in zip(names, EMOTIONS):
-        test = F.col(name) == F.col("_max")
-        primary = F.when(none, "neutral").when(test, emotion) if primary is None else primary.when(test, emotion)
-    shares = [
-        F.when(none, 1.0 if e == "neutral" else 0.0).otherwise(F.col(n) / F.when(~none, F.col("_all")))
-        for n, e in zip(names, EMOTIONS)
-    ]
-    return df.select(
-        *kept,
-        primary.alias("primary_emotion"),
-        F.when(none, 1.0).otherwise(F.col("_max") / F.when(~none, F.col("_all"))).alias("emotion_confidence"),
-        F.create_map(*[x for e, s in zip(EMOTIONS, shares) for x in (F.lit(e), s)]).alias("emotion_scores"),
-    )
+        primary = primary.when(F.col(name) == F.col("_max"), emotion)
+    shares = [F.coalesce(F.col(n) / total, F.lit(1.0 if e == "neutral" else 0.0)) for n, e in zip(names, EMOTIONS)]
+    return df.withColumns(
+        {
+            "primary_emotion": primary,
+            "emotion_confidence": F.coalesce(F.col("_max") / total, F.lit(1.0)),
+            "emotion_scores": F.create_map(*[x for e, s in zip(EMOTIONS, shares) for x in (F.lit(e), s)]),
+        }
+    ).drop("_all", "_max", *names)
+
+
+def add_emotion(
+    df: DataFrame,
+    text: str,
+    lexicon: DataFrame,
+    key: str | None = None,
+    max_len: int | None = None,
+    max_literal: int = MAX_LITERAL_ROWS,
+) -> DataFrame:
+    """All columns of `df` plus primary_emotion, emotion_confidence and the map emotion_scores.
+
+    `lexicon` has the columns term, emotion and weight. Scores are shares of the weights found;
+    the first label in order wins a tie; a text without any hit is neutral with score 1.
+    """
+    scored = _emotion_columns(_with_words(df, text, max_len), lexicon, key, max_literal)
+    return scored.select(*df.columns, *EMOTION_SCORES)
 
 
 def score_emotion(df: DataFrame, key: str, text: str, lexicon: DataFrame, **options) -> DataFrame:
     scored = add_emotion(df.select(key, text), text, lexicon, key, **options)
-    return scored.select(key, "primary_emotion", "emotion_confidence", "emotion_scores")
+    return scored.select(key, *EMOTION_SCORES)
 
 
 def add_analysis(
@@ -294,10 +319,12 @@ def add_analysis(
     rules: dict | None = None,
     max_len: int | None = None,
 ) -> DataFrame:
-    """Both lexicon scores side by side; `lexicons` are the sentiment and the emotion lexicon."""
-    scored = add_sentiment(df, text, lexicons[0], key, rules=rules, max_len=max_len)
-    scored = scored.withColumnRenamed("confidence", "sentiment_confidence")
-    return add_emotion(scored, text, lexicons[1], key, max_len)
+    """Both lexicon scores side by side, from one look at the words; `lexicons` are the sentiment
+    and the emotion lexicon."""
+    words = _with_words(df, text, max_len)
+    scored = _sentiment_columns(words, lexicons[0], key, ALPHA, rules, MAX_LITERAL_ROWS)
+    scored = _emotion_columns(scored.withColumnRenamed("confidence", "sentiment_confidence"), lexicons[1], key, MAX_LITERAL_ROWS)
+    return scored.select(*df.columns, *SCORES[:-1], "sentiment_confidence", *EMOTION_SCORES)
 
 
 def analyze_full(
@@ -376,8 +403,10 @@ def map_back(df: DataFrame, text: str, scorer: Callable[[DataFrame, str, str], D
     """
     keyed = df.withColumn("_clean", clean_text(text, None))
     spare = F.concat(F.lit("-"), F.pmod(F.xxhash64(*df.columns), F.lit(SPARE_KEYS)).cast("string"))
-    keyed = keyed.withColumn("_h", F.when(F.col("_clean") != "", F.md5("_clean")).otherwise(spare))
-    texts = keyed.where(F.col("_clean") != "").groupBy("_h").agg(F.any_value("_clean").alias("_clean"))
+    # Never null, else the join would test the whole cleaning expression for null at the scan.
+    own = F.when(F.col("_clean") != "", F.md5("_clean")).otherwise(spare)
+    keyed = keyed.withColumn("_h", F.coalesce(own, F.lit("")))
+    texts = keyed.groupBy("_h").agg(F.any_value("_clean").alias("_clean")).where(F.col("_clean") != "")
     scores = scorer(texts, "_h", "_clean").select("_h", *[F.col(c).alias(f"_{c}") for c in defaults])
     found = keyed.join(scores, "_h", "left")
     return found.select(*df.columns, *[F.coalesce(f"_{c}", F.lit(v)).alias(c) for c, v in defaults.items()])
@@ -400,7 +429,8 @@ def score_with_cache(
     `folder` the new rows are written there and both results read them, so that using both does
     not score again.
     """
-    keyed = df.withColumn("_clean", clean_text(text, None)).withColumn("cache_key", cache_key("_clean", kind))
+    keyed = df.withColumn("_clean", clean_text(text, None))
+    keyed = keyed.withColumn("cache_key", F.coalesce(cache_key("_clean", kind), F.lit("")))
     fresh = cache.where(F.col("stored_at") > as_of - F.make_interval(secs=F.lit(ttl_seconds)))
     fresh = fresh.groupBy("cache_key").agg(F.max_by(F.struct(*columns), "stored_at").alias("_r"))
     fresh = fresh.select("cache_key", "_r.*", F.lit(True).alias("from_cache"))

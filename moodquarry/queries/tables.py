@@ -132,12 +132,12 @@ def samples(spark: SparkSession, sf: str, documents: DataFrame | None = None) ->
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """All texts of three tables under one key."""
-    d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
-    p = table(spark, sf, "pages").select(
+    d = text_table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
+    p = text_table(spark, sf, "pages").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"),
         F.concat("url", F.lit(" "), "html").alias("text"),
     )
-    c = table(spark, sf, "conversations").select(
+    c = text_table(spark, sf, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("key"), "text"
     )
     return d.unionByName(p).unionByName(c)
