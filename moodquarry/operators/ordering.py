@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 
 def recent(df: DataFrame, ts: str, n: int, key: str) -> DataFrame:
@@ -35,7 +36,9 @@ def page_after(df: DataFrame, ts: str, key: str, last: tuple | None, size: int)
     Unlike an offset this stays cheap at any depth, since the filter reaches the scan.
     """
     if last is not None:
-        at, row = F.lit(last[0]), F.lit(last[1])
+        kind = df.schema[ts].dataType
+        at = F.lit(str(last[0])).cast(kind) if isinstance(kind, T.TimestampNTZType) else F.lit(last[0])
+        row = F.lit(last[1])
         df = df.where((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(key) > row)))
     return df.orderBy(F.col(ts).desc(), F.col(key)).limit(size)
 

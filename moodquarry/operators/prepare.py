@@ -122,11 +122,13 @@ def _split_at(
     cuts = counts.select("_label", "_bucket", before, "_upto", F.explode(F.array(*wanted)).alias("c"))
     cuts = cuts.select("_label", "_bucket", "_before", "_upto", "c.*")
     cuts = cuts.where((F.col("want") > F.col("_before")) & (F.col("want") <= F.col("_upto"))).drop("_upto")
-    # The ranked rows are one of RANGES parts of a class.
-    rank = F.row_number().over(W.partitionBy("_label", "part").orderBy("_place"))
-    edges = lookup_join(narrow, cuts, ["_label", "_bucket"], "inner").withColumn("_rank", rank + F.col("_before"))
-    edges = edges.where(F.col("_rank") == F.col("want")).groupBy(F.col("_label").alias(label)).agg(
-        *[F.max(F.when(F.col("part") == part, F.col("_place"))).alias(f"_{part}") for part in shares]
+    # The ranked places are one of RANGES parts of a class; rows of one place are counted first.
+    edges = lookup_join(narrow, cuts, ["_label", "_bucket"], "inner")
+    edges = edges.groupBy("_label", "part", "_before", "want", "_place").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy("_label", "part").orderBy("_place")) + F.col("_before")
+    edges = edges.withColumn("_upto", upto).where(F.col("_upto") >= F.col("want"))
+    edges = edges.groupBy(F.col("_label").alias(label)).agg(
+        *[F.min(F.when(F.col("part") == part, F.col("_place"))).alias(f"_{part}") for part in shares]
     )
     # A part without rows has no cut place, and no place is below ''.
     for part in shares:
@@ -145,7 +147,8 @@ def stratified_split(
     seed: int = SEED,
     mode: str = "exact",
 ) -> DataFrame:
-    """Add split: train, val or test. Rows without a label are dropped; `key` must be unique.
+    """Add split: train, val or test. Rows without a label are dropped; `key` should be unique, and
+    rows that share one stay together.
 
     exact: of the n rows of a class in the order of their places, the first int(n * r1) train, up
     to int(n * (r1 + r2)) validate, the rest test; a class below `min_class` only trains.
@@ -156,7 +159,7 @@ def stratified_split(
 
 
 def random_split(df: DataFrame, ratio: float = 0.9, key: str = "text_hash", seed: int = SEED, mode: str = "exact") -> DataFrame:
-    """Add split: int(n * ratio) rows train and the others validate; `key` must be unique."""
+    """Add split: int(n * ratio) rows train and the others validate; `key` should be unique."""
     whole = df.withColumn("_all", F.lit("all"))
     return _split_at(whole, "_all", key, {"train": ratio}, "val", 0, seed, mode).drop("_all")
 

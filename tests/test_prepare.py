@@ -92,6 +92,13 @@ def test_split_sizes_of_a_large_class(spark):
     assert abs({r.split: r["count"] for r in hashed}["train"] / 20_000 - 0.7) < 0.02
 
 
+def test_split_with_one_hot_key(spark):
+    """A third of the rows share a key: they stay together, and no task ranks them one by one."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"), F.lit("a").alias("label"))
+    got = P.stratified_split(df, "label", "key")
+    assert got.count() == 9000 and got.where("key = -1").select("split").distinct().count() == 1
+
+
 def test_random_split_size(spark):
     df = spark.range(1001)
     counts = {r.split: r["count"] for r in P.random_split(df, 0.9, "id").groupBy("split").count().collect()}
