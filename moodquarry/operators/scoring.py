@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from moodquarry.functions.labels import EMOTIONS, compound_to_label
 from moodquarry.functions.text import cache_key, clean_text, preview, strip
 from moodquarry.plans.lookup import MAX_LITERAL_ROWS, constant_lookup, lookup_column, lookup_join, small_map
+from moodquarry.plans.skew import hot_join
 
 # Fixed values of the published method; every one is only a default.
 ALPHA = 15.0
@@ -44,9 +45,6 @@ EDGE_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 AT_EDGE = r"^[!-/:-@\[-`{-~]|[!-/:-@\[-`{-~]$"
 RULES = {"negators": NEGATORS, "stronger": STRONGER, "weaker": WEAKER}
 
-# Keys shared by rows without text in a join by text.
-SPARE_KEYS = 10_000
-
 SCORES = ["sentiment", "compound", "pos", "neg", "neu", "confidence"]
 EMOTION_SCORES = ["primary_emotion", "emotion_confidence", "emotion_scores"]
 
@@ -394,21 +392,21 @@ def lexicon_lookup(tokens: DataFrame, lexicon: DataFrame, token: str = "token")
     return lookup_join(tokens, valences, token, "left")
 
 
+def _text_key(key: Column) -> Column:
+    """`key`, known not to be null: else a join would test the whole cleaning expression at the scan."""
+    return F.coalesce(key, F.lit(""))
+
+
 def map_back(df: DataFrame, text: str, scorer: Callable[[DataFrame, str, str], DataFrame], defaults: dict) -> DataFrame:
     """Score each distinct cleaned text once and give every row its score.
 
     `scorer(texts, key, text)` returns the key and the columns named in `defaults`, which hold
-    for empty texts. Rows of one hot text meet one score row; AQE splits that join partition. Empty
-    texts get one of many keys that match nothing, so they do not gather in one task.
+    for empty texts. Rows of one hot text are split over several tasks.
     """
-    keyed = df.withColumn("_clean", clean_text(text, None))
-    spare = F.concat(F.lit("-"), F.pmod(F.xxhash64(*df.columns), F.lit(SPARE_KEYS)).cast("string"))
-    # Never null, else the join would test the whole cleaning expression for null at the scan.
-    own = F.when(F.col("_clean") != "", F.md5("_clean")).otherwise(spare)
-    keyed = keyed.withColumn("_h", F.coalesce(own, F.lit("")))
+    keyed = df.withColumn("_clean", clean_text(text, None)).withColumn("_h", _text_key(F.md5("_clean")))
     texts = keyed.groupBy("_h").agg(F.any_value("_clean").alias("_clean")).where(F.col("_clean") != "")
     scores = scorer(texts, "_h", "_clean").select("_h", *[F.col(c).alias(f"_{c}") for c in defaults])
-    found = keyed.join(scores, "_h", "left")
+    found = hot_join(keyed.drop("_clean"), scores, "_h")
     return found.select(*df.columns, *[F.coalesce(f"_{c}", F.lit(v)).alias(c) for c, v in defaults.items()])
 
 
@@ -430,7 +428,7 @@ def score_with_cache(
     not score again.
     """
     keyed = df.withColumn("_clean", clean_text(text, None))
-    keyed = keyed.withColumn("cache_key", F.coalesce(cache_key("_clean", kind), F.lit("")))
+    keyed = keyed.withColumn("cache_key", _text_key(cache_key("_clean", kind)))
     fresh = cache.where(F.col("stored_at") > as_of - F.make_interval(secs=F.lit(ttl_seconds)))
     fresh = fresh.groupBy("cache_key").agg(F.max_by(F.struct(*columns), "stored_at").alias("_r"))
     fresh = fresh.select("cache_key", "_r.*", F.lit(True).alias("from_cache"))
@@ -441,4 +439,4 @@ def score_with_cache(
         scored.write.parquet(folder)
         scored = df.sparkSession.read.parquet(folder)
     known = fresh.unionByName(scored.withColumn("from_cache", F.lit(False)))
-    return keyed.join(known, "cache_key", "left").drop("_clean"), scored.withColumn("stored_at", as_of)
+    return hot_join(keyed.drop("_clean"), known, "cache_key"), scored.withColumn("stored_at", as_of)

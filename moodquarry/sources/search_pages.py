@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moodquarry.plans.skew import hot_join
+
 PAGE_SCHEMA = """
     data array<struct<id:string,text:string,author_id:string,created_at:string,lang:string,source:string,
                       public_metrics:map<string,bigint>>>,
@@ -14,11 +16,11 @@ PAGE_SCHEMA = """
 def attach_authors(posts: DataFrame, users: DataFrame) -> DataFrame:
     """Left lookup of posts.author_id; an unknown author is null and not verified.
 
-    `users` may repeat an id; one of its rows is kept. Posts of one hot author are split by AQE.
+    `users` may repeat an id; one of its rows is kept. Posts of a hot author are split over tasks.
     """
     fields = [c for c in ("name", "username", "verified") if c in users.columns]
     one = users.groupBy(F.col("id").alias("author_id")).agg(F.min(F.struct(*fields)).alias("_u"))
-    joined = posts.join(one, "author_id", "left")
+    joined = hot_join(posts, one, "author_id")
     out = joined.select(
         *posts.columns,
         F.col("_u.name").alias("author_name") if "name" in fields else F.lit(None).cast("string").alias("author_name"),

@@ -12,6 +12,7 @@ from moodquarry.operators import stats as ST
 from moodquarry.operators import tables as T
 from moodquarry.operators.filters import time_range
 from moodquarry.plans.lookup import lookup_column, lookup_join, small_copy
+from moodquarry.plans.skew import hot_join, hot_keys
 from moodquarry.plans.spread import spread
 
 
@@ -88,3 +89,28 @@ def test_constant_lookup_finds_every_key(spark, frame):
     df = frame("k string", [(k,) for k, _ in rows[:200]] + [("none",), (None,)])
     got = [r[0] for r in df.select(find(F.col("k"))).collect()]
     assert got == list(range(200)) + [None, None]
+
+
+def test_hot_join_equals_the_plain_join(spark):
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 500).cast("bigint")
+    left = spark.range(6000).select("id", key.alias("k"))
+    right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    hot = hot_keys(left, "k", 100)
+    assert [tuple(r) for r in hot.collect()] == [(7, 21)] and hot_keys(left, "k") is None
+    want = sorted(map(str, left.join(right, "k", "left").select("id", "k", "v").collect()))
+    for rows in (100, 10**6):
+        assert sorted(map(str, hot_join(left, right, "k", rows).select("id", "k", "v").collect())) == want
+
+
+def test_hot_join_spreads_the_hot_key(spark):
+    left = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    right = spark.range(10).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = hot_join(left, right, "k", 100).groupBy(F.spark_partition_id()).count()
+        sizes = [r["count"] for r in out.collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
