@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodquarry.functions.text import TAG_PATTERN, strip
+from moodquarry.functions.text import SPACES, TAG_PATTERN, strip
 from moodquarry.sources.files import TEXT_COLUMNS, find_text_column
 
 # Limits and the patterns that make a text suspicious.
@@ -14,8 +14,8 @@ MAX_BYTES = 100 * 1024 * 1024
 SUSPICIOUS = [
     r"<script",
     r"javascript:",
-    r"on[\p{L}\p{N}_]+\s*=",
-    r"eval\s*\(",
+    rf"on[\p{{L}}\p{{N}}_]+[{SPACES}]*=",
+    rf"eval[{SPACES}]*\(",
     r"document\.",
     r"window\.",
     r"location\.",

@@ -1,7 +1,8 @@
 """Aggregates over scored posts, analyses, samples and jobs.
 
 Every aggregate groups by what it reports and adds up partial results, so a hot key costs one
-row per task. Maps are built from rows that are already grouped by their key.
+row per task. Maps of counts are built from rows already grouped by label, one entry per label;
+labels and emotions are small domains.
 """
 
 from pyspark.sql import Column, DataFrame

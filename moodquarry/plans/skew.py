@@ -30,7 +30,8 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, rows_per_task: int = RO
     if hot is None:
         hot = left.sparkSession.createDataFrame([], left.select(on).schema.add("_tasks", T.IntegerType()))
     hot = F.broadcast(hot)
-    own = F.xxhash64(*left.columns)
+    # Maps have no hash.
+    own = F.xxhash64(*[f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()])
     spare = F.when(F.col(on).isNull(), F.pmod(own, F.lit(SPARE_KEYS)))
     left = left.join(hot, on, "left").withColumn("_part", F.coalesce(spare, F.pmod(own, F.col("_tasks")), F.lit(0).cast("bigint"))).drop("_tasks")
     parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_tasks", F.lit(1)).cast("bigint") - 1)

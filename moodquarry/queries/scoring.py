@@ -6,7 +6,7 @@ from moodquarry.functions.labels import EMOTIONS
 from moodquarry.operators import scoring as S
 from moodquarry.queries import query
 from moodquarry.queries.tables import (
-    AS_OF, STAND_IN_RULES, lexicons, r6, sql, sql_clean, sql_label, sql_list, stamp, table, text_table,
+    AS_OF, STAND_IN_RULES, lexicons, posts_of, r6, sql, sql_clean, sql_label, sql_list, stamp, table, text_table,
 )
 
 _PUNCTUATION = S.EDGE_PUNCTUATION.replace("'", "''")
@@ -128,6 +128,20 @@ def _emotion_columns(df):
     )
 
 
+@query(
+    "score_posts",
+    sql(
+        "posts lexicon",
+        "SELECT key AS id, sentiment, compound, pos, neg, neu, confidence FROM sentiments",
+        **_sentiment_parts("posts", "id"),
+    ),
+)
+def score_posts(spark, sf):
+    """Many short texts."""
+    short = posts_of(text_table(spark, sf, "events"))
+    return S.score_sentiment(short, "id", "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES)
+
+
 @query("score_emotion", sql("emolex", _EMOTION, **_emotion_parts("documents", "doc_id")))
 def score_emotion(spark, sf):
     return _emotion_columns(S.score_emotion(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[1]))

@@ -109,6 +109,13 @@ def test_map_back_scores_each_text_once(spark, frame, lexicons):
     assert seen.value == 2
 
 
+def test_map_back_with_map_columns(frame, lexicons):
+    df = frame("m map<string,int>, text string", [({"a": 1}, "good"), (None, "")])
+    scorer = lambda rows, key, text: S.score_sentiment(rows, key, text, lexicons[0])
+    rows = S.map_back(df, "text", scorer, {"sentiment": "neutral"}).collect()
+    assert sorted((r.m or {}, r.sentiment) for r in rows if r.m) == [({"a": 1}, "positive")] and len(rows) == 2
+
+
 def test_cache_age_and_misses(spark, frame, lexicons, tmp_path):
     as_of = F.lit("2025-01-02 00:00:00").cast("timestamp")
     key = lambda t: F.concat(F.lit("sentiment:quick:"), F.md5(F.lit(t)))

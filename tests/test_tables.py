@@ -171,3 +171,12 @@ def test_profile_counts_whole_table(frame):
 def test_user_activity_zero(frame):
     users, some = frame("user_id int", [(1,), (2,)]), frame("user_id int", [(1,), (1,)])
     assert sorted(tuple(r) for r in S.user_activity(users, some, some.limit(0)).collect()) == [(1, 2, 0), (2, 0, 0)]
+
+
+def test_runs_are_logged_and_listed(spark, frame, tmp_path):
+    path = str(tmp_path / "runs")
+    for i in (1, 2, 3):
+        J.log_run(frame("id int, run_name string, started_at timestamp, other int", [(i, f"r{i}", DAY + datetime.timedelta(days=i), 0)]), path)
+    rows = J.run_history(spark.read.parquet(path), 2).collect()
+    assert [r.id for r in rows] == [3, 2] and rows[0].asDict().keys() == {"id", "run_name", "started_at"}
+    assert [r.id for r in J.run_history(frame("id int, status string", [(1, "a"), (5, "b")])).collect()] == [5, 1]
