@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodquarry.plans.skew import hot_join
+
 # Largest table that may be sent to every executor.
 MAX_LOOKUP_ROWS = 200_000
 # Largest table that may be written into a plan as a constant.
@@ -25,9 +27,17 @@ def small_copy(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame | No
 def lookup_join(
     df: DataFrame, table: DataFrame, on, how: str = "left", max_rows: int = MAX_LOOKUP_ROWS
 ) -> DataFrame:
-    """Join to a lookup table: broadcast if its size allows, else a shuffle join (split by AQE)."""
+    """Join to a lookup table with one row per key: broadcast if its size allows, else a shuffle
+    join, which splits hot keys when it is a left or inner join by one column."""
     small = small_copy(table, max_rows)
-    return df.join(table if small is None else F.broadcast(small), on, how)
+    if small is not None:
+        return df.join(F.broadcast(small), on, how)
+    if not isinstance(on, str) or how not in ("left", "inner"):
+        return df.join(table, on, how)
+    if how == "left":
+        return hot_join(df, table, on)
+    found = hot_join(df, table.withColumn("_known", F.lit(True)), on)
+    return found.where(F.col("_known")).drop("_known")
 
 
 def small_map(table: DataFrame, key: str, value: str, max_rows: int = MAX_LITERAL_ROWS) -> dict | None:
