@@ -1,6 +1,5 @@
 import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from moodquarry.operators import filters as FL
