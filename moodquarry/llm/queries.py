@@ -2,9 +2,16 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from moodquarry.llm.packing import pack_documents
 from moodquarry.llm.simhash import near_duplicates
+from moodquarry.llm.token_counts import count_tokens
+from moodquarry.llm.token_output import packed_matrices
+
+WORD_BPE, WORD_BPE_END = public_tokenizers.path("word_bpe_49k.json"), 1
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,3 +34,18 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_simhash_near_dedup")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents(spark, sf), "doc_id", "text")
+
+
+@query("op4_best_fit_packing")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(documents(spark, sf), "doc_id", "text", WORD_BPE, WORD_BPE_END)
+
+
+@query("op6_token_output")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_matrices(documents(spark, sf), "doc_id", "text", WORD_BPE, WORD_BPE_END)
+
+
+@query("op10_token_counts")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return count_tokens(documents(spark, sf), "doc_id", "text", PIECE_BPE)
