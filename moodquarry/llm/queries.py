@@ -5,6 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from moodquarry.llm.mixing import mixed_sizes, words
 from moodquarry.llm.packing import pack_documents
 from moodquarry.llm.simhash import near_duplicates
 from moodquarry.llm.token_counts import count_tokens
@@ -31,6 +32,52 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+OP1_SQL = """
+WITH rows AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+        ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+    FROM documents
+), sources AS (
+    SELECT *, CASE source_no % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM (
+        SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no
+        FROM rows GROUP BY source)
+), levels AS (  -- from each source on, by size for its weight, none stops at twice its size: the first level that holds
+    SELECT 2 * source_size / weight AS ratio, (1.5::DOUBLE * sum(source_size) OVER ()
+        - coalesce(sum(2 * source_size) OVER (ORDER BY source_size / weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY source_size / weight ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM sources
+), aims AS (
+    SELECT *, least((2 * source_size)::DOUBLE, weight * (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio LIMIT 1)) AS target,
+        greatest(1, ceil(source_size / 65536))::BIGINT AS blocks
+    FROM sources
+), placed AS (
+    SELECT r.*, a.* EXCLUDE (source), r.hash % a.blocks AS block FROM rows r JOIN aims a ON r.source IS NOT DISTINCT FROM a.source
+), each AS (
+    SELECT source_no, block, pass, max(target) - pass * max(source_size) AS rest, sum(size) AS block_size
+    FROM placed, (VALUES (0), (1), (2)) AS p(pass)
+    WHERE target > 0 AND pass <= floor(target / source_size) GROUP BY source_no, block, pass
+), drawn AS (
+    SELECT *, sum(block_size) OVER (PARTITION BY source_no, pass
+        ORDER BY ('0x' || substr(md5(concat_ws('|', '42', source_no, block, pass)), 1, 15))::BIGINT, block) - block_size AS before
+    FROM each
+), taken AS (
+    SELECT p.doc_id, p.hash, d.pass, d.rest - d.before AS rest, d.block_size > d.rest - d.before AS partly,
+        sum(p.size) OVER (PARTITION BY d.source_no, d.pass, d.block ORDER BY p.hash RANGE UNBOUNDED PRECEDING) AS upto,
+        sum(p.size) OVER (PARTITION BY d.source_no, d.pass, d.block, p.hash) AS size
+    FROM drawn d JOIN placed p USING (source_no, block) WHERE d.before < d.rest
+), counted AS (
+    SELECT hash, count(DISTINCT pass) AS n FROM taken WHERE NOT partly OR upto - size + size / 2 <= rest GROUP BY hash
+)
+SELECT p.doc_id, p.size, p.source_size, p.target, (p.size * coalesce(c.n, 0))::BIGINT AS taken
+FROM placed p LEFT JOIN counted c USING (hash)
+"""
+
+
+@query("op1_source_mixing", OP1_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed_sizes(documents(spark, sf), "doc_id", "source", words("text"))
+
+
 @query("op3_simhash_near_dedup")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents(spark, sf), "doc_id", "text")
