@@ -5,8 +5,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from moodquarry.llm.language import predict_languages
 from moodquarry.llm.mixing import mixed_sizes, words
 from moodquarry.llm.packing import pack_documents
+from moodquarry.llm.quality import score_quality
 from moodquarry.llm.simhash import near_duplicates
 from moodquarry.llm.token_counts import count_tokens
 from moodquarry.llm.token_output import packed_matrices
@@ -78,6 +80,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return mixed_sizes(documents(spark, sf), "doc_id", "source", words("text"))
 
 
+@query("op2_language_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return predict_languages(documents(spark, sf), "doc_id", "text", "lang")
+
+
 @query("op3_simhash_near_dedup")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents(spark, sf), "doc_id", "text")
@@ -93,6 +100,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return packed_matrices(documents(spark, sf), "doc_id", "text", WORD_BPE, WORD_BPE_END)
 
 
+@query("op7_quality_classifier")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return score_quality(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "text", "quality")
+
+
 @query("op10_token_counts")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(documents(spark, sf), "doc_id", "text", PIECE_BPE)
