@@ -1,11 +1,30 @@
 """A corpus from raw documents: stages that each call one operator of `moodquarry.llm`, written and read in between."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodquarry.llm.language import UNDETERMINED, language_of, learn_profiles
+from moodquarry.llm.mixing import mixed_rows, words
+from moodquarry.llm.packing import pack_documents
 from moodquarry.llm.simhash import near_duplicates
+from moodquarry.llm.substrings import without_repeats
 from moodquarry.llm.tables import keep
 
+LEAST_COSINE = 0.03  # one standard deviation of the cosine between unlike vectors of 1024 dimensions
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the corpus names; those with no letter, or like none of them, go.
+
+    Without any row that names a language nothing is known and nothing stays.
+    """
+    profiles = learn_profiles(docs, "text", "lang")
+    found = language_of(profiles, F.col("text"))
+    return docs.withColumn("found_", found).filter(
+        (F.col("found_.lang_pred") != UNDETERMINED) & (F.col("found_.score") >= LEAST_COSINE)
+    ).drop("found_")
+
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id; so do documents without an id."""
@@ -14,12 +33,34 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("simhash_near_dedup", simhash_stage)]
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that a smaller doc_id has, too; n_chars follows. A text of which nothing is left goes."""
+    return without_repeats(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix of sources draws them: not at all, once or twice, in its shuffled shards."""
+    return mixed_rows(docs, "doc_id", "source", words("text"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its place in a sequence."""
+    return pack_documents(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("substring_dedup", substring_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # hyperdimensional profiles, BPE and packing are beyond SQL; tests/llm checks each stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)

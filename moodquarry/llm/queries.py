@@ -10,6 +10,7 @@ from moodquarry.llm.mixing import mixed_sizes, words
 from moodquarry.llm.packing import pack_documents
 from moodquarry.llm.quality import score_quality
 from moodquarry.llm.simhash import near_duplicates
+from moodquarry.llm.substrings import drop_repeats
 from moodquarry.llm.token_counts import count_tokens
 from moodquarry.llm.token_output import packed_matrices
 
@@ -105,6 +106,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return score_quality(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "text", "quality")
 
 
+@query("op8_substring_dedup")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_repeats(documents(spark, sf), "doc_id", "text")
+
+
 @query("op10_token_counts")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(documents(spark, sf), "doc_id", "text", PIECE_BPE)
