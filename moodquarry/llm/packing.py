@@ -32,13 +32,13 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        end = np.array([end_id], "<u4")
+        end = end_id.to_bytes(4, "little")
         for batch in small_batches(batches, "text_"):
             rows, out = [], []
             for at, got in enumerate(tokenizer.encode([t or "" for t in batch.column("text_").to_pylist()])):
-                got = np.append(got, end)
-                for piece, start in enumerate(range(0, len(got), capacity)):
-                    data = got[start : start + capacity].tobytes()
+                got += end
+                for piece, start in enumerate(range(0, len(got) // 4, capacity)):
+                    data = got[4 * start : 4 * (start + capacity)]
                     rows.append(at)
                     out.append((piece, start, len(data) // 4, zlib.crc32(data), data)[: 4 + ids])
             kept = batch.drop_columns(["text_"]).take(pa.array(rows, pa.int64()))

@@ -4,11 +4,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from moodquarry.llm.language import predict_languages
 from moodquarry.llm.mixing import mixed_sizes, words
 from moodquarry.llm.packing import pack_documents
 from moodquarry.llm.quality import score_quality
+from moodquarry.llm.search import top_inner_products
 from moodquarry.llm.simhash import near_duplicates
 from moodquarry.llm.substrings import drop_repeats
 from moodquarry.llm.token_counts import count_tokens
@@ -111,6 +113,27 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return drop_repeats(documents(spark, sf), "doc_id", "text")
 
 
+OP9_SQL = """
+WITH vectors AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+        list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)])::BIGINT AS score
+    FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op9_exact_top_k", OP9_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return top_inner_products(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
 @query("op10_token_counts")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(documents(spark, sf), "doc_id", "text", PIECE_BPE)

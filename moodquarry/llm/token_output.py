@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moodquarry.llm.packing import CAPACITY, token_pieces
 
-GROUP_CHARS = 32 << 20  # characters whose ids one task packs together
+GROUP_CHARS = 16 << 20  # characters whose ids one task packs together
 MATRIX_ROWS = 64
 
 MATRIX = (

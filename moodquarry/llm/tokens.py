@@ -5,8 +5,6 @@ import os
 import re
 from array import array
 
-import numpy as np
-
 CACHE = 400_000  # words, and chunks between spaces, whose ids a worker keeps
 LONG = 64  # longer ones are not kept
 
@@ -32,38 +30,46 @@ class WordTokenizer:
         # How the library writes the bytes of a letter; plain ASCII stands for itself.
         letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
         self.bytes = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        strings = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(strings) or "(?!)")
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks(self)
 
-    def _word(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             mapped = word if word.isascii() else word.translate(self.bytes)
             ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
             if len(word) <= LONG:
+                if len(self.words) >= CACHE:
+                    self.words.clear()
                 self.words[word] = ids
         return ids
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        for kept in (self.words, self.chunks):
-            if len(kept) > CACHE:
-                kept.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.chunks.keys()
-        odd = []
-        for c in new:
-            if _PLAIN.fullmatch(c) and not any(s in c for s in self.special):
-                self.chunks[c] = b"".join(map(self._word, _WORD.findall(c.lower())))
-            else:
-                odd.append(c)
-        for c, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
-            self.chunks[c] = array("I", e.ids).tobytes()
-        got = [np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), "<u4") for chunks in split]
-        for c in new:
-            if len(c) > LONG:
-                del self.chunks[c]
-        return got
+    def chunk(self, chunk: str) -> bytes:
+        if _PLAIN.fullmatch(chunk) and not self.special.search(chunk):
+            return b"".join(map(self.word, _WORD.findall(chunk.lower())))
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        ids = self.chunks.__getitem__
+        return [b"".join(map(ids, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+class _Chunks(dict):
+    """Ids of chunks, each encoded when it is first met, kept up to a bound."""
+
+    def __init__(self, tokenizer: WordTokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.tokenizer.chunk(chunk)
+        if len(chunk) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 @functools.lru_cache(maxsize=2)
