@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodquarry.llm.fingerprints import fingerprint_edits
 from moodquarry.llm.language import predict_languages
 from moodquarry.llm.mixing import mixed_sizes, words
 from moodquarry.llm.packing import pack_documents
@@ -98,6 +99,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(documents(spark, sf), "doc_id", "text", WORD_BPE, WORD_BPE_END)
 
 
+@query("op5_document_fingerprints")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint_edits(documents(spark, sf), "doc_id", "text")
+
+
 @query("op6_token_output")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return packed_matrices(documents(spark, sf), "doc_id", "text", WORD_BPE, WORD_BPE_END)
