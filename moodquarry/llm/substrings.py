@@ -173,7 +173,7 @@ def _window_hashes(words: np.ndarray, at: np.ndarray, window: int, seed: int) ->
 
 
 def candidate_windows(rows: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(id, mark, at, h1, h2) for each window of `rows` (id, mark, text, shared) whose symbol is among the row's shared ones."""
+    """(no, id, at, h1, h2) for each window of `rows` (no, id, text, shared) whose symbol is among the row's shared ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -189,14 +189,14 @@ def candidate_windows(rows: DataFrame, window: int = WINDOW, rounds: int = ROUND
             other = word_hashes([w for one in split for w in one], 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").take(pa.array(of)), batch.column("mark").take(pa.array(of)),
+                    batch.column("no").take(pa.array(of)), batch.column("id").take(pa.array(of)),
                     pa.array(at - begins[of], pa.int32()),
                     pa.array(_window_hashes(words, at, window, 1).view(np.int64)), pa.array(_window_hashes(other, at, window, 2).view(np.int64)),
                 ],
-                ["id", "mark", "at", "h1", "h2"],
+                ["no", "id", "at", "h1", "h2"],
             )
 
-    return rows.mapInArrow(run, "id bigint, mark bigint, at int, h1 bigint, h2 bigint")
+    return rows.mapInArrow(run, "no bigint, id bigint, at int, h1 bigint, h2 bigint")
 
 
 def _without(words: list[bytes], at: list[int], window: int) -> list[bytes]:
@@ -223,13 +223,13 @@ def _marked(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def find_repeats(rows: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """From `rows` (id, mark, text): (id, mark, n_words, sha, least) of each, and (id, mark, at) of those with repeated windows.
+    """From `rows` (id, mark, text): (id, mark, n_words, sha, least) of each, and (id, mark, kept) of those with repeated windows.
 
     `least` is the smallest id with the same words; a text that is not its own class's first needs no search. Of the first ones, all
     symbols that stand for a window meet by name, and those of two ids or more reveal where a repeat may be. Only the windows
-    under such symbols are then hashed whole, with 128 bits, and meet by hash: that verifies them, and `at` lists the windows that
-    a smaller id has, too. A hot symbol, window or class is pre-aggregated and its joins read written tables, so Spark can
-    split them.
+    under such symbols are then hashed whole, with 128 bits, and meet by hash: that verifies them. `kept` is what a row keeps
+    beside the windows that a smaller id has, too. A hot symbol, window or class is pre-aggregated and its joins read written
+    tables, so Spark can split them. Windows are made anew for their second use, as that takes less room than to write them.
     """
     every = keep(symbols(rows.select("id", "mark", "text"), window, rounds), "symbols")
     classes = keep(every.groupBy("sha").agg(F.min("id").alias("least")), "classes")
@@ -239,16 +239,13 @@ def find_repeats(rows: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     common = anchors.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     hits = anchors.join(keep(common, "shared_symbols"), "key")
     shared = keep(hits.groupBy("id", "mark").agg(F.collect_set("key").alias("shared")), "shared")
-    found = keep(candidate_windows(rows.join(shared, ["id", "mark"]), window, rounds), "windows")
+    some = keep(rows.join(shared, ["id", "mark"]).withColumn("no", F.monotonically_increasing_id()), "suspects")
+    found = candidate_windows(some.select("no", "id", "text", "shared"), window, rounds)
     least = found.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
     later = found.join(keep(least, "repeated_windows"), ["h1", "h2"]).filter("id > lo")
-    return info, later.groupBy("id", "mark").agg(F.sort_array(F.collect_set("at")).alias("at"))
-
-
-def _judged(rows: DataFrame, window: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    info, later = find_repeats(rows, window, rounds)
-    part = keep(cut(rows.join(later, ["id", "mark"]), window), "cut_texts").dropDuplicates(["id", "mark"])
-    return info, part
+    later = keep(later.groupBy("no").agg(F.sort_array(F.collect_set("at")).alias("at")), "places")
+    part = cut(some.join(later, "no").select("id", "mark", "text", "at"), window)
+    return info, keep(part.dropDuplicates(["id", "mark"]), "cut_texts")
 
 
 def drop_repeats(df: DataFrame, id_col: str, text: str, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -259,7 +256,7 @@ def drop_repeats(df: DataFrame, id_col: str, text: str, window: int = WINDOW, ro
     null id neither remove nor lose any. Equal rows give equal rows. Other columns are not read; an empty table gives no row.
     """
     rows = _marked(df, id_col, text)
-    info, part = _judged(rows, window, rounds)
+    info, part = find_repeats(rows, window, rounds)
     gone = (F.col("id") > F.col("least")) & (F.col("n_words") >= window)
     left = F.when(gone, F.lit("")).otherwise(F.col("kept"))
     n_left = F.when(left.isNull(), F.col("n_words")).when(left == "", 0).otherwise(F.size(F.split(left, " ")))
@@ -276,7 +273,7 @@ def without_repeats(df: DataFrame, id_col: str, text: str, window: int = WINDOW,
     as they are, to the last space.
     """
     rows = _marked(df, id_col, text)
-    info, part = _judged(rows, window, rounds)
+    info, part = find_repeats(rows, window, rounds)
     whole = info.filter((F.col("id") > F.col("least")) & (F.col("n_words") >= window)).select("id", "mark", F.lit("").alias("kept_"))
     changed = keep(whole.unionByName(part.withColumnRenamed("kept", "kept_")).dropDuplicates(["id", "mark"]), "changed")
     key = changed.toDF("id_", "mark_", "kept_")
