@@ -20,10 +20,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Without any row that names a language nothing is known and nothing stays.
     """
     profiles = learn_profiles(docs, "text", "lang")
-    found = language_of(profiles, F.col("text"))
-    return docs.withColumn("found_", found).filter(
-        (F.col("found_.lang_pred") != UNDETERMINED) & (F.col("found_.score") >= LEAST_COSINE)
-    ).drop("found_")
+    found = docs.select(F.struct(*docs.columns).alias("row"), language_of(profiles, F.col("text")).alias("found"))
+    known = (F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= LEAST_COSINE)
+    return found.filter(known).select("row.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

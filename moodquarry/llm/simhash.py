@@ -86,7 +86,7 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Links (a, b) that join distinct fingerprints `f` as all pairs at `radius` bits or fewer would.
+    """Links (a, b) that join distinct fingerprints `f` as all pairs at `radius` bits or fewer would; `radius` is below 64.
 
     The 64 bits are cut into radius + 1 fields; a linked pair agrees on one field at least, so each field deals the
     fingerprints out by its value. A tile is one value and one band of population counts, radius + 1 wide; it meets itself
@@ -97,7 +97,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_RO
     width = radius + 1
     cuts = [64 * i // width for i in range(width + 1)]
     fields = [
-        F.shiftrightunsigned(F.shiftleft("f", 64 - hi), 64 - hi + lo) * width + i for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))
+        F.xxhash64(F.lit(i), F.shiftrightunsigned(F.shiftleft("f", 64 - hi), 64 - hi + lo)) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))
     ]
     dealt = prints.select("f", (F.bit_count("f") / width).cast("int").alias("band"), F.explode(F.array(*fields)).alias("value"))
     sizes = dealt.groupBy("value", "band").count().filter(F.col("count") > tile_rows)

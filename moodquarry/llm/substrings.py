@@ -277,6 +277,6 @@ def without_repeats(df: DataFrame, id_col: str, text: str, window: int = WINDOW,
     whole = info.filter((F.col("id") > F.col("least")) & (F.col("n_words") >= window)).select("id", "mark", F.lit("").alias("kept_"))
     changed = keep(whole.unionByName(part.withColumnRenamed("kept", "kept_")).dropDuplicates(["id", "mark"]), "changed")
     key = changed.toDF("id_", "mark_", "kept_")
-    joined = df.join(key, (df[id_col] == F.col("id_")) & (F.xxhash64(F.coalesce(df[text], F.lit(""))) == F.col("mark_")), "left")
-    kept = joined.filter("kept_ is null or kept_ <> ''")
-    return kept.select(*(F.coalesce("kept_", df[c]).alias(c) if c == text else df[c] for c in df.columns))
+    same = (df[id_col] == key["id_"]) & (F.xxhash64(F.coalesce(df[text], F.lit(""))) == key["mark_"])
+    kept = df.join(key, same, "left").filter(key["kept_"].isNull() | (key["kept_"] != ""))
+    return kept.select(*(F.coalesce(key["kept_"], df[c]).alias(c) if c == text else df[c] for c in df.columns))
