@@ -41,8 +41,8 @@ def _without(c: Column, url: str, tag: str) -> Column:
     return F.when(marked, F.regexp_replace(replaced, F.lit(TAG_PATTERN), F.lit(tag))).otherwise(c)
 
 
-def clean_text(c: Column | str, max_len: int | None = MAX_CLEAN_LENGTH) -> Column:
-    """Drop URLs and tags, collapse white space, cut, trim; null becomes ''."""
+def clean_text(c: Column | str, max_len: int | None = None) -> Column:
+    """Drop URLs and tags, collapse white space, cut if `max_len` is given, trim; null becomes ''."""
     text = collapse_spaces(_without(F.coalesce(_col(c), F.lit("")), "", ""))
     return F.trim(F.substring(text, 1, max_len) if max_len else text)
 

@@ -34,26 +34,36 @@ def match_keywords(
     max_pattern: int = MAX_PATTERN_KEYWORDS,
     max_literal: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
-    """Rows whose text has one of the keywords as a whole word, in any case.
+    """Rows whose text has one of the keywords, words or phrases, as a whole, in any case; no keyword, no row.
 
-    A few keywords make one pattern; many single words are looked up for each word of the text,
-    inside the row. More than a constant can hold are joined, and the keys found, which must be
-    unique, select the rows.
+    A few keywords make one pattern. Of many, single words are looked up for each word of the text, inside the row, and
+    phrases are tried as patterns of a few each. More words than a constant can hold are joined, and the keys found, which must be
+    unique, select the rows. All ways give the same rows.
     """
     edge = r"[^\p{L}\p{N}_]"
-    if len(keywords) <= max_pattern:
-        words = "|".join(re.escape(k.lower()) for k in keywords)
-        return df.where(F.lower(text).rlike(f"(?:^|{edge})(?:{words})(?:{edge}|$)"))
-    single = [k.lower() for k in keywords]
-    if any(re.search(r"\W", k) for k in single):
-        raise ValueError("more than a few keywords must be single words")
+    wanted = sorted({k.lower() for k in keywords})
+
+    def has(some: list[str]) -> Column:
+        return F.lower(text).rlike(f"(?:^|{edge})(?:{'|'.join(map(re.escape, some))})(?:{edge}|$)")
+
+    if not wanted:
+        return df.where(F.lit(False))
+    if len(wanted) <= max_pattern:
+        return df.where(has(wanted))
+    phrases = [k for k in wanted if not k or re.search(r"\W", k)]
+    single = [k for k in wanted if k and not re.search(r"\W", k)]
+    phrase = F.lit(False)
+    step = max(1, max_pattern)
+    for at in range(0, len(phrases), step):
+        phrase = phrase | has(phrases[at : at + step])
     words = F.split(F.lower(text), edge)
     if len(single) <= max_literal:
         known = constant_lookup({k: True for k in single}, "boolean")
-        return df.where(F.exists(words, lambda w: known(w).isNotNull()))
-    wanted = df.sparkSession.createDataFrame([(k,) for k in sorted(set(single))], "word string")
-    words = df.select(key, F.explode(F.array_distinct(words)).alias("word"))
-    return df.join(lookup_join(words, wanted, "word", "left_semi").select(key), key, "left_semi")
+        return df.where(phrase | F.exists(words, lambda w: known(w).isNotNull()))
+    table = df.sparkSession.createDataFrame([(k,) for k in single], "word string")
+    found = df.select(key, F.explode(F.array_distinct(words)).alias("word"))
+    found = lookup_join(found, table, "word", "left_semi").select(key)
+    return df.join(found.unionByName(df.where(phrase).select(key)), key, "left_semi")
 
 
 def time_range(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:

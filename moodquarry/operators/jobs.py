@@ -52,6 +52,17 @@ def log_run(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def finish_runs(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """`runs` with the columns that `results` has for their id, such as status, metrics and finished_at; null there changes nothing.
+
+    `results` has one row per id. Write the outcome with `write_upsert`, or over the run table's next version.
+    """
+    new = [c for c in results.columns if c != "id"]
+    joined = runs.alias("r").join(results.alias("n"), "id", "left")
+    own = [F.coalesce(f"n.{c}", f"r.{c}").alias(c) if c in new else F.col(c if c == "id" else f"r.{c}") for c in runs.columns]
+    return joined.select(*own, *(F.col(f"n.{c}") for c in new if c not in runs.columns))
+
+
 def log_epoch(df: DataFrame, path: str) -> None:
     """Append epoch rows, with their run id, to the epoch table."""
     df.write.mode("append").parquet(path)

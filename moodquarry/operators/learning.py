@@ -88,7 +88,8 @@ def train_two_heads(
                 out = _head(fitted[h], out, h, labels)
             metrics = evaluate(_true_probability(out)).first().asDict()
             history.append({"trial": number, **metrics})
-            if best is None or metrics["val_loss"] < best[0]:
+            # Without a validation row there is no loss, and the first trial stays.
+            if best is None or (metrics["val_loss"] is not None and (best[0] is None or metrics["val_loss"] < best[0])):
                 best = (metrics["val_loss"], fitted)
     finally:
         rows.unpersist()
@@ -175,11 +176,12 @@ def apply_model(
 
     `loader` runs once per task in the worker and returns a function from a batch of texts to a
     frame with the columns of `schema`. A batch that fails is tried row by row, and a row that fails
-    gets the values of `error`; without `error` it fails the task.
+    gets the values of `error`; without `error` it fails the task. Only the text goes to Python; the other columns stay as they are.
     """
     names = [f.name for f in schema.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = loader()
 
         def one(text_value) -> dict:
@@ -190,12 +192,12 @@ def apply_model(
 
         for batch in batches:
             try:
-                found = model(batch[text])
+                found = model(batch)
             except Exception:
                 if error is None:
                     raise
-                found = pd.DataFrame([one(t) for t in batch[text]], columns=names)
-            found = found[names].set_axis(batch.index)
-            yield pd.concat([batch, found], axis=1)
+                found = pd.DataFrame([one(t) for t in batch], columns=names)
+            yield found[names].reset_index(drop=True)
 
-    return df.mapInPandas(run, T.StructType(df.schema.fields + schema.fields))
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), run(F.col(text)).alias("found"))
+    return whole.select("row.*", "found.*")

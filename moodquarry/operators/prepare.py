@@ -82,9 +82,10 @@ def dedup_text(df: DataFrame, key: str, text: str = "text", min_len: int = 4, al
     return dedup_key(trimmed.withColumn("text_hash", text_hash(text, algo)), ["text_hash"], key)
 
 
-def _place(key: str, seed: int) -> Column:
-    """A random-looking place of a row in its class that depends only on key and seed."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+def _place(df: DataFrame, key: str, seed: int) -> Column:
+    """A random-looking place of a row in its class that depends only on key and seed, or on the whole row if it has no key."""
+    whole = F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), whole.cast("string")), F.lit(f":{seed}")))
 
 
 def _split_at(
@@ -95,7 +96,7 @@ def _split_at(
     No class is ever sorted: its rows are counted in hash ranges, only the ranges that hold a cut
     are ranked, and every row is then compared to the few cut places of its class.
     """
-    placed = df.where(F.col(label).isNotNull()).withColumn("_place", _place(key, seed))
+    placed = df.where(F.col(label).isNotNull()).withColumn("_place", _place(df, key, seed))
     split = None
     if mode == "hash":
         position = F.conv(F.substring("_place", 1, 8), 16, 10).cast("double") / float(1 << 32)

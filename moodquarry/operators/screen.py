@@ -31,7 +31,7 @@ def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.na.drop(subset=columns)
 
 
-def screen_text(df: DataFrame, text: str, max_len: int | None = MAX_TEXT) -> DataFrame:
+def screen_text(df: DataFrame, text: str, max_len: int | None = None) -> DataFrame:
     """Add valid, reason (null if valid) and clean (the text without tags, null if not valid)."""
     kept = df.columns
     df = df.withColumn("_t", strip(text))
@@ -49,14 +49,14 @@ def screen_text(df: DataFrame, text: str, max_len: int | None = MAX_TEXT) -> Dat
 
 
 def screen_batch(
-    df: DataFrame, batch: str, position: str, text: str, max_texts: int = MAX_BATCH, max_len: int | None = MAX_TEXT
+    df: DataFrame, batch: str, position: str, text: str, max_texts: int | None = None, max_len: int | None = None
 ) -> DataFrame:
-    """One row per batch: its size, whether it is valid, and the first reason and position if not."""
+    """One row per batch: its size, whether it is valid, and the first reason and position if not. Limits of None are off."""
     found = screen_text(df, text, max_len).groupBy(batch).agg(
         F.count(F.lit(1)).alias("n_texts"),
         F.min(F.when(~F.col("valid"), F.struct(F.col(position).alias("at"), "reason"))).alias("_bad"),
     )
-    large = F.col("n_texts") > max_texts
+    large = F.lit(False) if max_texts is None else F.col("n_texts") > max_texts
     return found.select(
         batch,
         "n_texts",
@@ -67,11 +67,11 @@ def screen_batch(
 
 
 def validate_dataset(
-    df: DataFrame, name: str, size_bytes: int | None = None, max_rows: int | None = MAX_ROWS, max_bytes: int | None = MAX_BYTES
+    df: DataFrame, name: str, size_bytes: int | None = None, max_rows: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
     """One row: valid, reason, row_count, text_column and columns of an upload read as a table.
 
-    Limits of None are off, as they should be for large tables.
+    Limits are off unless they are given; MAX_ROWS and MAX_BYTES are those of an upload.
     """
     column = find_text_column(df.columns)
     checks = [

@@ -159,6 +159,11 @@ def hourly_source_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def preview_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first `n` rows in an order, to look at."""
+    return df.orderBy(*order).limit(n)
+
+
 def hourly_emotion_counts(df: DataFrame) -> DataFrame:
     """The emotion counts of `hourly_source_stats` as one row per source, hour and emotion."""
     return _hour_parts(df).select("source", "hour_bucket", "emotion", F.col("n").alias("count"))

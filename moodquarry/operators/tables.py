@@ -1,6 +1,6 @@
 """Joins and keyed writes between tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,9 +37,23 @@ def insert_new(existing: DataFrame, fresh: DataFrame, keys: list[str], order: st
     return dedup_key(fresh, keys, order).join(existing.select(*keys), keys, "left_anti")
 
 
-def upsert(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """`existing` with the rows of `fresh` inserted or put in place of rows with the same key."""
-    return existing.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+def same_key(keys: list[str]) -> Column:
+    """Equal keys of tables named old and new, where null equals null."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}"))
+    return same
+
+
+def upsert(existing: DataFrame, fresh: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """`existing` with the rows of `fresh` inserted or put in place of rows with the same key; null is a key like any other.
+
+    Of equal keys in `fresh` the one with the largest `order` counts, any one without it.
+    """
+    last = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last())) if order else None
+    one = fresh.withColumn("_last", last).where(F.col("_last") == 1).drop("_last") if order else fresh.dropDuplicates(keys)
+    new = one.select(*keys).alias("new")
+    return existing.alias("old").join(new, same_key(keys), "left_anti").unionByName(one)
 
 
 def upsert_hourly(existing: DataFrame, fresh: DataFrame) -> DataFrame:

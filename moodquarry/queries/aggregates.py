@@ -281,12 +281,11 @@ def model_comparison(spark, sf):
 
 @query(
     "nulls_last",
-    sql("models", "SELECT name, round(f1_weighted, 6) AS f1_weighted FROM models ORDER BY f1_weighted DESC NULLS LAST, name LIMIT 95"),
+    sql("models", "SELECT name, round(f1_weighted, 6) AS f1_weighted FROM models ORDER BY f1_weighted DESC NULLS LAST, name"),
 )
 def nulls_last(spark, sf):
-    from moodquarry.operators.ordering import top_k
-
-    return top_k(models(spark, sf).select("name", "f1_weighted"), "f1_weighted", 95, "name").select("name", r6("f1_weighted"))
+    rows = models(spark, sf).select("name", "f1_weighted")
+    return rows.orderBy(F.col("f1_weighted").desc_nulls_last(), "name").select("name", r6("f1_weighted"))
 
 
 @query(
@@ -304,25 +303,39 @@ def attach_authors(spark, sf):
     return attach(mail, people.unionByName(people))
 
 
-_HOURS = """SELECT source, CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour_bucket, count(*) AS n FROM posts"""
+def _hourly_rows(where: str) -> str:
+    """All nine columns of the hourly table, the emotion counts as text."""
+    hour = "CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour_bucket"
+    return f"""
+        SELECT * FROM (SELECT source, {hour}, count(*) AS total_count, {_LABELS}, round(avg(compound_score), 6) AS avg_compound_score,
+                              round(avg(confidence), 6) AS avg_confidence FROM posts WHERE {where} GROUP BY 1, 2)
+        JOIN (SELECT source, hour_bucket, string_agg(emotion || ':' || n, ',' ORDER BY emotion || ':' || n) AS emotion_counts
+              FROM (SELECT source, {hour}, coalesce(primary_emotion, 'unknown') AS emotion, count(*) AS n FROM posts WHERE {where} GROUP BY 1, 2, 3)
+              GROUP BY 1, 2) USING (source, hour_bucket)"""
+
+
+def hourly_rows(df):
+    pairs = F.transform(F.map_entries("emotion_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return S.hourly_source_stats(df).select(
+        "source", ntz("hour_bucket"), "total_count", *LABEL_COUNTS, r6("avg_compound_score"), r6("avg_confidence"),
+        F.array_join(F.array_sort(pairs), ",").alias("emotion_counts"),
+    )
 
 
-@query(
-    "upsert_hourly",
-    sql(
-        "posts",
-        f"""SELECT * FROM (
-                SELECT source, hour_bucket, -n AS n FROM ({_HOURS} GROUP BY 1, 2)
-                WHERE hour_bucket < TIMESTAMP '{START}'
-                UNION ALL {_HOURS} WHERE created_at >= TIMESTAMP '{START}' GROUP BY 1, 2)""",
-    ),
-)
+UPSERTED = f"""SELECT * REPLACE (-total_count AS total_count) FROM ({_hourly_rows(f"created_at < TIMESTAMP '{END}'")}) WHERE hour_bucket < TIMESTAMP '{START}'
+    UNION ALL SELECT * FROM ({_hourly_rows(f"created_at >= TIMESTAMP '{START}'")})"""
+
+
+@query("upsert_hourly", sql("posts", UPSERTED))
 def upsert_hourly(spark, sf):
-    def hours(df):
-        return S.hourly_source_stats(df).select("source", ntz("hour_bucket"), F.col("total_count").alias("n"))
+    """Hours before END, marked by negative counts, renewed from START on."""
+    old = hourly_rows(posts(spark, sf).where(F.col("created_at") < stamp(END))).withColumn("total_count", -F.col("total_count"))
+    return T.upsert_hourly(old, hourly_rows(posts(spark, sf).where(F.col("created_at") >= stamp(START))))
+
 
-    old = hours(posts(spark, sf).where(F.col("created_at") < stamp(END))).withColumn("n", -F.col("n"))
-    return T.upsert_hourly(old, hours(posts(spark, sf).where(F.col("created_at") >= stamp(START))))
+@query("preview_rows", "SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn LIMIT 10")
+def preview_rows(spark, sf):
+    return S.preview_rows(table(spark, sf, "conversations"), 10, "conv_id", "turn")
 
 
 _EXISTING = "SELECT DISTINCT user_id, source FROM posts WHERE k = 50"

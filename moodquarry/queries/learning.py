@@ -76,7 +76,7 @@ def _training(spark, sf):
 def train_two_heads(spark, sf):
     """Validation metrics of each trial."""
     df = _training(spark, sf)
-    model = L.train_two_heads(df.where("split = 'train'"), df.where("split = 'val'"), num_features=1 << 12, max_iter=5)
+    model = L.train_two_heads(df.where("split = 'train'"), df.where("split = 'val'"))
     return spark.createDataFrame(model.history).select("trial", r6("val_loss"), r6("sentiment_acc"), r6("emotion_acc"), "n")
 
 
@@ -85,7 +85,7 @@ def predict(spark, sf):
     """Labels and confidences of all documents by a model trained on the labelled ones."""
     df = _training(spark, sf)
     model = L.train_two_heads(
-        df.where("split = 'train'"), df.where("split = 'val'"), [{"regParam": 0.1}], num_features=1 << 12, max_iter=5
+        df.where("split = 'train'"), df.where("split = 'val'"), [{"regParam": 0.1}]
     )
     out = L.predict(model, text_table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "sentiment_prediction", r6("sentiment_confidence"), "emotion_prediction", r6("emotion_confidence"))
@@ -93,7 +93,7 @@ def predict(spark, sf):
 
 @query(
     "apply_model",
-    """SELECT doc_id, CASE WHEN n > 50000 THEN 'error' WHEN n % 3 = 0 THEN 'positive' WHEN n % 3 = 1 THEN 'negative' ELSE 'neutral' END AS label,
+    """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id + 9007199254740993 ELSE -1 END AS big, CASE WHEN n > 50000 THEN 'error' WHEN n % 3 = 0 THEN 'positive' WHEN n % 3 = 1 THEN 'negative' ELSE 'neutral' END AS label,
               CASE WHEN n > 50000 THEN 0 ELSE CAST(n % 10 AS DOUBLE) / 10 END AS score
        FROM (SELECT doc_id, length(text) AS n FROM documents)""",
 )
@@ -111,5 +111,6 @@ def apply_model(spark, sf):
         return model
 
     schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
-    df = text_table(spark, sf, "documents").select("doc_id", "text")
-    return L.apply_model(df, load, schema, error={"label": "error", "score": 0.0}).drop("text")
+    big = F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") + 9007199254740993)  # neither exact nor null in a double
+    df = text_table(spark, sf, "documents").select("doc_id", big.alias("big"), "text")
+    return L.apply_model(df, load, schema, error={"label": "error", "score": 0.0}).drop("text").na.fill(-1, ["big"])

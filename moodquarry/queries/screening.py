@@ -37,7 +37,7 @@ _SCREENED = f"""
 
 @query("screen_text", sql("texts", "SELECT key, reason IS NULL AS valid, reason, clean FROM screened", screened=_SCREENED))
 def screen_text(spark, sf):
-    return S.screen_text(texts(spark, sf), "text").select("key", "valid", "reason", "clean")
+    return S.screen_text(texts(spark, sf), "text", S.MAX_TEXT).select("key", "valid", "reason", "clean")
 
 
 @query(
@@ -65,7 +65,7 @@ def screen_batch(spark, sf):
               'text' AS text_column, 'conv_id,turn,role,text' AS columns FROM (SELECT count(*) AS n FROM conversations)""",
 )
 def validate_dataset(spark, sf):
-    return S.validate_dataset(table(spark, sf, "conversations"), "upload.csv")
+    return S.validate_dataset(table(spark, sf, "conversations"), "upload.csv", max_rows=S.MAX_ROWS)
 
 
 @query("originals_only", "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'view')")
@@ -113,6 +113,18 @@ def match_many_keywords(spark, sf):
     return FL.match_keywords(df, "doc_id", "text", ["une", "nicht", "worthless"], max_pattern=1).select("doc_id", "lang")
 
 
+_PHRASES = [f"{a} {b}" for a in ("the", "und", "la", "de", "in") for b in ("the", "der", "de", "que", "of", "is", "and", "en", "zu", "la", "on")]
+
+
+@query(
+    "match_many_phrases",
+    f"SELECT doc_id, lang FROM documents WHERE regexp_matches(lower(text), '(?:^|{_EDGE})(?:{'|'.join([*_PHRASES, 'worthless'])})(?:{_EDGE}|$)')",
+)
+def match_many_phrases(spark, sf):
+    """Phrases and a word, more than one pattern takes."""
+    return FL.match_keywords(table(spark, sf, "documents"), "doc_id", "text", [*_PHRASES, "worthless"]).select("doc_id", "lang")
+
+
 @query("time_range", f"SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'")
 def time_range(spark, sf):
     start, end = (F.lit(x).cast("timestamp_ntz") for x in (START, END))

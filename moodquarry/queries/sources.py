@@ -6,7 +6,7 @@ from moodquarry.operators import stats as ST
 from moodquarry.plans import flows
 from moodquarry.plans.scratch import new_folder
 from moodquarry.queries import query
-
+from moodquarry.queries.aggregates import UPSERTED, hourly_rows
 from moodquarry.queries.scoring import _both_sql, _turns
 from moodquarry.queries.tables import (
     END, START, STAND_IN_RULES, epochs, lexicons, ntz, posts, samples, sql, sql_strip, stamp, table,
@@ -16,7 +16,6 @@ from moodquarry.sinks import batches as B
 from moodquarry.sinks import files as W
 from moodquarry.sources import files as R
 from moodquarry.sources.search_pages import flatten_search_pages
-from moodquarry.sources.simulate import simulate_posts
 
 
 @query("read_text_csv", "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text AS Content FROM conversations")
@@ -67,38 +66,6 @@ def count_by_directory(spark, sf):
     return found.select(F.regexp_extract("directory", "source=(.*)$", 1).alias("source"), "n_rows")
 
 
-_SIMULATED = """
-    SELECT '{kind}_' || event_id AS tweet_id, {text} AS text, {author} AS author_id, ts AS created_at,
-           {retweets} AS retweet_count, {likes} AS like_count, {keywords} AS keywords, '{source}' AS source FROM events"""
-_TOPIC = "list_extract(['ai', 'sport', 'music'], CAST(event_id % 3 + 1 AS INT))"
-_HASH = "CAST('0x' || substr(md5('{salt}' || event_id), 1, 8) AS BIGINT) % {bound}"
-
-
-def _simulated(kind, text, author, retweets, likes, keywords, source):
-    number = lambda salt, bound: _HASH.format(salt=salt, bound=bound) if bound else "CAST(0 AS BIGINT)"
-    return _SIMULATED.format(
-        kind=kind, text=text, author=author, retweets=number("r", retweets), likes=number("l", likes), keywords=keywords, source=source
-    )
-
-
-@query(
-    "simulate_posts",
-    " UNION ALL ".join(
-        [
-            _simulated("tweet", f"'Sample tweet about ' || {_TOPIC}", "'user_' || (event_id % 1000)", 100, 500, "'ai,sport,music'", "twitter"),
-            _simulated("reddit", f"'Reddit post in r/' || {_TOPIC} || ' about sentiment analysis'", "'redditor_' || (event_id % 500)", 1000, 0, _TOPIC, "reddit"),
-            _simulated("news", "'Breaking news: Technology advances in AI and machine learning'", _TOPIC, 0, 0, _TOPIC, "news"),
-        ]
-    ),
-)
-def simulate(spark, sf):
-    """The batch twin of the simulated streams, united."""
-    from moodquarry.operators.tables import union_posts
-
-    numbers = table(spark, sf, "events").select(F.col("event_id").alias("value"), F.col("ts").alias("timestamp"))
-    return union_posts(*[simulate_posts(numbers, kind, ["ai", "sport", "music"]) for kind in ("twitter", "reddit", "news")])
-
-
 def _pages(spark, sf):
     """Pages of 100 events each; users whose id ends in 0 are missing, every third is verified."""
     e = table(spark, sf, "events").withColumn("u", F.col("user_id").cast("string"))
@@ -175,24 +142,20 @@ def batch_writer(spark, sf):
     "write_upsert",
     sql(
         "posts",
-        f"""SELECT source, hour_bucket, strftime(hour_bucket, '%Y-%m-%d') AS day, CASE WHEN hour_bucket < TIMESTAMP '{START}' THEN -n ELSE n END AS n
-            FROM (SELECT source, CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour_bucket, count(*) AS n FROM posts GROUP BY 1, 2)""",
+        f"""SELECT * , CASE WHEN hour_bucket >= TIMESTAMP '{START}' OR hour(hour_bucket) % 3 = 2 THEN strftime(hour_bucket, '%Y-%m-%d')
+                       WHEN hour(hour_bucket) % 3 = 1 THEN 'early' ELSE 'none' END AS day FROM ({UPSERTED})""",
     ),
 )
 def write_upsert(spark, sf):
-    """The hourly table on disk, renewed from START on."""
-
-    def hours(df):
-        h = ST.hourly_source_stats(df).select("source", ntz("hour_bucket"), F.col("total_count").alias("n"))
-        return h.withColumn("day", F.date_format("hour_bucket", "yyyy-MM-dd"))
-
-    path = new_folder(spark, "hourly")
-    old = hours(posts(spark, sf).where(F.col("created_at") < stamp(END))).withColumn("n", -F.col("n"))
+    """The hourly table on disk, renewed from START on. Some old rows lie in other folders than new ones of their key, or in that of null."""
+    path, day = new_folder(spark, "hourly"), F.date_format("hour_bucket", "yyyy-MM-dd")
+    old = hourly_rows(posts(spark, sf).where(F.col("created_at") < stamp(END))).withColumn("total_count", -F.col("total_count"))
+    third = F.hour("hour_bucket") % 3
+    old = old.withColumn("day", F.when(third == 1, "early").when(third == 2, day))
     old.write.partitionBy("day").parquet(path)
-    W.write_upsert(spark, path, hours(posts(spark, sf).where(F.col("created_at") >= stamp(START))), ["source", "hour_bucket"], "day")
-    return spark.read.option("inferSchema", "false").schema("source string, hour_bucket timestamp_ntz, n bigint, day string").parquet(path)
-
-
+    fresh = hourly_rows(posts(spark, sf).where(F.col("created_at") >= stamp(START))).withColumn("day", day)
+    W.write_upsert(spark, path, fresh.unionByName(fresh), ["source", "hour_bucket"], "day")
+    return spark.read.schema(old.schema).parquet(path).withColumn("day", F.coalesce("day", F.lit("none")))
 
 
 @query(

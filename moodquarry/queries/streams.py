@@ -10,7 +10,6 @@ from moodquarry.queries.tables import STAND_IN_RULES, lexicons, ntz, posts, post
 from moodquarry.sinks.batches import make_batch_writer, parquet_sink, table_sink
 from moodquarry.sources.messages import message_posts, read_message_stream
 from moodquarry.sources.search_pages import PAGE_SCHEMA, flatten_search_pages
-from moodquarry.sources.simulate import simulate_posts
 from moodquarry.streaming import control as C
 from moodquarry.streaming import posts as P
 
@@ -48,7 +47,7 @@ def trend_stream(spark, sf):
     root = new_folder(spark, "trends")
     rows = P.flatten_trends(P.trend_windows(posts_of(stream(spark, sf, "events"))))
     _end(C.start(rows, "trend_stream", make_batch_writer([table_sink(f"{root}/out")]), None, f"{root}/state"))
-    return _trend_rows(spark.read.parquet(f"{root}/out").drop("batch_id"))
+    return _trend_rows(spark.read.parquet(f"{root}/out").drop("query", "batch_id"))
 
 
 @query("dedup_stream", sql("posts", "SELECT id, source, sentiment FROM posts"))
@@ -104,9 +103,11 @@ def fan_out(spark, sf):
 
 @query("fan_out_trends", sql("posts", f"SELECT * FROM ({_TRENDS}) WHERE window_end <= (SELECT max(created_at) FROM posts) - INTERVAL '10 minutes'"))
 def fan_out_trends(spark, sf):
-    """Trends from the archive of scored posts, as a stream of its own."""
+    """Trends from the archive of scored posts, as a stream of its own. The archive's batch is given twice."""
     root = new_folder(spark, "fan")
-    parquet_sink(f"{root}/scored", ["source", "date"])(posts(spark, sf), 0)
+    archive = parquet_sink(f"{root}/scored", ["source", "date"])
+    for _ in range(2):
+        archive(posts(spark, sf), 0, "posts")
     _end(C.start_trends(spark, "fan_out_trends", root, None, f"{root}/state"))
     return _trend_rows(spark.read.parquet(f"{root}/trends"))
 
@@ -156,13 +157,17 @@ def stream_batch_counts(spark, sf):
     return C.batch_counts(spark, _end(C.start_files(rows, "stream_batch_counts", f"{root}/out", None, f"{root}/state")))
 
 
-@query("simulate_stream", "SELECT 'reddit_' || event_id AS tweet_id, 'redditor_' || (event_id % 500) AS author_id, 'reddit' AS source FROM events")
-def simulate_stream(spark, sf):
-    root = new_folder(spark, "simulated")
-    numbers = stream(spark, sf, "events").select(F.col("event_id").alias("value"), F.col("ts").cast("timestamp").alias("timestamp"))
-    rows = simulate_posts(numbers, "reddit", ["ai", "sport"])
-    _end(C.start_files(rows, "simulate_stream", f"{root}/out", None, f"{root}/state"))
-    return spark.read.parquet(f"{root}/out").select("tweet_id", "author_id", "source")
+@query("start_all", sql("posts", "SELECT id, source, sentiment FROM posts UNION ALL SELECT id, 'again' AS source, sentiment FROM posts"))
+def start_all(spark, sf):
+    """Two streams with one writer keep all rows of both, also where one is begun again with a new checkpoint."""
+    root = new_folder(spark, "all")
+    writer = make_batch_writer([table_sink(f"{root}/out")])
+    rows = posts_of(stream(spark, sf, "events")).select("id", "source", "sentiment")
+    half = rows.where("id % 2 = 0")
+    for streams, state in (({"first": half, "second": rows.withColumn("source", F.lit("again")), "none": None}, "a"), ({"first": rows.where("id % 2 <> 0")}, "b")):
+        for q in C.start_all(streams, writer, None, f"{root}/{state}").values():
+            _end(q)
+    return spark.read.parquet(f"{root}/out").select("id", "source", "sentiment")
 
 
 @query(
@@ -177,3 +182,15 @@ def search_page_stream(spark, sf):
     rows = flatten_search_pages(spark.readStream.schema(PAGE_SCHEMA).json(f"{root}/in"))
     _end(C.start_files(rows, "search_page_stream", f"{root}/out", None, f"{root}/state"))
     return spark.read.parquet(f"{root}/out").select("id", "retweets", "verified")
+
+
+@query("land_search_pages", "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS source FROM events")
+def land_search_pages(spark, sf):
+    """Rows of search pages, landed in folders of the date and hour of arrival."""
+    from moodquarry.queries.sources import _pages
+
+    root = new_folder(spark, "landed")
+    _pages(spark, sf).write.json(f"{root}/in")
+    rows = flatten_search_pages(spark.readStream.schema(PAGE_SCHEMA).json(f"{root}/in"))
+    _end(C.start_collector(rows, "land_search_pages", f"{root}/out", f"{root}/state", None))
+    return spark.read.parquet(f"{root}/out").where("ingest_date IS NOT NULL AND ingest_hour BETWEEN 0 AND 23").select("id", "source")

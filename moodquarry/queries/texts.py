@@ -14,11 +14,17 @@ from moodquarry.queries.tables import (
 from moodquarry.sources.messages import parse_hashtags
 
 
-@query("clean_text", sql("texts", f"SELECT key, {sql_clean('text')} AS clean FROM texts"))
+@query("clean_text", sql("texts", f"SELECT key, {sql_clean('text', cut=False)} AS clean FROM texts"))
 def clean_text(spark, sf):
     return texts(spark, sf).select("key", X.clean_text("text").alias("clean"))
 
 
+@query("clean_text_cut", sql("texts", f"SELECT key, {sql_clean('text')} AS clean FROM texts"))
+def clean_text_cut(spark, sf):
+    """The cut is the feature here."""
+    return texts(spark, sf).select("key", X.clean_text("text", X.MAX_CLEAN_LENGTH).alias("clean"))
+
+
 @query("clean_text_keep_gap", sql("texts", f"SELECT key, {sql_clean('text', ' ', False)} AS clean FROM texts"))
 def clean_text_keep_gap(spark, sf):
     return texts(spark, sf).select("key", X.clean_text_keep_gap("text").alias("clean"))
@@ -43,7 +49,7 @@ def text_hash(spark, sf):
 
 
 @query(
-    "cache_key", sql("texts", f"SELECT key, 'sentiment:full:' || md5({sql_clean('text')}) AS cache_key FROM texts")
+    "cache_key", sql("texts", f"SELECT key, 'sentiment:full:' || md5({sql_clean('text', cut=False)}) AS cache_key FROM texts")
 )
 def cache_key(spark, sf):
     return texts(spark, sf).select("key", X.cache_key(X.clean_text("text"), "full").alias("cache_key"))

@@ -1,22 +1,41 @@
-"""Writers of micro-batches. A batch may come twice after a failure, so each sink can repeat it."""
+"""Writers of micro-batches. A batch may come twice after a failure, so each sink can repeat it.
+
+A batch is known by the query that runs it and its number. `streaming.control.start` names the query by its name and the id in its
+checkpoint, so streams that share a writer or a root, and a checkpoint begun anew, never touch each other's batches.
+"""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodquarry.operators.tables import insert_new
+from moodquarry.plans.scratch import exists
 from moodquarry.sinks.files import POST_FOLDERS, write_partitioned
 from moodquarry.sources.database import read_jdbc, write_jdbc
 
-Sink = Callable[[DataFrame, int], None]
+Sink = Callable[[DataFrame, int, str], None]
+
+
+def batch_folder(path: str, batch_id: int, query: str = "") -> str:
+    return f"{path}/query={query or 'none'}/batch_id={batch_id}"
+
+
+def write_once(df: DataFrame, folder: str, write: Callable[[DataFrame, str], None]) -> None:
+    """`write` a batch to its folder, unless an earlier try completed it.
+
+    A complete folder has Spark's mark of success and stays as it is, so what reads it as a stream sees each row once. An incomplete one
+    is written anew.
+    """
+    if not exists(df.sparkSession, f"{folder}/_SUCCESS"):
+        write(df, folder)
 
 
 def parquet_sink(path: str, by: list[str] | None = None, ts: str = "created_at") -> Sink:
-    """Each batch in its own folder below `path`, put in place of an earlier try; read it as one table."""
+    """Each batch once in its own folder below `path`; read it as one table."""
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        write_partitioned(df, f"{path}/batch_id={batch_id}", by or POST_FOLDERS, ts, mode="overwrite")
+    def write(df: DataFrame, batch_id: int, query: str = "") -> None:
+        put = lambda rows, folder: write_partitioned(rows, folder, by or POST_FOLDERS, ts, mode="overwrite")
+        write_once(df, batch_folder(path, batch_id, query), put)
 
     return write
 
@@ -24,36 +43,36 @@ def parquet_sink(path: str, by: list[str] | None = None, ts: str = "created_at")
 def table_sink(path: str) -> Sink:
     """As `parquet_sink`, without further folders."""
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def write(df: DataFrame, batch_id: int, query: str = "") -> None:
+        write_once(df, batch_folder(path, batch_id, query), lambda rows, folder: rows.write.mode("overwrite").parquet(folder))
 
     return write
 
 
 def jdbc_sink(url: str, table: str, props: dict[str, str], keys: list[str]) -> Sink:
-    """Append rows with their batch_id; a repeated batch adds only the keys that are missing."""
+    """Append all rows of a batch with their query and batch_id; a repeated batch adds those whose keys are missing."""
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        have = read_jdbc(
-            df.sparkSession, url, f"(SELECT {', '.join(keys)} FROM {table} WHERE batch_id = {int(batch_id)}) AS t", props
-        )
-        write_jdbc(insert_new(have, df, keys).withColumn("batch_id", F.lit(batch_id)), url, table, props)
+    def write(df: DataFrame, batch_id: int, query: str = "") -> None:
+        own = f"batch_id = {int(batch_id)} AND query = '{query.replace(chr(39), chr(39) * 2)}'"
+        have = read_jdbc(df.sparkSession, url, f"(SELECT {', '.join(keys)} FROM {table} WHERE {own}) AS t", props)
+        fresh = df.join(have, keys, "left_anti").withColumns({"query": F.lit(query), "batch_id": F.lit(batch_id)})
+        write_jdbc(fresh, url, table, props)
 
     return write
 
 
 def make_batch_writer(sinks: list[Sink], transform: Callable[[DataFrame], DataFrame] | None = None) -> Sink:
-    """A function for `foreachBatch`: compute a batch once and give it to every sink.
+    """A writer that computes a batch once and gives it to every sink.
 
     An empty batch is skipped. A sink that fails fails the query, which then repeats the batch.
     """
 
-    def write(df: DataFrame, batch_id: int) -> None:
+    def write(df: DataFrame, batch_id: int, query: str = "") -> None:
         out = (transform(df) if transform else df).persist()
         try:
             if not out.isEmpty():
                 for sink in sinks:
-                    sink(out, batch_id)
+                    sink(out, batch_id, query)
         finally:
             out.unpersist()
 

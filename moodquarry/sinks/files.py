@@ -5,12 +5,10 @@ from pyspark.sql import functions as F
 
 from moodquarry.functions.times import time_buckets
 from moodquarry.operators.prepare import split_metadata
-from moodquarry.operators.tables import upsert
-from moodquarry.plans.lookup import small_copy
+from moodquarry.operators.tables import same_key, upsert
+from moodquarry.plans.scratch import remove
 from moodquarry.plans.session import settle
 
-# Up to this many folders are named in the filter of a read.
-MAX_FOLDERS = 10_000
 # Fixed value: folders of the post archive.
 POST_FOLDERS = ["source", "date", "hour"]
 
@@ -46,16 +44,20 @@ def write_splits(df: DataFrame, root: str, sources: DataFrame | None = None) ->
     return split_metadata(df.sparkSession.read.parquet(root), sources)
 
 
-def write_upsert(spark: SparkSession, path: str, fresh: DataFrame, keys: list[str], folder: str) -> None:
-    """Insert or replace rows by key in a table with one folder per `folder`.
+def write_upsert(spark: SparkSession, path: str, fresh: DataFrame, keys: list[str], folder: str, order: str | None = None) -> None:
+    """Insert or replace rows by key in a table with one folder per `folder`; a null folder is one, too.
 
-    Only the folders of `fresh` are read and written again.
+    All folders are searched for the keys, by those columns only. The folders of `fresh` and those that hold one of its keys are read
+    and written again, so a key that moves is left in its new folder alone.
     """
-    days = small_copy(fresh.select(folder).distinct(), MAX_FOLDERS)
     old = spark.read.parquet(path)
-    if days is None:
-        old = old.join(fresh.select(folder).distinct(), folder, "left_semi")
-    else:
-        old = old.where(F.col(folder).isin([row[0] for row in days.collect()]))
-    merged = settle(upsert(old, fresh, keys))
+    wanted = fresh.select(*keys).distinct().alias("new")
+    held = old.select(*dict.fromkeys([*keys, folder])).alias("old").join(wanted, same_key(keys), "left_semi").select(folder)
+    touched = settle(held.unionByName(fresh.select(folder)).distinct())
+    part = old.alias("old").join(touched.alias("new"), same_key([folder]), "left_semi")
+    merged = settle(upsert(part, fresh, keys, order).select(*old.columns))
+    emptied = touched.alias("old").join(merged.select(folder).distinct().alias("new"), same_key([folder]), "left_anti")
+    gone = [row[0] for row in emptied.collect()]  # folders that lost their last row, at most as many as there are folders
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(path)
+    for value in gone:
+        remove(spark, f"{path}/{folder}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")

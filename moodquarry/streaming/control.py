@@ -3,8 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from moodquarry.sinks.batches import Sink, make_batch_writer, parquet_sink, table_sink
+from moodquarry.sinks.batches import Sink, batch_folder, make_batch_writer, parquet_sink, table_sink, write_once
+from moodquarry.sources.search_pages import with_ingest_time
 from moodquarry.streaming.posts import flatten_trends, score_stream, trend_windows
 
 # Trigger intervals of posts and of collectors, rows and seconds until a flush.
@@ -12,6 +14,52 @@ POST_TRIGGER, COLLECT_TRIGGER = "10 seconds", "30 seconds"
 FLUSH_ROWS, FLUSH_TRIGGER = 1000, "60 seconds"
 
 
+class Progress(StreamingQueryListener):
+    """Rows and late rows of every batch of the queries started here; a query itself remembers the last 100 only."""
+
+    def __init__(self) -> None:
+        self.batches: dict[str, dict[int, tuple[int, int]]] = {}
+
+    def note(self, query: str, batch: int, rows: int, late: int) -> None:
+        self.batches.setdefault(str(query), {})[batch] = (rows, late)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.note(p.id, p.batchId, p.numInputRows, sum(op.numRowsDroppedByWatermark for op in p.stateOperators))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+_PROGRESS: dict[SparkSession, Progress] = {}
+
+
+def _watch(spark: SparkSession) -> Progress:
+    if spark not in _PROGRESS:
+        _PROGRESS[spark] = Progress()
+        spark.streams.addListener(_PROGRESS[spark])
+    return _PROGRESS[spark]
+
+
+def batches_of(query: StreamingQuery) -> dict[int, tuple[int, int]]:
+    """Rows and late rows of each batch of a query: what was noted as it ran, and its last reports, which may be newer."""
+    found = next((dict(p.batches[str(query.id)]) for p in _PROGRESS.values() if str(query.id) in p.batches), {})
+    for p in query.recentProgress:
+        found[p["batchId"]] = (p["numInputRows"], sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]))
+    return found
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were dropped, over all batches of a query started here."""
+    return sum(late for _, late in batches_of(query).values())
+
+
 def _trigger(writer, trigger: str | None):
     return writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
 
@@ -19,9 +67,15 @@ def _trigger(writer, trigger: str | None):
 def start(
     df: DataFrame, name: str, writer: Sink, trigger: str | None, checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
-    """Run `writer` on each micro-batch. The checkpoint lies under the stable `name`, so a restart
-    goes on where the query stopped. A trigger of None takes what is there and ends."""
-    out = df.writeStream.queryName(name).outputMode(mode).foreachBatch(writer)
+    """Run `writer` on each micro-batch, with its number and the query's name and id. The checkpoint lies under
+    the stable `name`, so a restart goes on where the query stopped, under the same id. A trigger of None takes what is there and ends."""
+    spark = df.sparkSession
+    _watch(spark)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        writer(batch, batch_id, f"{name}.{_find(spark, name).id}")
+
+    out = df.writeStream.queryName(name).outputMode(mode).foreachBatch(each)
     return _trigger(out.option("checkpointLocation", f"{checkpoint}/{name}"), trigger).start()
 
 
@@ -29,6 +83,7 @@ def start_files(
     df: DataFrame, name: str, path: str, trigger: str | None, checkpoint: str, by: list[str] | None = None
 ) -> StreamingQuery:
     """Append to Parquet files through Spark's own file sink."""
+    _watch(df.sparkSession)
     out = df.writeStream.queryName(name).outputMode("append").format("parquet").option("path", path)
     if by:
         out = out.partitionBy(*by)
@@ -37,6 +92,7 @@ def start_files(
 
 def start_console(df: DataFrame, name: str, trigger: str | None, checkpoint: str, columns: list[str] | None = None) -> StreamingQuery:
     """Show a few columns of a stream."""
+    _watch(df.sparkSession)
     columns = columns or ["tweet_id", "text", "sentiment", "primary_emotion"]
     out = df.select(*columns).writeStream.queryName(name).outputMode("append").format("console").option("truncate", False)
     return _trigger(out.option("checkpointLocation", f"{checkpoint}/{name}"), trigger).start()
@@ -72,11 +128,15 @@ def stop_all(spark: SparkSession) -> list[str]:
 
 
 def wait(spark: SparkSession, name: str | None = None, timeout: float | None = None) -> bool:
-    """Wait for one stream, or for any; True if it ended within `timeout` seconds."""
-    if name is not None:
-        query = _find(spark, name)
-        return True if query is None else bool(query.awaitTermination(timeout) if timeout else query.awaitTermination())
-    return bool(spark.streams.awaitAnyTermination(timeout) if timeout else spark.streams.awaitAnyTermination())
+    """Wait for one stream, or for any; True if it ended within `timeout` seconds. 0 looks and does not wait; None waits on."""
+    query = _find(spark, name) if name is not None else spark.streams
+    if query is None:
+        return True
+    wait_for = query.awaitTermination if name is not None else query.awaitAnyTermination
+    if timeout is None:
+        wait_for()
+        return True
+    return bool(wait_for(max(timeout, 0.001)))
 
 
 def start_all(streams: dict[str, DataFrame | None], writer: Sink, trigger: str | None, checkpoint: str) -> dict[str, StreamingQuery]:
@@ -85,8 +145,8 @@ def start_all(streams: dict[str, DataFrame | None], writer: Sink, trigger: str |
 
 
 def batch_counts(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Rows per micro-batch, from the progress the query reports anyway."""
-    rows = [(p["batchId"], p["numInputRows"]) for p in query.recentProgress if p["numInputRows"]]
+    """Rows per micro-batch that had any, over all batches of a query started here."""
+    rows = [(batch, rows) for batch, (rows, _) in sorted(batches_of(query).items()) if rows]
     return spark.createDataFrame(rows, "batch_id bigint, num_input_rows bigint")
 
 
@@ -112,12 +172,12 @@ def start_trends(spark: SparkSession, name: str, root: str, trigger: str | None,
 def start_collector(df: DataFrame, name: str, root: str, checkpoint: str, trigger: str | None = FLUSH_TRIGGER) -> StreamingQuery:
     """Flush collected rows in folders of the date and hour of arrival at each trigger.
 
-    The source bounds a flush by its rows or files per trigger. A repeated batch replaces its own folder.
+    The source bounds a flush by its rows or files per trigger. A batch is written once, in a folder of its query.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        at = F.current_timestamp()
-        stamped = batch.withColumns({"ingest_date": F.date_format(at, "yyyy-MM-dd"), "ingest_hour": F.hour(at)})
-        stamped.write.mode("overwrite").partitionBy("ingest_date", "ingest_hour").parquet(f"{root}/batch_id={batch_id}")
+    def write(batch: DataFrame, batch_id: int, query: str = "") -> None:
+        stamped = with_ingest_time(batch, F.current_timestamp())
+        put = lambda rows, folder: rows.write.mode("overwrite").partitionBy("ingest_date", "ingest_hour").parquet(folder)
+        write_once(stamped, batch_folder(root, batch_id, query), put)
 
     return start(df, name, write, trigger, checkpoint)

@@ -40,9 +40,3 @@ def dedup_stream(df: DataFrame, keys: list[str], ts: str = "created_at", delay:
     """The first row of each key; a key is remembered for `delay` of event time."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
-
-def late_rows(query) -> int:
-    """Rows that came after the watermark and were dropped, so far."""
-    return sum(
-        op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]
-    )

@@ -102,6 +102,20 @@ def test_hot_join_equals_the_plain_join(spark):
         assert sorted(map(str, hot_join(left, right, "k", rows).select("id", "k", "v").collect())) == want
 
 
+def test_hot_join_parts_equal_rows(spark):
+    left = spark.range(20_000).select(F.lit(7).cast("bigint").alias("k"), F.lit("same").alias("t"))
+    right = spark.range(10).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = hot_join(left, right, "k", 100)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * min(sizes) and out.where("v = 'x'").count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_hot_join_spreads_the_hot_key(spark):
     left = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
     right = spark.range(10).select(F.col("id").alias("k"), F.lit("x").alias("v"))

@@ -92,7 +92,7 @@ def test_batch_writer_repeats_and_fails_loudly(spark, frame, tmp_path):
     out = spark.read.parquet(str(tmp_path / "p"))
     assert [(r.id, r.source, r.hour, r.batch_id) for r in out.collect()] == [(1, "a", 10, 7)]
 
-    def broken(_df, _id):
+    def broken(_df, _id, _query):
         raise RuntimeError("sink is down")
 
     with pytest.raises(RuntimeError):

@@ -9,7 +9,6 @@ from moodquarry.operators.tables import union_posts
 from moodquarry.sinks.batches import make_batch_writer, parquet_sink, table_sink
 from moodquarry.sources.messages import message_posts, read_message_stream
 from moodquarry.sources.schemas import POST
-from moodquarry.sources.simulate import simulate_posts
 from moodquarry.streaming import control as C
 from moodquarry.streaming import posts as P
 
@@ -51,7 +50,7 @@ def test_trends_close_and_drop_late_rows(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     got = {(r.window_start, r.sentiment): (r.tweet_count, round(r.avg_confidence, 6)) for r in out}
     assert got == {(at(0), "positive"): (2, 0.6), (at(0), "negative"): (1, 0.2), (at(30), "positive"): (2, 0.8)}
-    assert P.late_rows(query) == 1
+    assert C.late_rows(query) == 1
 
 
 def test_dedup_within_the_delay(spark, tmp_path):
@@ -93,7 +92,7 @@ def test_failed_sink_repeats_the_batch_without_copies(spark, tmp_path):
     stream = feed(spark, tmp_path / "in", [[("1", "a", at(0), "positive", 0.5)]])
     state = {"down": True}
 
-    def shaky(df, batch_id):
+    def shaky(df, batch_id, query):
         if state["down"]:
             raise RuntimeError("sink is down")
 
@@ -118,11 +117,11 @@ def test_message_files(spark, tmp_path):
 
 def test_start_status_stop(spark, tmp_path):
     rate = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
-    posts = union_posts(*[simulate_posts(rate, k, ["x", "y"]) for k in ("twitter", "news")])
-    got = C.start_all({"one": posts, "none": None}, lambda df, i: None, "1 second", str(tmp_path))
+    got = C.start_all({"one": rate, "none": None}, lambda df, i, query: None, "1 second", str(tmp_path))
     assert list(got) == ["one"]
     assert C.status(spark, "one")["is_active"] and "error" in C.status(spark, "other")
-    assert C.wait(spark, "one", 0.5) is False
+    spark.streams.resetTerminated()  # of earlier tests
+    assert C.wait(spark, "one", 0.5) is False and C.wait(spark, "one", 0) is False and C.wait(spark, timeout=0) is False
     assert C.stop(spark, "other") is False
     assert C.stop_all(spark) == ["one"] and not got["one"].isActive
 
@@ -131,3 +130,35 @@ def test_console_and_counts(spark, tmp_path):
     stream = feed(spark, tmp_path / "in", [[("1", "a", at(0), "positive", 0.5)], [("2", "a", at(0), "positive", 0.5)] * 3])
     query = run(C.start_console(stream, "console", None, str(tmp_path / "state"), ["tweet_id", "sentiment"]))
     assert sorted(r.num_input_rows for r in C.batch_counts(spark, query).collect()) == [1, 3]
+
+
+def test_all_batches_are_counted(spark, tmp_path):
+    stream = feed(spark, tmp_path / "in", [[(str(i), "a", at(0), "positive", 0.5)] for i in range(110)])
+    query = run(C.start(stream, "many", lambda df, i, query: df.count(), None, str(tmp_path / "state")))
+    for _ in range(100):  # reports come a little later
+        if C.batch_counts(spark, query).count() == 110:
+            break
+    assert [r.batch_id for r in C.batch_counts(spark, query).orderBy("batch_id").collect()] == list(range(110))
+
+
+def test_streams_with_one_writer_keep_their_rows(spark, tmp_path):
+    one = feed(spark, tmp_path / "one", [[("1", "a", at(0), "positive", 0.5)] * 5])
+    two = feed(spark, tmp_path / "two", [[("2", "b", at(0), "positive", 0.5)] * 5])
+    writer = make_batch_writer([table_sink(str(tmp_path / "out"))])
+    for state in ("first", "anew"):  # a new checkpoint reads all again and takes nothing away
+        for query in C.start_all({"one": one, "two": two}, writer, None, str(tmp_path / state)).values():
+            run(query)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.source, r["count"]) for r in got.groupBy("source").count().collect()} == {("a", 10), ("b", 10)}
+
+
+def test_a_repeated_batch_is_no_new_trend(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "a", at(0), "positive", 0.5), ("2", "a", at(1), "positive", 0.5)], FIELDS)
+    last = spark.createDataFrame([("3", "a", at(60), "positive", 0.5)], FIELDS)
+    archive = parquet_sink(str(tmp_path / "scored"))
+    archive(rows, 0, "posts")
+    run(C.start_trends(spark, "trends_once", str(tmp_path), None, str(tmp_path / "state")))
+    archive(rows, 0, "posts")
+    archive(last, 1, "posts")
+    run(C.start_trends(spark, "trends_once", str(tmp_path), None, str(tmp_path / "state")))
+    assert [r.tweet_count for r in spark.read.parquet(str(tmp_path / "trends")).collect()] == [2]

@@ -87,7 +87,7 @@ def test_models_without_score_come_last(frame):
 
 def test_screen(frame):
     texts = [None, "", "  ", "x" * 5001, " <b>hi</b> ", "<script src", "a onclick = 1", "JavaScript:x", "eval (1)", "fine", "<i></i>"]
-    rows = SC.screen_text(frame("id int, t string", list(enumerate(texts))), "t").orderBy("id").collect()
+    rows = SC.screen_text(frame("id int, t string", list(enumerate(texts))), "t", 5000).orderBy("id").collect()
     assert [r.reason for r in rows] == ["missing", "missing", "blank", "too long", None] + ["suspicious"] * 4 + [None, None]
     assert rows[4].clean == "hi" and rows[10].clean == ""
 
@@ -119,6 +119,32 @@ def test_originals_and_keywords(frame):
     for bounds in ((50, 50), (0, 50), (0, 0)):
         assert ids(FL.match_keywords(df, "id", "t", ["red", "none"], *bounds)) == [1, 3]
     assert ids(FL.match_keywords(df, "id", "t", ["red cat"])) == [1]
+    many = [f"word{i} x" for i in range(120)] + ["red cat", "red-dog"]
+    for bounds in ((50, 50_000), (7, 50_000), (7, 0)):
+        assert ids(FL.match_keywords(df, "id", "t", many, *bounds)) == [1, 3]
+        assert ids(FL.match_keywords(df, "id", "t", [*many, "x"], *bounds)) == [1, 3, 4]
+    assert ids(FL.match_keywords(df, "id", "t", [])) == []
+
+
+def test_upsert_of_null_moved_and_repeated_keys(spark, frame, tmp_path):
+    from moodquarry.sinks.files import write_upsert
+
+    schema, path = "k int, v string, day string", str(tmp_path / "t")
+    frame(schema, [(1, "old", "a"), (2, "old", None), (3, "old", "b"), (None, "old", "a"), (4, "only", "c")]).write.partitionBy("day").parquet(path)
+    fresh = frame(schema, [(1, "new", "b"), (None, "new", "a"), (5, "new", None), (6, "low", "b"), (6, "top", "b"), (4, "new", "a")])
+    write_upsert(spark, path, fresh, ["k"], "day", "v")
+    got = sorted(map(tuple, spark.read.schema(schema).parquet(path).collect()), key=str)
+    want = [(1, "new", "b"), (2, "old", None), (3, "old", "b"), (None, "new", "a"), (4, "new", "a"), (5, "new", None), (6, "top", "b")]
+    assert got == sorted(want, key=str)
+
+
+def test_rows_without_a_key_are_split_like_others(frame):
+    from moodquarry.operators.prepare import stratified_split
+
+    df = frame("label string, key string, n int", [("x", None, i) for i in range(1000)])
+    for mode in ("exact", "hash"):
+        parts = {r.split: r["count"] for r in stratified_split(df, "label", "key", mode=mode).groupBy("split").count().collect()}
+        assert 600 < parts["train"] < 800 and 80 < parts["test"] < 220
 
 
 def test_intervals_and_pages(frame):
