@@ -22,6 +22,8 @@ CAPS_FACTOR = 0.733
 DEGREE = 0.293
 DAMPING = (1.0, 0.95, 0.9)
 NEGATION = -0.74
+PRAISE, PRAISE_FACTOR = ("so", "this"), 1.25
+SOFT = ("kind", "sort")  # before "of"
 EXCLAMATION, MAX_EXCLAMATIONS = 0.292, 4
 QUESTION, MANY_QUESTIONS = 0.18, 0.96
 BEFORE_BUT, AFTER_BUT = 0.5, 1.5
@@ -85,13 +87,44 @@ def _role_lookup(valences: dict[str, float], rules: dict) -> Callable[[Column],
     return constant_lookup(roles, ROLE)
 
 
-def _strength(valence: Column, loud: Column, before: list[Column]) -> Column:
-    """Valence of a lexicon word after capitals and the degree words and negations before it."""
-    sign = F.signum(valence)
-    s = valence + F.when(loud, sign * CAPS_FACTOR).otherwise(0.0)
-    for role, damping in zip(before, DAMPING):
-        s = (s + F.coalesce(role["degree"], F.lit(0.0)) * sign * damping) * F.coalesce(role["turn"], F.lit(1.0))
-    return s
+def _own(role: Column) -> Column:
+    """A word's own valence; a degree word has none, though it may be in the lexicon."""
+    return F.when(F.coalesce(role["degree"], F.lit(0.0)) == 0, role["valence"])
+
+
+def _strength(valence: Column, loud: Column, before: list[Column], lows: list[Column], shouts: list[Column]) -> Column:
+    """Valence of a lexicon word after capitals and the up to three words before it, nearest first.
+
+    Degree words push it away from or towards 0, more so in capitals, and negations turn it; a word that is in the lexicon itself does
+    neither. "never so" and "never this" strengthen, "without doubt" turns nothing, "kind of" and "sort of" weaken, and "least"
+    turns unless it follows "at" or "very".
+    """
+    praise = lambda d: (lows[d] == "never") & _any(lows[i].isin(*PRAISE) for i in range(max(0, d - 2), d))
+    doubtless = lambda d: (lows[d] == "without") & _any(lows[i] == "doubt" for i in range(max(0, d - 2), d))
+    steps = []
+    for d, (role, damping) in enumerate(zip(before, DAMPING)):
+        free = role["valence"].isNull()
+        degree = F.when(free, F.coalesce(role["degree"], F.lit(0.0))).otherwise(0.0)
+        louder = F.when((degree != 0) & shouts[d], CAPS_FACTOR).otherwise(0.0)
+        turn = F.coalesce(F.when(free, role["turn"]), F.lit(1.0))
+        if d:
+            turn = F.when(free & praise(d), PRAISE_FACTOR).when(free & doubtless(d), 1.0).otherwise(turn)
+        steps.append(((degree + louder) * damping, turn))
+    for d in (1, 2):
+        soft = lows[d].isin(*SOFT) & (lows[d - 1] == "of")
+        steps.append((F.when(soft, -DEGREE).otherwise(0.0), F.lit(1.0)))
+    least = (lows[0] == "least") & before[0]["valence"].isNull() & ~F.coalesce(lows[1].isin("at", "very"), F.lit(False))
+    steps.append((F.lit(0.0), F.when(least, NEGATION).otherwise(1.0)))
+    start = valence + F.when(loud, F.signum(valence) * CAPS_FACTOR).otherwise(0.0)
+    each = F.array(*[F.struct(step.alias("step"), turn.alias("turn")) for step, turn in steps])
+    return F.aggregate(each, start, lambda s, m: (s + m["step"] * F.signum(s)) * m["turn"])
+
+
+def _any(tests) -> Column:
+    out = F.lit(False)
+    for test in tests:
+        out = out | F.coalesce(test, F.lit(False))
+    return out
 
 
 def _but_side(i: Column, but: Column) -> Column:
@@ -119,10 +152,10 @@ def _with_words(df: DataFrame, text: str, max_len: int | None) -> DataFrame:
 
 def _sums_in_row(df: DataFrame, lookup) -> DataFrame:
     def hit(role: Column, i: Column) -> Column:
-        before = [F.get("_roles", i - d) for d in (1, 2, 3)]
-        loud = F.col("_mixed") & _is_upper(F.get("_words", i))
-        strength = _strength(role["valence"], loud, before) * _but_side(i + 1, F.col("_but"))
-        return F.when(role["valence"].isNotNull(), strength)
+        before, lows = ([F.get(c, i - d) for d in (1, 2, 3)] for c in ("_roles", "_lows"))
+        loud, *shouts = (F.col("_mixed") & F.coalesce(_is_upper(F.get("_words", i - d)), F.lit(False)) for d in range(4))
+        strength = _strength(role["valence"], loud, before, lows, shouts) * _but_side(i + 1, F.col("_but"))
+        return F.when(_own(role).isNotNull(), strength)
 
     def total(part) -> Column:
         return F.aggregate("_hits", F.lit(0.0), lambda acc, s: acc + part(s, F.lit(0.0)))
@@ -138,10 +171,23 @@ def _sums_in_row(df: DataFrame, lookup) -> DataFrame:
     )
 
 
-def _sums_by_join(df: DataFrame, key: str, lexicon: DataFrame, rules: dict) -> DataFrame:
+def _one_per_text(df: DataFrame, key: str | None) -> tuple[DataFrame, DataFrame, str]:
+    """`df`, the rows whose words are to be joined, and the column that leads back: `key`, or without one a hash of each distinct text."""
+    if key is not None:
+        return df, df, key
+    df = df.withColumn("_h", _text_key(F.md5("_clean")))
+    return df, df.dropDuplicates(["_h"]), "_h"
+
+
+def _sums_by_join(every: DataFrame, key: str | None, lexicon: DataFrame, rules: dict) -> DataFrame:
     """The same sums for a lexicon too large for a constant: one row per word, joined and added up."""
-    turn = _role_lookup({}, rules)
+    every, df, key = _one_per_text(every, key)
     valences = lexicon.groupBy(F.lower("term").alias("_low")).agg(F.min("valence").cast("double").alias("_v"))
+    modifiers = _modifiers(rules)
+    both = {r["_low"]: r["_v"] for r in valences.where(F.col("_low").isin(*modifiers, "least")).collect()}  # at most one for each
+    turn = _role_lookup(both, rules)
+    # Degree words have no valence of their own.
+    valences = valences.where(~F.col("_low").isin(*[w for w, (degree, _) in modifiers.items() if degree]))
     words = (
         df.withColumn("_turns", F.transform("_lows", turn))
         .withColumn(
@@ -154,13 +200,16 @@ def _sums_by_join(df: DataFrame, key: str, lexicon: DataFrame, rules: dict) -> D
                         (F.col("_mixed") & _is_upper(F.get("_words", i))).alias("loud"),
                         _but_side(i + 1, F.col("_but")).alias("side"),
                         *[F.get("_turns", i - d).alias(f"b{d}") for d in (1, 2, 3)],
+                        *[F.get("_lows", i - d).alias(f"l{d}") for d in (1, 2, 3)],
+                        *[(F.col("_mixed") & F.coalesce(_is_upper(F.get("_words", i - d)), F.lit(False))).alias(f"c{d}") for d in (1, 2, 3)],
                     ),
                 )
             ),
         )
         .select(key, "_word.*")
     )
-    s = _strength(F.col("_v"), F.col("loud"), [F.col("b1"), F.col("b2"), F.col("b3")]) * F.col("side")
+    near = [[F.col(f"{c}{d}") for d in (1, 2, 3)] for c in "blc"]
+    s = _strength(F.col("_v"), F.col("loud"), *near) * F.col("side")
     sums = (
         lookup_join(words, valences, "_low", "inner")
         .select(key, s.alias("s"))
@@ -172,7 +221,8 @@ def _sums_by_join(df: DataFrame, key: str, lexicon: DataFrame, rules: dict) -> D
             F.count_if(F.col("s") < 0).alias("_nneg"),
         )
     )
-    return df.join(sums, key, "left").na.fill(0, ["_pos", "_neg", "_npos", "_nneg"])
+    back = hot_join(every, sums, key).drop("_h") if key == "_h" else every.join(sums, key, "left")
+    return back.na.fill(0, ["_pos", "_neg", "_npos", "_nneg"])
 
 
 def _sentiment_columns(
@@ -192,10 +242,8 @@ def _sentiment_columns(
     valences = small_map(lowered, "term", "valence", max_literal)
     if valences is not None:
         df = _sums_in_row(df, _role_lookup(valences, rules))
-    elif key is not None:
-        df = _sums_by_join(df, key, lexicon, rules)
     else:
-        raise ValueError(f"a lexicon of more than {max_literal} terms needs a key")
+        df = _sums_by_join(df, key, lexicon, rules)
     total = F.col("_pos") + F.col("_neg")
     up, down = F.col("_pos") + F.col("_npos"), F.col("_nneg") - F.col("_neg")
     df = df.withColumns(
@@ -236,8 +284,9 @@ def add_sentiment(
 ) -> DataFrame:
     """All columns of `df` plus the columns SCORES.
 
-    `lexicon` has the columns term and valence. `key`, unique in `df`, is needed only for a
-    lexicon of more than `max_literal` terms. Empty text is neutral with pos, neg and compound 0.
+    `lexicon` has the columns term and valence. One of more than `max_literal` terms is joined word by word, and the sums come
+    back by `key`, unique in `df`, or without one by the text, each distinct one being scored once; on a stream that is
+    work for the batch writer, as in `start_fan_out`. The scores are the same either way. Empty text is neutral with pos, neg and compound 0.
     Whole texts are scored unless `max_len` cuts the cleaned text.
     """
     scored = _sentiment_columns(_with_words(df, text, max_len), lexicon, key, alpha, rules, max_literal)
@@ -257,20 +306,19 @@ def _emotion_columns(df: DataFrame, lexicon: DataFrame, key: str | None, max_lit
     by_term = terms.groupBy("_low").agg(F.array_sort(F.collect_list(F.struct("emotion", "weight"))).alias("found"))
     lookup = lookup_column(by_term, "_low", "found", max_literal)
     if lookup is not None:
-        df = df.withColumn("_found", F.flatten(F.filter(F.transform("_lows", lookup), lambda x: x.isNotNull())))
-        sums = {}
-        for name, emotion in zip(names, EMOTIONS):
-            same = F.filter("_found", lambda x: x["emotion"] == emotion)
-            sums[name] = F.aggregate(same, F.lit(0.0), lambda acc, x: acc + x["weight"])
-        df = df.withColumns(sums).drop("_found")
-    elif key is not None:
-        words = df.select(key, F.explode("_lows").alias("_low"))
+        found = F.flatten(F.filter(F.transform("_lows", lookup), lambda x: x.isNotNull()))
+        zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
+        add = lambda acc, x: F.struct(
+            *[(acc[n] + F.when(x["emotion"] == e, x["weight"]).otherwise(0.0)).alias(n) for n, e in zip(names, EMOTIONS)]
+        )
+        df = df.withColumn("_found", F.aggregate(found, zero, add)).select("*", "_found.*").drop("_found")
+    else:
+        every, one, key = _one_per_text(df, key)
+        words = one.select(key, F.explode("_lows").alias("_low"))
         found = lookup_join(words, by_term, "_low", "inner").select(key, F.explode("found").alias("f")).groupBy(key)
         weight = lambda e: F.when(F.col("f.emotion") == e, F.col("f.weight")).otherwise(0.0)
         sums = found.agg(*[F.sum(weight(e)).alias(n) for n, e in zip(names, EMOTIONS)])
-        df = df.join(sums, key, "left").na.fill(0.0, names)
-    else:
-        raise ValueError(f"a lexicon of more than {max_literal} terms needs a key")
+        df = (hot_join(every, sums, key).drop("_h") if key == "_h" else every.join(sums, key, "left")).na.fill(0.0, names)
     df = df.withColumns({"_all": sum((F.col(n) for n in names[1:]), F.col(names[0])), "_max": F.greatest(*names)})
     none = F.col("_all") <= 0
     total = F.when(~none, F.col("_all"))
@@ -316,15 +364,20 @@ def add_analysis(
     key: str | None = None,
     rules: dict | None = None,
     max_len: int | None = None,
+    max_literal: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
     """Both lexicon scores side by side, from one look at the words; `lexicons` are the sentiment
     and the emotion lexicon."""
-    words = _with_words(df, text, max_len)
-    scored = _sentiment_columns(words, lexicons[0], key, ALPHA, rules, MAX_LITERAL_ROWS)
-    scored = _emotion_columns(scored.withColumnRenamed("confidence", "sentiment_confidence"), lexicons[1], key, MAX_LITERAL_ROWS)
+    scored = _analysis(df, text, lexicons, key, rules, max_len, max_literal)
     return scored.select(*df.columns, *SCORES[:-1], "sentiment_confidence", *EMOTION_SCORES)
 
 
+def _analysis(df, text, lexicons, key=None, rules=None, max_len=None, max_literal=MAX_LITERAL_ROWS) -> DataFrame:
+    """`add_analysis` with the cleaned text as `_clean`."""
+    scored = _sentiment_columns(_with_words(df, text, max_len), lexicons[0], key, ALPHA, rules, max_literal)
+    return _emotion_columns(scored.withColumnRenamed("confidence", "sentiment_confidence"), lexicons[1], key, max_literal)
+
+
 def analyze_full(
     df: DataFrame,
     key: str,
@@ -335,7 +388,7 @@ def analyze_full(
 ) -> DataFrame:
     """Full result per key. `model` maps (key, text) to (key, sentiment, compound, primary_emotion,
     confidence); rows it leaves out or null fall back to the lexicons."""
-    scored = add_analysis(df.select(key, text), text, lexicons, key, **options)
+    scored = _analysis(df.select(key, text), text, lexicons, key, **options)
     scored = scored.withColumnRenamed("emotion_confidence", "confidence")
     scored = scored.withColumn("model_used", F.lit("lexicon"))
     if model is not None:
@@ -349,7 +402,7 @@ def analyze_full(
         )
     return scored.select(
         key,
-        preview(clean_text(text, options.get("max_len")), 200).alias("text"),
+        preview("_clean", 200).alias("text"),
         "sentiment", "compound", "pos", "neg", "neu", "primary_emotion", "confidence", "emotion_scores", "model_used",
     )
 

@@ -6,26 +6,42 @@ from moodquarry.functions.labels import EMOTIONS
 from moodquarry.operators import scoring as S
 from moodquarry.queries import query
 from moodquarry.queries.tables import (
-    AS_OF, STAND_IN_RULES, lexicons, posts_of, r6, sql, sql_clean, sql_label, sql_list, stamp, table, text_table,
+    ALL_WORDS, AS_OF, PARTS, STAND_IN_RULES, lexicons, posts_of, r6, sql, sql_clean, sql_label, sql_list, stamp, table, text_table,
 )
 
 _PUNCTUATION = S.EDGE_PUNCTUATION.replace("'", "''")
 
 
-def _degree(p: str, damping: float) -> str:
-    """SQL of the degree and turn of the word before."""
-    r = STAND_IN_RULES
+def _step(d: int) -> tuple[str, str]:
+    """SQL of what the word `d` places before adds, by the sign of the sum so far, and of its factor."""
+    r, p, free = STAND_IN_RULES, f"p{d}", f"k{d} IS NULL"
     negator = f"{p} IN {sql_list(r['negators'])}"
-    up = f"CASE WHEN {negator} THEN 0 WHEN {p} IN {sql_list(r['weaker'])} THEN -0.293::DOUBLE WHEN {p} IN {sql_list(r['stronger'])} THEN 0.293::DOUBLE ELSE 0 END"
-    return f"{up} * sign(valence) * {damping}::DOUBLE", f"CASE WHEN {negator} THEN -0.74::DOUBLE ELSE 1 END"
-
-
-def _strength() -> str:
-    s = "valence + CASE WHEN mixed AND up THEN sign(valence) * 0.733::DOUBLE ELSE 0 END"
-    for p, damping in (("p1", 1.0), ("p2", 0.95), ("p3", 0.9)):
-        degree, turn = _degree(p, damping)
-        s = f"(({s}) + {degree}) * {turn}"
-    return f"({s}) * CASE WHEN but IS NULL OR i = but THEN 1 WHEN i < but THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END"
+    shout = f"CASE WHEN mixed AND u{d} THEN 0.733::DOUBLE ELSE 0 END"
+    add = f"""CASE WHEN {p} IS NULL OR NOT ({free}) OR {negator} THEN 0
+        WHEN {p} IN {sql_list(r['weaker'])} THEN -0.293::DOUBLE + {shout} WHEN {p} IN {sql_list(r['stronger'])} THEN 0.293::DOUBLE + {shout} ELSE 0 END"""
+    nearer = [f"p{i}" for i in range(1, d)]
+    never = " OR ".join(f"{n} IN ('so', 'this')" for n in nearer) or "false"
+    doubt = " OR ".join(f"{n} = 'doubt'" for n in nearer) or "false"
+    factor = f"""CASE WHEN NOT ({free}) THEN 1 WHEN {p} = 'never' AND ({never}) THEN 1.25::DOUBLE WHEN {p} = 'without' AND ({doubt}) THEN 1
+        WHEN {negator} THEN -0.74::DOUBLE ELSE 1 END"""
+    return f"({add}) * {(1.0, 0.95, 0.9)[d - 1]}::DOUBLE", factor
+
+
+def _hits_parts() -> dict[str, str]:
+    """The strength of each lexicon word that is no degree word, one rule after the other."""
+    r = STAND_IN_RULES
+    parts = {
+        "hit0": f"""SELECT *, valence + CASE WHEN mixed AND up THEN sign(valence) * 0.733::DOUBLE ELSE 0 END AS s0 FROM words3
+            WHERE valence IS NOT NULL AND (low IN {sql_list(r['negators'])} OR low NOT IN {sql_list(r['stronger'] + r['weaker'])})"""
+    }
+    soft = lambda a, b: f"CASE WHEN {a} IN ('kind', 'sort') AND {b} = 'of' THEN -0.293::DOUBLE ELSE 0 END"
+    steps = [*(_step(d) for d in (1, 2, 3)), (soft("p2", "p1"), "1"), (soft("p3", "p2"), "1"),
+             ("0", "CASE WHEN p1 = 'least' AND k1 IS NULL AND coalesce(p2, '') NOT IN ('at', 'very') THEN -0.74::DOUBLE ELSE 1 END")]
+    for n, (add, factor) in enumerate(steps):
+        parts[f"hit{n + 1}"] = f"SELECT *, (s{n} + ({add}) * sign(s{n})) * ({factor}) AS s{n + 1} FROM hit{n}"
+    parts["hits"] = f"""SELECT key, s{len(steps)} * CASE WHEN but IS NULL OR i = but THEN 1 WHEN i < but THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END AS s
+        FROM hit{len(steps)}"""
+    return parts
 
 
 def _word_parts(rel: str, key: str, cut: bool = False) -> dict[str, str]:
@@ -45,11 +61,13 @@ def _sentiment_parts(rel: str, key: str, cut: bool = False) -> dict[str, str]:
                WHEN {marks('?')} > 1 THEN {marks('?')} * 0.18::DOUBLE ELSE 0 END)"""
     return {
         **_word_parts(rel, key, cut),
-        "words3": """SELECT *, lag(low, 1) OVER o AS p1, lag(low, 2) OVER o AS p2, lag(low, 3) OVER o AS p3,
+        "words3": """SELECT w.*, valence, lag(low, 1) OVER o AS p1, lag(low, 2) OVER o AS p2, lag(low, 3) OVER o AS p3,
+                            lag(up, 1) OVER o AS u1, lag(up, 2) OVER o AS u2, lag(up, 3) OVER o AS u3,
+                            lag(valence, 1) OVER o AS k1, lag(valence, 2) OVER o AS k2, lag(valence, 3) OVER o AS k3,
                             bool_or(up) OVER a AND NOT bool_and(up) OVER a AS mixed,
                             min(CASE WHEN low = 'but' THEN i END) OVER a AS but
-                     FROM words2 WINDOW o AS (PARTITION BY key ORDER BY i), a AS (PARTITION BY key)""",
-        "hits": f"SELECT key, {_strength()} AS s FROM words3 JOIN lexicon ON term = low",
+                     FROM words2 w LEFT JOIN lexicon ON term = low WINDOW o AS (PARTITION BY key ORDER BY i), a AS (PARTITION BY key)""",
+        **_hits_parts(),
         "sums": """SELECT key, sum(greatest(s, 0)) AS pos, sum(least(s, 0)) AS neg, count(*) FILTER (s > 0) AS npos,
                           count(*) FILTER (s < 0) AS nneg FROM hits GROUP BY key""",
         "folded": f"""SELECT c.key, clean, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, coalesce(npos, 0) AS npos,
@@ -84,6 +102,9 @@ def _emotion_parts(rel: str, key: str, words: bool = True) -> dict[str, str]:
     }
 
 
+_ALL_WORDS = {"lex0": f"SELECT DISTINCT w AS term FROM ({ALL_WORDS})", "lexicon": PARTS["lexicon"], "emolex": PARTS["emolex"]}
+
+
 def _scored_sql(body: str, rel: str = "documents", key: str = "doc_id", cut: bool = False) -> str:
     return sql("lexicon", body, **_sentiment_parts(rel, key, cut))
 
@@ -110,12 +131,13 @@ def score_sentiment_cut(spark, sf):
     )
 
 
-@query("score_sentiment_large_lexicon", _scored_sql(_SENTIMENT))
+@query("score_sentiment_large_lexicon", sql("", _SENTIMENT, **_ALL_WORDS, **_sentiment_parts("documents", "doc_id")))
 def score_sentiment_large_lexicon(spark, sf):
-    """A lexicon beyond the bound of a constant, joined word by word."""
-    return S.score_sentiment(
-        text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES, max_literal=100
+    """A lexicon of all words, joined word by word and brought back by the text."""
+    scored = S.add_sentiment(
+        text_table(spark, sf, "documents").select("doc_id", "text"), "text", lexicons(spark, sf, None)[0], rules=STAND_IN_RULES, max_literal=100
     )
+    return scored.drop("text")
 
 
 _EMOTION = """SELECT key AS doc_id, primary_emotion, round(emotion_confidence, 6) AS emotion_confidence,
@@ -147,9 +169,10 @@ def score_emotion(spark, sf):
     return _emotion_columns(S.score_emotion(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[1]))
 
 
-@query("score_emotion_large_lexicon", sql("emolex", _EMOTION, **_emotion_parts("documents", "doc_id")))
+@query("score_emotion_large_lexicon", sql("", _EMOTION, **_ALL_WORDS, **_emotion_parts("documents", "doc_id")))
 def score_emotion_large_lexicon(spark, sf):
-    df = S.score_emotion(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[1], max_literal=100)
+    """A lexicon of all words."""
+    df = S.score_emotion(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf, None)[1], max_literal=100)
     return _emotion_columns(df)
 
 

@@ -33,7 +33,7 @@ def test_rules_by_hand(score):
     )
     want = [
         1.9, 1.9 * -0.74, 1.9 + 0.293, 1.9 * 0.5 - 2.5 * 1.5, 1.9 + 0.733, 1.9, 1.9 + 4 * 0.292, 3.8 + 0.96, 1.9 - 0.293,
-        (1.9 * -0.74) + (0.293 * 0.95),
+        (1.9 * -0.74) - (0.293 * 0.95),
     ]
     assert [r.compound for r in rows] == [compound(w) for w in want]
     assert all(r.confidence == abs(r.compound) for r in rows)
@@ -64,9 +64,28 @@ def test_whole_text_unless_cut(score):
     assert score(text)[0].pos > 0 and score(text, max_len=5000)[0].pos == 0
 
 
-def test_large_lexicon_needs_a_key(frame, lexicons):
-    with pytest.raises(ValueError):
-        S.add_sentiment(frame("text string", [("a",)]), "text", lexicons[0], max_literal=2)
+def test_large_lexicon_without_a_key(frame, lexicons):
+    """Equal texts are scored once and both get the scores; more terms than a constant holds change nothing."""
+    df = frame("text string, n int", [("love it, not bad", 1), ("love it, not bad", 2), (None, 3), ("so so awful", 4)])
+    more = lexicons[0].unionByName(df.sparkSession.range(60_000).selectExpr("concat('zz', id) AS term", "1.0D AS valence"))
+    rows = lambda d: sorted(map(str, d.collect()))
+    want = rows(S.add_sentiment(df, "text", lexicons[0]))
+    assert rows(S.add_sentiment(df, "text", more)) == want == rows(S.add_sentiment(df, "text", lexicons[0], max_literal=2))
+    assert rows(S.analyze_table(df, None, "text", (more, lexicons[1]))) == rows(S.analyze_table(df, None, "text", lexicons))
+
+
+def test_published_rules_by_hand(score):
+    good, up, down, caps, turn = 1.9, 0.293, -0.293, 0.733, -0.74
+    cases = {
+        "never so good": good * 1 + up, "never this good": good * 1.25, "never was this good": good * 1.25, "never good": good * turn,
+        "without doubt good": good, "without a good": good * turn, "least good": good * turn, "at least good": good, "very least good": good + up * 0.95,
+        "kind of good": good + down, "sort of a good": good + down, "VERY good day": good + up + caps, "very good": good + up,
+        "not very good": (good + up) * turn, "very not good": good * turn - up * 0.95, "hate good": -2.7 + good, "most": 0.0,
+    }
+    cases["never so good"] = (good + up) * 1.25
+    got = {t: r.compound for t, r in zip(cases, score(*cases))}
+    assert got == {t: compound(v) for t, v in cases.items()}
+    assert [r.compound for r in score(*cases, max_literal=2)] == list(got.values())
 
 
 def test_emotions(frame, lexicons):

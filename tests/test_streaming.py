@@ -133,12 +133,12 @@ def test_console_and_counts(spark, tmp_path):
 
 
 def test_all_batches_are_counted(spark, tmp_path):
-    stream = feed(spark, tmp_path / "in", [[(str(i), "a", at(0), "positive", 0.5)] for i in range(110)])
+    stream = feed(spark, tmp_path / "in", [[(str(i), "a", at(0), "positive", 0.5)] for i in range(102)])
     query = run(C.start(stream, "many", lambda df, i, query: df.count(), None, str(tmp_path / "state")))
     for _ in range(100):  # reports come a little later
-        if C.batch_counts(spark, query).count() == 110:
+        if C.batch_counts(spark, query).count() == 102:
             break
-    assert [r.batch_id for r in C.batch_counts(spark, query).orderBy("batch_id").collect()] == list(range(110))
+    assert [r.batch_id for r in C.batch_counts(spark, query).orderBy("batch_id").collect()] == list(range(102))
 
 
 def test_streams_with_one_writer_keep_their_rows(spark, tmp_path):
