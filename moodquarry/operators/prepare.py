@@ -11,6 +11,7 @@ from moodquarry.functions.labels import (
 from moodquarry.functions.text import strip, text_hash
 from moodquarry.operators.tables import dedup_key
 from moodquarry.plans.lookup import lookup_join
+from moodquarry.plans.session import settle
 
 # Shares, smallest class and seed of the two split rules.
 SPLIT_70 = {"ratios": (0.7, 0.15), "min_class": 10}
@@ -104,7 +105,8 @@ def _split_at(
             split = F.when(position < share, part) if split is None else split.when(position < share, part)
         return placed.withColumn("split", split.otherwise(last)).drop("_place")
     bucket = F.conv(F.substring("_place", 1, 4), 16, 10).cast("int")
-    narrow = placed.select(F.col(label).alias("_label"), "_place", bucket.alias("_bucket"))
+    # Read twice below; the input, which may be costly, is computed once for it.
+    narrow = settle(placed.select(F.col(label).alias("_label"), "_place", bucket.alias("_bucket")))
     # At most RANGES rows per class.
     counts = narrow.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     ordered = W.partitionBy("_label").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)

@@ -12,9 +12,9 @@ from moodquarry.sinks.files import write_result_csv, write_splits
 from moodquarry.sources.files import read_csv, read_sample_tree, read_text_csv
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, text_column: str = "text") -> DataFrame:
-    """Text, and sentiment, emotion and split if present, of a CSV as Parquet."""
-    df = read_csv(spark, source)
+def csv_to_parquet(spark: SparkSession, source: str, target: str, text_column: str = "text", line_breaks: bool = True) -> DataFrame:
+    """Text, and sentiment, emotion and split if present, of a CSV as Parquet; without `line_breaks` in fields, many tasks read a file."""
+    df = read_csv(spark, source, line_breaks)
     if text_column not in df.columns:
         raise ValueError(f"no column {text_column!r} in {df.columns}")
     rest = [c for c in ("sentiment", "emotion", "split") if c in df.columns]
@@ -23,15 +23,16 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, text_column: s
 
 
 def score_csv(
-    spark: SparkSession, source: str, target: str, lexicons: tuple[DataFrame, DataFrame], emotions: bool = True, **options
+    spark: SparkSession, source: str, target: str, lexicons: tuple[DataFrame, DataFrame], emotions: bool = True,
+    line_breaks: bool = True, **options,
 ) -> DataFrame:
     """Score an uploaded CSV, write the result as CSV, and return the summary rows.
 
-    The result is computed once: the summary reads what was written.
+    The result is computed once: the summary reads what was written. Without `line_breaks` in fields, many tasks read a file.
     """
-    df, text = read_text_csv(spark, source)
+    df, text = read_text_csv(spark, source, line_breaks=line_breaks)
     write_result_csv(analyze_table(df, None, text, lexicons, emotions, **options), target)
-    scored = read_csv(spark, target)
+    scored = read_csv(spark, target, line_breaks)
     numbers = [c for c in scored.columns if c.endswith("_Score") or c == "Emotion_Confidence"]
     return batch_summary(scored.withColumns({c: F.col(c).cast("double") for c in numbers}))
 

@@ -37,12 +37,13 @@ def read_text_csv(
     return df.withColumn(name, F.coalesce(F.col(name), F.lit(""))), name
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """A dataset by its suffix; `line_breaks` is that of `read_csv`."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix == ".parquet":
         return spark.read.parquet(path)
     if suffix == ".csv":
-        return read_csv(spark, path)
+        return read_csv(spark, path, line_breaks)
     if suffix in (".json", ".jsonl"):
         return spark.read.json(path)
     raise ValueError(f"unsupported dataset format: {path}")

@@ -102,3 +102,18 @@ def test_batch_writer_repeats_and_fails_loudly(spark, frame, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert settle(spark.range(5)).count() == 5
+
+
+def test_many_tasks_read_a_large_csv(spark, tmp_path, lexicons):
+    source = write(tmp_path / "large.csv", "Text,n\n" + "".join(f"I love this {i},{i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert R.read_dataset(spark, source, line_breaks=False).rdd.getNumPartitions() > 3
+        assert R.read_dataset(spark, source).rdd.getNumPartitions() == 1
+        rows = {(r.metric, r.key): r["count"] for r in flows.score_csv(spark, source, str(tmp_path / "out"), lexicons, line_breaks=False).collect()}
+        assert rows["total", "records"] == 20_000 == rows["sentiment", "positive"]
+        assert flows.csv_to_parquet(spark, source, str(tmp_path / "p"), "Text", line_breaks=False).count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -1,6 +1,7 @@
 import datetime
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,13 +133,26 @@ def test_console_and_counts(spark, tmp_path):
     assert sorted(r.num_input_rows for r in C.batch_counts(spark, query).collect()) == [1, 3]
 
 
-def test_all_batches_are_counted(spark, tmp_path):
-    stream = feed(spark, tmp_path / "in", [[(str(i), "a", at(0), "positive", 0.5)] for i in range(102)])
-    query = run(C.start(stream, "many", lambda df, i, query: df.count(), None, str(tmp_path / "state")))
+def test_all_batches_are_counted(spark):
+    """A query remembers its last 100 reports; those noted before count as well."""
+    notes = C._watch(spark)
+    for i in range(60):
+        notes.note("of-110", i, 2, i % 2)
+    report = lambda i: {"batchId": i, "numInputRows": 2, "stateOperators": [{"numRowsDroppedByWatermark": i % 2}]}
+    query = type("Query", (), {"id": "of-110", "recentProgress": [report(i) for i in range(50, 110)]})()
+    assert [tuple(r) for r in C.batch_counts(spark, query).orderBy("batch_id").collect()] == [(i, 2) for i in range(110)]
+    assert C.late_rows(query) == 55
+
+
+def test_the_listener_hears_of_every_batch(spark, tmp_path):
+    stream = feed(spark, tmp_path / "in", [[(str(i), "a", at(0), "positive", 0.5)] for i in range(5)])
+    query = run(C.start(stream, "heard", lambda df, i, query: df.count(), None, str(tmp_path / "state")))
+    heard = lambda: {i: rows for i, (rows, _) in C._watch(spark).batches.get(str(query.id), {}).items() if rows}
     for _ in range(100):  # reports come a little later
-        if C.batch_counts(spark, query).count() == 102:
+        if len(heard()) == 5:
             break
-    assert [r.batch_id for r in C.batch_counts(spark, query).orderBy("batch_id").collect()] == list(range(102))
+        time.sleep(0.1)
+    assert heard() == {i: 1 for i in range(5)} == {r.batch_id: r.num_input_rows for r in C.batch_counts(spark, query).collect()}
 
 
 def test_streams_with_one_writer_keep_their_rows(spark, tmp_path):
