@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moodquarry.functions.labels import EMOTIONS, SENTIMENTS
 from moodquarry.operators import learning as L
 from moodquarry.operators import prepare as P
 from moodquarry.queries import query
@@ -91,6 +92,31 @@ def predict(spark, sf):
     return out.select("doc_id", "sentiment_prediction", r6("sentiment_confidence"), "emotion_prediction", r6("emotion_confidence"))
 
 
+_HELD = "CAST('0x' || substr(md5(doc_id || ':42'), 1, 8) AS BIGINT) / 4294967296.0 >= 0.8"
+
+
+@query(
+    "train_two_heads_counts",
+    f"""SELECT unnest(range({len(L.DEFAULT_GRID)})) AS trial, (SELECT count(*) FROM documents WHERE {_HELD}) AS n, true AS sound""",
+)
+def train_two_heads_counts(spark, sf):
+    """Each trial's validation rows, and whether its loss and shares can be such."""
+    out = train_two_heads(spark, sf)
+    share = lambda c: F.col(c).between(0, 1)
+    return out.select("trial", "n", ((F.col("val_loss") > 0) & share("sentiment_acc") & share("emotion_acc")).alias("sound"))
+
+
+@query("predict_domains", "SELECT doc_id, true AS labels, true AS confidences FROM documents")
+def predict_domains(spark, sf):
+    """Every document has labels of the two domains, with the confidence of a largest share."""
+    out = predict(spark, sf)
+    known = F.col("sentiment_prediction").isin(SENTIMENTS) & F.col("emotion_prediction").isin(EMOTIONS)
+    least = lambda c, labels: F.col(c).between(1 / len(labels) - 1e-6, 1)
+    return out.select(
+        "doc_id", known.alias("labels"), (least("sentiment_confidence", SENTIMENTS) & least("emotion_confidence", EMOTIONS)).alias("confidences")
+    )
+
+
 @query(
     "apply_model",
     """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id + 9007199254740993 ELSE -1 END AS big, CASE WHEN n > 50000 THEN 'error' WHEN n % 3 = 0 THEN 'positive' WHEN n % 3 = 1 THEN 'negative' ELSE 'neutral' END AS label,
