@@ -46,10 +46,22 @@ def test_a_query_on_a_repeated_row(frame):
     assert result(df) == [(0, 1, 7, 32768), (0, 2, 8, 32768)]
 
 
+class Counted:
+    """Vectors that count how many of them are compared."""
+
+    def __init__(self, vectors):
+        self.vectors, self.dtype, self.n = vectors, vectors.dtype, 0
+
+    def __getitem__(self, rows):
+        self.n += len(rows)
+        return self.vectors[rows]
+
+
 def test_bounds_spare_distances():
     rng = np.random.default_rng(0)
     x = (rng.normal(size=(4000, 3)) * 1000).astype(np.int64)
-    metric = Metric(int((x * x).sum(axis=1).max()))
-    tree = Tree([[i] for i in range(len(x))], x, metric)
+    tree = Tree([[i] for i in range(len(x))], x, Metric(int((x * x).sum(axis=1).max())))
+    tree.exact = Counted(tree.exact)
     best = sorted(((s, -i) for s, i in zip((x @ x[17]).tolist(), range(len(x))) if i != 17), reverse=True)[:5]
     assert sorted(tree.search(17, x[17], 5, []), reverse=True) == best
+    assert tree.exact.n < len(x) / 2
