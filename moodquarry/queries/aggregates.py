@@ -49,24 +49,28 @@ def batch_summary(spark, sf):
     return S.batch_summary(analysed(spark, sf))
 
 
+def entries(counts: str):
+    """All entries of a map of counts as text, to be compared."""
+    pairs = F.transform(F.map_entries(counts), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return F.array_join(F.array_sort(pairs), ",")
+
+
 @query(
     "user_stats",
     sql(
         "analyses",
-        f"""SELECT user_id, count(*) AS total_analyses, {_LABELS}, count(*) FILTER (primary_emotion = 'view') AS n_view,
-                   count(*) FILTER (primary_emotion = 'click') AS n_click, count(DISTINCT primary_emotion) AS n_emotions,
+        f"""SELECT user_id, count(*) AS total_analyses, {_LABELS}, any_value(coalesce(emotions, '')) AS emotions,
                    coalesce(round(avg(confidence), 4), 0) AS average_confidence,
                    coalesce(round(avg(processing_time_ms), 2), 0) AS average_processing_time_ms
-            FROM analyses GROUP BY user_id""",
+            FROM analyses LEFT JOIN (
+                SELECT user_id, string_agg(primary_emotion || ':' || n, ',' ORDER BY primary_emotion || ':' || n) AS emotions
+                FROM (SELECT user_id, primary_emotion, count(*) AS n FROM analyses WHERE primary_emotion IS NOT NULL GROUP BY 1, 2)
+                GROUP BY 1) USING (user_id) GROUP BY user_id""",
     ),
 )
 def user_stats(spark, sf):
-    emotions = F.col("emotion_distribution")
     return S.user_stats(analyses(spark, sf)).select(
-        "user_id", "total_analyses", *LABEL_COUNTS,
-        F.coalesce(emotions["view"], F.lit(0)).alias("n_view"),
-        F.coalesce(emotions["click"], F.lit(0)).alias("n_click"),
-        F.size(emotions).cast("bigint").alias("n_emotions"),
+        "user_id", "total_analyses", *LABEL_COUNTS, entries("emotion_distribution").alias("emotions"),
         "average_confidence", "average_processing_time_ms",
     )
 
@@ -315,10 +319,9 @@ def _hourly_rows(where: str) -> str:
 
 
 def hourly_rows(df):
-    pairs = F.transform(F.map_entries("emotion_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
     return S.hourly_source_stats(df).select(
         "source", ntz("hour_bucket"), "total_count", *LABEL_COUNTS, r6("avg_compound_score"), r6("avg_confidence"),
-        F.array_join(F.array_sort(pairs), ",").alias("emotion_counts"),
+        entries("emotion_counts").alias("emotion_counts"),
     )
 
 

@@ -91,13 +91,14 @@ def _emotion_parts(rel: str, key: str, words: bool = True) -> dict[str, str]:
     most = "greatest(" + ", ".join(EMOTIONS) + ")"
     first = " ".join(f"WHEN {e} = {most} THEN '{e}'" for e in EMOTIONS)
     total = " + ".join(EMOTIONS)
+    shares = ", ".join(f"CASE WHEN joy IS NULL THEN {int(e == 'neutral')} ELSE {e} / ({total}) END AS {e}_share" for e in EMOTIONS)
     return {
         **(_word_parts(rel, key) if words else {}),
         "found": f"SELECT key, {sums} FROM words2 JOIN emolex ON term = low GROUP BY key",
         "emotions": f"""
             SELECT key, CASE WHEN joy IS NULL THEN 'neutral' {first} END AS primary_emotion,
                    CASE WHEN joy IS NULL THEN 1 ELSE {most} / ({total}) END AS emotion_confidence,
-                   CASE WHEN joy IS NULL THEN 0 ELSE joy / ({total}) END AS joy_share
+                   {shares}
             FROM split0 LEFT JOIN found USING (key)""",
     }
 
@@ -140,13 +141,13 @@ def score_sentiment_large_lexicon(spark, sf):
     return scored.drop("text")
 
 
-_EMOTION = """SELECT key AS doc_id, primary_emotion, round(emotion_confidence, 6) AS emotion_confidence,
-                     round(joy_share, 6) AS joy FROM emotions"""
+_EMOTION = f"""SELECT key AS doc_id, primary_emotion, round(emotion_confidence, 6) AS emotion_confidence,
+                      {", ".join(f"round({e}_share, 6) AS {e}" for e in EMOTIONS)} FROM emotions"""
 
 
 def _emotion_columns(df):
     return df.select(
-        "doc_id", "primary_emotion", r6("emotion_confidence"), F.round(F.col("emotion_scores")["joy"], 6).alias("joy")
+        "doc_id", "primary_emotion", r6("emotion_confidence"), *(F.round(F.col("emotion_scores")[e], 6).alias(e) for e in EMOTIONS)
     )
 
 

@@ -58,12 +58,13 @@ def read_sample_tree(spark, sf):
     return R.read_sample_tree(spark, [f"{root}/static", f"{root}/streamed"], None)
 
 
-@query("count_by_directory", "SELECT source, count(*) AS n_rows FROM documents GROUP BY source")
+@query("count_by_directory", "SELECT source, 1 AS n_files, count(*) AS n_rows, true AS has_bytes FROM documents GROUP BY source")
 def count_by_directory(spark, sf):
     path = new_folder(spark, "tree")
-    table(spark, sf, "documents").write.partitionBy("source").parquet(path)
+    table(spark, sf, "documents").repartition("source").write.partitionBy("source").parquet(path)
     found = R.count_by_directory(spark.read.parquet(path))
-    return found.select(F.regexp_extract("directory", "source=(.*)$", 1).alias("source"), "n_rows")
+    source = F.regexp_extract("directory", "source=(.*)$", 1).alias("source")
+    return found.select(source, F.col("n_files").cast("int").alias("n_files"), "n_rows", (F.col("n_bytes") > 100).alias("has_bytes"))
 
 
 def _pages(spark, sf):
