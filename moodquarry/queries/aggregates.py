@@ -242,7 +242,10 @@ def top_keywords(spark, sf):
         """SELECT id % 100 AS job_id, count(*) AS processed_records,
                   count(*) FILTER (Sentiment = 'positive') AS positive_count, count(*) FILTER (Sentiment = 'negative') AS negative_count,
                   count(*) FILTER (Sentiment = 'neutral') AS neutral_count, count(*) FILTER (Sentiment IS NULL) AS failed_records,
-                  count(*) FILTER (Primary_Emotion = 'view') AS n_view FROM analysed GROUP BY 1""",
+                  any_value(coalesce(emotions, '')) AS emotions FROM analysed LEFT JOIN (
+                      SELECT job, string_agg(e || ':' || n, ',' ORDER BY e || ':' || n) AS emotions
+                      FROM (SELECT id % 100 AS job, Primary_Emotion AS e, count(*) AS n FROM analysed WHERE e IS NOT NULL GROUP BY 1, 2)
+                      GROUP BY 1) ON job = id % 100 GROUP BY 1""",
     ),
 )
 def job_counters(spark, sf):
@@ -251,7 +254,7 @@ def job_counters(spark, sf):
     )
     return S.job_counters(df).select(
         "job_id", "processed_records", *LABEL_COUNTS, "failed_records",
-        F.coalesce(F.col("emotion_counts")["view"], F.lit(0)).alias("n_view"),
+        entries("emotion_counts").alias("emotions"),
     )
 
 
