@@ -10,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodquarry.llm.tables import small_batches
+from moodquarry.llm.tables import keep, small_batches
 
 DIMENSIONS = 1024
 MAX_LANGUAGES = 2000  # rows of the model, which the driver and every task hold
 UNDETERMINED = "und"
 _SCALE = 1 << 20  # a document's vector in integers, so that sums are exact in any order
 _GROUP_CHARS = 1 << 19
+SEEN_PART = 1000  # a unit is known to a language if one in so many of its documents has it
+SEEN_BITS = 24  # of a unit's hash
+_SYLLABLES = 0x2E80  # from here on a letter is an ideograph or a syllable
 
 
 @functools.cache
@@ -50,9 +53,9 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([a[whole], b[whole], c[whole]], axis=1), source
 
 
-def vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
+def vectors(texts: list[str], dimensions: int = DIMENSIONS, trigrams: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The bundle of each text: the sum, over its letter triples, of the product of the letters' vectors, each turned by its place."""
-    triples, source = _trigrams(texts)
+    triples, source = trigrams or _trigrams(texts)
     seen = np.zeros(0x110000, bool)
     seen[triples.ravel()] = True
     letters = np.flatnonzero(seen)
@@ -84,6 +87,25 @@ def vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     return out
 
 
+def _units(triples: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit around each letter, as a hash of SEEN_BITS bits, and the text it comes from.
+
+    A unit is the letter with its two neighbours. An ideograph or syllable is one by itself: texts of thousands of letters seldom
+    share triples.
+    """
+    inner = triples[:, 1] > 0
+    triples, source = triples[inner].astype(np.uint64), source[inner]
+    beside = np.where(triples[:, 1] < _SYLLABLES, triples[:, 0] << np.uint64(42) | triples[:, 2], np.uint64((1 << 64) - (1 << 42)))
+    unit = beside | triples[:, 1] << np.uint64(21)
+    return (unit * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SEEN_BITS)).astype(np.int64), source
+
+
+def _shares(known: bytes, units: tuple[np.ndarray, np.ndarray], texts: int) -> list[float]:
+    unit, source = units
+    hit = np.frombuffer(known, np.uint8)[unit >> 3] >> (7 - (unit & 7)).astype(np.uint8) & 1
+    return (np.bincount(source, hit, texts) / np.maximum(np.bincount(source, minlength=texts), 1)).tolist()
+
+
 def _grouped(texts: list[str]) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
@@ -111,9 +133,16 @@ class Profiles:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The language whose prototype has the largest cosine, the first of equal ones, and that cosine, or 0 if negative."""
-        names, scores = [], []
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str], known: bytes | None = None) -> tuple[list[str], list[float], list[float]]:
+        """`predict`, and the share of each text's units that are `known`: 0 for a text without a letter; none if not asked for."""
+        names, scores, shares = [], [], []
         for group in _grouped(texts):
-            unit = _unit(vectors(group, self.dimensions))
+            trigrams = _trigrams(group)
+            if known is not None:
+                shares.extend(_shares(known, _units(*trigrams), len(group)))
+            unit = _unit(vectors(group, self.dimensions, trigrams))
             if not self.languages:
                 names.extend([UNDETERMINED] * len(group))
                 scores.extend([0.0] * len(group))
@@ -123,7 +152,7 @@ class Profiles:
             some = unit.any(axis=1)
             names.extend(self.languages[k] if s else UNDETERMINED for k, s in zip(best, some))
             scores.extend(np.where(some, np.clip(cosines.max(axis=1), 0, 1), 0).astype(float).tolist())
-        return names, scores
+        return names, scores, shares
 
 
 def learn_profiles(df: DataFrame, text: str, lang: str, dimensions: int = DIMENSIONS) -> Profiles:
@@ -172,6 +201,60 @@ def language_of(profiles: Profiles, text: str | Column) -> Column:
     return predict(text)
 
 
+def learn_seen(df: DataFrame, text: str, lang: str) -> bytes:
+    """A bit for each hash of a unit: whether one in SEEN_PART documents of some language has it, so one of fewer documents.
+
+    All rows with a text and a language count. Only hashes come to the driver; there are no more than bits. Units that share a hash
+    are known together.
+    """
+    rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        parts, size = [], 0
+
+        def added() -> pa.RecordBatch:
+            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+            known = np.array(list(names), object)[codes >> (SEEN_BITS + 1)]
+            unit = codes & ((2 << SEEN_BITS) - 1)
+            return pa.RecordBatch.from_pydict({"lang": pa.array(known, pa.string()), "unit": pa.array(unit), "n": pa.array(n, pa.int64())})
+
+        for batch in small_batches(batches, "text"):
+            labels, at = batch.column("lang").to_pylist(), 0
+            for group in _grouped(batch.column("text").to_pylist()):
+                own = np.array([names.setdefault(x, len(names)) for x in labels[at : at + len(group)]], np.int64)
+                at += len(group)
+                unit, source = _units(*_trigrams(group))
+                once = np.unique(source << SEEN_BITS | unit)
+                documents = own[np.unique(source)] << (SEEN_BITS + 1) | 1 << SEEN_BITS
+                parts += [own[once >> SEEN_BITS] << (SEEN_BITS + 1) | once & ((1 << SEEN_BITS) - 1), documents]
+                size += len(once) + len(documents)
+                if size > _GROUP_CHARS:
+                    yield added()
+                    parts, size = [], 0
+        if parts:
+            yield added()
+
+    counts = keep(rows.mapInArrow(count, "lang string, unit bigint, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n")), "seen")
+    documents = counts.filter(F.col("unit") == 1 << SEEN_BITS).select("lang", F.col("n").alias("documents"))
+    common = counts.filter(F.col("unit") < 1 << SEEN_BITS).join(F.broadcast(documents), "lang").filter(F.col("n") * SEEN_PART >= F.col("documents"))
+    known = np.zeros(1 << SEEN_BITS, bool)
+    known[common.select("unit").distinct().toPandas()["unit"].to_numpy(np.int64)] = True
+    return np.packbits(known).tobytes()
+
+
+def language_and_share(profiles: Profiles, known: bytes, text: str | Column) -> Column:
+    """`language_of` with `seen`, the share of each whole text's units that are known; both in one pass over the letters."""
+
+    @F.pandas_udf("lang_pred string, score double, seen double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            names, scores, shares = profiles.judge([t or "" for t in texts], known)
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "seen": shares})
+
+    return judge(text)
+
+
 def held_out(id_col: str, parts: int, part: int) -> Column:
     """Whether the CRC-32 of the id as text leaves `part` when divided by `parts`; a null id is as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts == part

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as pipeline
 from moodquarry.llm import queries
 from moodquarry.llm.tables import keep
@@ -30,6 +32,17 @@ def test_language_stage_rejects_what_has_no_letter(spark, odd, sf):
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 1, 1, 5, 6] and left.columns == odd.columns
 
 
+def test_language_stage_rejects_foreign_texts_and_noise_and_keeps_words(spark, documents, frame):
+    rng = random.Random(7)
+    scripts = [[chr(c) for c in range(a, b)] for a, b in ((0x3B1, 0x3CA), (0x430, 0x450), (0x4E00, 0x5500), (97, 123))]
+    noise = ["".join(rng.choice([*s, *" " * (len(s) // 5)]) for _ in range(n)) for s in scripts for n in (300, 3000, 30_000) for _ in range(10)]
+    words = ["The", "und", "les", "and the", "Von."]
+    rows = [(-1 - i, t, None, "x", len(t)) for i, t in enumerate(noise)] + [(-1000 - i, t, None, "x", len(t)) for i, t in enumerate(words)]
+    docs = keep(documents.unionByName(frame(documents.schema, rows)), "planted")
+    kept = {r.doc_id for r in pipeline.language_stage(spark, docs, "").select("doc_id").collect()}
+    assert kept == {r.doc_id for r in documents.collect()} | {-1000 - i for i in range(len(words))}
+
+
 def test_odd_and_empty_tables(spark, odd, sf):
     plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for docs in (plain, odd, plain.limit(0)):
