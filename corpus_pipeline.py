@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from moodquarry.llm.language import UNDETERMINED, language_and_share, learn_profiles, learn_seen
 from moodquarry.llm.mixing import mixed_rows, words
 from moodquarry.llm.packing import pack_documents
-from moodquarry.llm.simhash import near_duplicates
+from moodquarry.llm.simhash import without_near_duplicates
 from moodquarry.llm.substrings import without_repeats
 from moodquarry.llm.tables import keep
 
@@ -29,10 +29,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id; so do documents without an id."""
-    groups = near_duplicates(docs, "doc_id", "text")
-    gone = keep(groups.filter("doc_id <> component_id").select("doc_id"), "near_copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates stays: the one with the smallest doc_id, null last, and the first of equal ids."""
+    return without_near_duplicates(docs, "doc_id", "text")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodquarry.llm.components import components
@@ -125,12 +125,36 @@ def near_duplicates(
     a null component_id. An empty table gives an empty result. Other columns are not read.
     """
     rows = keep(add_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "f", shingle), "simhash")
-    classes = keep(rows.groupBy("f").agg(F.min("id").alias("least")), "fingerprints")
+    member = _least_of_group(rows, F.col("id"), radius, tile_rows).withColumnRenamed("least", "component_id")
+    return rows.join(member, "f").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _least_of_group(rows: DataFrame, value: Column, radius: int, tile_rows: int) -> DataFrame:
+    """(f, least): for each fingerprint `f` of `rows`, the smallest `value` among the rows that links reach from it."""
+    classes = keep(rows.groupBy("f").agg(F.min(value).alias("least")), "fingerprints")
     linked = components(near_links(classes.select("f"), radius, tile_rows), "a", "b")
     named = classes.join(linked, classes.f == linked.node, "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     named = keep(named, "components")
-    least = keep(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    member = keep(named.join(least, "root").select("f", "component_id"), "members")
-    return rows.join(member, "f").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id"
+    least = keep(named.groupBy("root").agg(F.min("least").alias("least")), "smallest")
+    return keep(named.drop("least").join(least, "root").select("f", "least"), "members")
+
+
+def without_near_duplicates(
+    df: DataFrame, id_col: str, text: str, shingle: int = SHINGLE, radius: int = RADIUS, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """`df` with one row of each group that links of `radius` bits join: the one with the smallest id, null last, and of these the first.
+
+    Rows are told apart by their number in a written copy of the table, so repeated rows, null ids and rows that share an id but not
+    a text are each decided by their own text. Columns stay as they are, whatever their names.
+    """
+    numbered = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at")
     )
+    numbered = keep(numbered, "numbered")
+    texts = numbered.select("id", "at", F.col("row").getField(text).alias("text"))
+    rows = keep(add_fingerprint(texts, "text", "f", shingle), "simhash")
+    first = _least_of_group(rows, F.struct(F.col("id").isNull().alias("last"), "id", "at"), radius, tile_rows)
+    gone = keep(rows.join(first, "f").filter("at <> least.at").select("at"), "near_copies")
+    return numbered.join(gone, "at", "left_anti").select("row.*")

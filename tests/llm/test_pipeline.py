@@ -43,6 +43,17 @@ def test_language_stage_rejects_foreign_texts_and_noise_and_keeps_words(spark, d
     assert kept == {r.doc_id for r in documents.collect()} | {-1000 - i for i in range(len(words))}
 
 
+def test_simhash_stage_decides_by_row(spark, frame):
+    """Repeated rows, null ids, a repeated id with two texts, and rows without a word."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (None, b), (3, c), (3, c), (4, c), (4, d), (5, None), (5, ""), (None, " ")]
+    docs = frame("doc_id bigint, text string, lang string, source string, n_chars bigint", [(i, t, "en", "x", 0) for i, t in rows])
+    left = pipeline.simhash_stage(spark, docs, "")
+    assert left.schema.names == docs.schema.names
+    got = [(r.doc_id, r.text or "") for r in left.collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (None, b), (3, c), (4, d), (5, "")], key=str)
+
+
 def test_odd_and_empty_tables(spark, odd, sf):
     plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for docs in (plain, odd, plain.limit(0)):
