@@ -4,7 +4,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,15 +103,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     """
     made = dealt(pieces, pieces.count(), group_pieces)
 
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        lengths = group["length"].to_numpy()
+    def place(group: pa.Table) -> pa.Table:
+        lengths = group.column("length").to_numpy()
         order = packing_order(lengths, capacity)
         bins, offsets = sum_of_squares(lengths[order], capacity)
-        out = group.drop(columns="group").iloc[order]
-        return out.assign(sequence_id=(int(group["group"].iloc[0]) << 32) + bins, offset=offsets)
+        out = group.drop_columns(["group"]).take(pa.array(order))
+        first = group.column("group")[0].as_py() << 32
+        return out.append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return made.groupBy("group").applyInPandas(place, f"{kinds}, sequence_id bigint, offset bigint")
+    return made.groupBy("group").applyInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(

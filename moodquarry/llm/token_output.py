@@ -1,7 +1,7 @@
 """Packed id matrices for training: best-fit-decreasing packing, cumulative segment lengths and position resets."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,11 @@ MATRIX = (
     "matrix_id bigint, n_rows int, n_cols int, ids binary, cu_seqlens array<int>, position_resets array<int>, "
     "doc_ids array<bigint>, pieces array<int>, starts array<bigint>"
 )
+MATRIX_NAMES = [column.split()[0] for column in MATRIX.split(", ")]
+ARROW = [
+    pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()),
+    pa.list_(pa.int64()),
+]
 
 
 class GapTree:
@@ -83,12 +88,12 @@ def packed_matrices(
     salted = rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     pieces = token_pieces(salted, "text", path, end_id, capacity, ("id", "group"), ids=True).drop("ids_crc32")
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        lengths = group["length"].to_numpy()
+    def build(group: pa.Table) -> pa.Table:
+        lengths = group.column("length").to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         order = np.lexsort((offsets, bins))
-        ids, doc, piece, start = (group[c].to_numpy() for c in ("ids", "id", "piece", "start"))
-        n, first = int(bins.max()) + 1, int(group["group"].iloc[0]) << 32
+        ids, doc, piece, start = (group.column(c).to_pylist() for c in ("ids", "id", "piece", "start"))
+        n, first = int(bins.max()) + 1, group.column("group")[0].as_py() << 32
         out = []
         ends = np.searchsorted(bins[order], np.arange(0, n + matrix_rows, matrix_rows))
         for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
@@ -104,11 +109,11 @@ def packed_matrices(
             starts = np.concatenate([at, pads * capacity + filled[pads]])
             who = np.concatenate([some, np.full(len(pads), -1)])[np.argsort(starts)]
             starts = np.sort(starts)
-            name = lambda values: [None if i < 0 or pd.isna(values[i]) else int(values[i]) for i in who]
-            out.append((first + k, n_rows, capacity, flat.tobytes(), [*starts, n_rows * capacity], starts, name(doc), name(piece), name(start)))
-        return pd.DataFrame(out, columns=["matrix_id", "n_rows", "n_cols", "ids", "cu_seqlens", "position_resets", "doc_ids", "pieces", "starts"])
+            name = lambda values: [None if i < 0 else values[i] for i in who]
+            out.append((first + k, n_rows, capacity, flat.tobytes(), [*starts.tolist(), n_rows * capacity], starts.tolist(), name(doc), name(piece), name(start)))
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), ARROW)], MATRIX_NAMES)
 
-    return pieces.groupBy("group").applyInPandas(build, MATRIX)
+    return pieces.groupBy("group").applyInArrow(build, MATRIX)
 
 
 def write_matrices(matrices: DataFrame, path: str) -> None:

@@ -131,3 +131,11 @@ def test_matrices_of_odd_rows(odd):
     assert sum(d is None for d, _ in named) == 1 and (2, 0) in named and named.count((1, 0)) == 3
     with pytest.raises(Exception, match="ids beyond"):
         packed_matrices(odd, "doc_id", "text", PATH, 70_000).collect()
+
+
+def test_large_ids_beside_a_null_id(frame):
+    large = [(1 << 53) + 1, (1 << 53) + 3, (1 << 62) + 1]
+    docs = frame("doc_id bigint, text string", [(d, "some words") for d in [*large, None]])
+    assert {r.doc_id for r in pack_documents(docs, "doc_id", "text", PATH, 1).collect()} == {*large, None}
+    named = [d for m in packed_matrices(docs, "doc_id", "text", PATH, 1).collect() for d, p in zip(m.doc_ids, m.pieces) if p is not None]
+    assert len(named) == 4 and set(named) == {*large, None}
