@@ -13,6 +13,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def from_url(spark: SparkSession, url: str) -> str:
+    """The path that a URL, as in `_metadata.file_path`, stands for; folder names keep the escapes that Spark gave them."""
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(url)).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a file or folder with all it holds, if it is there."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

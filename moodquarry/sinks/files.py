@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from moodquarry.functions.times import time_buckets
 from moodquarry.operators.prepare import split_metadata
 from moodquarry.operators.tables import same_key, upsert
-from moodquarry.plans.scratch import remove
+from moodquarry.plans.scratch import exists, from_url, remove
 from moodquarry.plans.session import settle
 
 # Fixed value: folders of the post archive.
@@ -56,8 +56,10 @@ def write_upsert(spark: SparkSession, path: str, fresh: DataFrame, keys: list[st
     touched = settle(held.unionByName(fresh.select(folder)).distinct())
     part = old.alias("old").join(touched.alias("new"), same_key([folder]), "left_semi")
     merged = settle(upsert(part, fresh, keys, order).select(*old.columns))
-    emptied = touched.alias("old").join(merged.select(folder).distinct().alias("new"), same_key([folder]), "left_anti")
-    gone = [row[0] for row in emptied.collect()]  # folders that lost their last row, at most as many as there are folders
+    file = part.metadataColumn("_metadata").getField("file_path")
+    one = part.select(file.alias("file")).groupBy(F.regexp_extract("file", "^(.*)/", 1).alias("folder")).agg(F.min("file").alias("file"))
+    before = [(from_url(spark, r.folder), from_url(spark, r.file)) for r in one.collect()]  # a row for each folder read
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(path)
-    for value in gone:
-        remove(spark, f"{path}/{folder}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")
+    for place, old_file in before:
+        if exists(spark, old_file):  # not written again: the folder lost its last row
+            remove(spark, place)

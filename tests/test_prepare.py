@@ -145,3 +145,21 @@ def test_write_upsert_touches_only_its_folders(spark, frame, tmp_path):
     W.write_upsert(spark, path, frame("k int, n int, day string", [(2, 20, "a"), (4, 40, "c")]), ["k"], "day")
     assert sorted((r.k, r.n, r.day) for r in spark.read.parquet(path).collect()) == [(1, 1, "a"), (2, 20, "a"), (3, 3, "b"), (4, 40, "c")]
     assert before == {f: f.stat().st_mtime_ns for f in (tmp_path / "hourly" / "day=b").glob("*.parquet")}
+
+
+def test_write_upsert_empties_folders_with_escaped_names(spark, frame, tmp_path):
+    path, schema = str(tmp_path / "a b%"), "k int, n int, day string"
+    names = ["a:b", "c/d", "e=f", "50%", "g#h i?", "ü", None]
+    frame(schema, [*((i, 1, d) for i, d in enumerate(names)), (99, 1, "a:b")]).write.partitionBy("day").parquet(path)
+    W.write_upsert(spark, path, frame(schema, [(i, 2, "new:x") for i in range(len(names))]), ["k"], "day")
+    want = [(i, 2, "new:x") for i in range(len(names))] + [(99, 1, "a:b")]
+    assert sorted(map(tuple, spark.read.schema(schema).parquet(path).collect())) == want
+    assert sorted(f.name for f in (tmp_path / "a b%").glob("day=*")) == ["day=a%3Ab", "day=new%3Ax"]
+
+
+def test_write_upsert_empties_folders_read_as_another_type(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, 1, "01"), (2, 1, "02")], "k int, n int, hour string")
+    rows.write.partitionBy("hour").parquet(path)
+    W.write_upsert(spark, path, spark.createDataFrame([(1, 2, 2)], "k int, n int, hour int"), ["k"], "hour")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 2, 2), (2, 1, 2)]
