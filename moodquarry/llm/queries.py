@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodquarry.llm.fingerprints import fingerprint_edits
+from moodquarry.llm.histogram_packing import pack_by_histogram
 from moodquarry.llm.language import predict_languages
 from moodquarry.llm.mixing import mixed_sizes, words
 from moodquarry.llm.packing import pack_documents
@@ -143,3 +144,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_token_counts")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(documents(spark, sf), "doc_id", "text", PIECE_BPE)
+
+
+@query("op11_histogram_packing")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_by_histogram(documents(spark, sf), "doc_id", "text", WORD_BPE, WORD_BPE_END)
