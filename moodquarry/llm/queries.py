@@ -11,6 +11,7 @@ from moodquarry.llm.histogram_packing import pack_by_histogram
 from moodquarry.llm.language import predict_languages
 from moodquarry.llm.mixing import mixed_sizes, words
 from moodquarry.llm.packing import pack_documents
+from moodquarry.llm.periodic_runs import collapse_runs, strongest
 from moodquarry.llm.quality import score_quality
 from moodquarry.llm.search import top_inner_products
 from moodquarry.llm.simhash import near_duplicates
@@ -149,3 +150,27 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_histogram_packing")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return pack_by_histogram(documents(spark, sf), "doc_id", "text", WORD_BPE, WORD_BPE_END)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """`documents` in which a tenth of the texts, by CRC-32 of the id, goes on from some word with a period; a null id plants none."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", hashed.alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    )
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", place(i))))
+    return rows.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = collapse_runs(with_planted_runs(documents(spark, sf)), "doc_id", "text").withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
