@@ -12,6 +12,7 @@ from moodquarry.llm.language import predict_languages
 from moodquarry.llm.mixing import mixed_sizes, words
 from moodquarry.llm.packing import pack_documents
 from moodquarry.llm.periodic_runs import collapse_runs, strongest
+from moodquarry.llm.phrase_automata import mine_collocations
 from moodquarry.llm.quality import score_quality
 from moodquarry.llm.search import top_inner_products
 from moodquarry.llm.simhash import near_duplicates
@@ -152,6 +153,47 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return pack_by_histogram(documents(spark, sf), "doc_id", "text", WORD_BPE, WORD_BPE_END)
 
 
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), lists AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, range(1, 6) AS r(k) WHERE len(w) >= k)
+), counted AS (
+    SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 100
+), cuts AS (
+    SELECT c.lang, c.phrase, c.k AS words, c.a, j, array_to_string(w[1 : j], ' ') AS head, array_to_string(w[j + 1 :], ' ') AS rest
+    FROM candidates c, range(1, 5) AS r(j) WHERE j < c.k
+), scored AS (
+    SELECT c.*, h.f AS l, t.f AS r, n, ((1000::HUGEINT * c.a * n) // (h.f::HUGEINT * t.f))::BIGINT AS score
+    FROM cuts c JOIN totals USING (lang)
+    JOIN counted h ON h.lang = c.lang AND h.phrase = c.head JOIN counted t ON t.lang = c.lang AND t.phrase = c.rest
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inside AS (
+    SELECT DISTINCT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, a AS longer
+    FROM (SELECT lang, w, a, k, m, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 5) AS r(m) WHERE m < k)
+), covers AS (
+    SELECT lang, phrase, max(longer) AS longer FROM inside GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN covers USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return mine_collocations(documents(spark, sf), "text", "lang")
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """`documents` in which a tenth of the texts, by CRC-32 of the id, goes on from some word with a period; a null id plants none."""
     hashed = F.crc32(F.col("doc_id").cast("string"))
