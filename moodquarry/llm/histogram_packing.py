@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodquarry.llm.tables import keep, small_batches
-from moodquarry.llm.tokens import word_tokenizer
+from moodquarry.llm.tables import keep, small_batches, tidy
+from moodquarry.llm.tokens import forget_words, word_tokenizer
 
 CAPACITY = 2048
 
@@ -186,7 +186,7 @@ def ranked_pieces(rows: DataFrame, path: str, end_id: int, capacity: int = CAPAC
             names = ["id", *(c.split()[0] for c in PIECES.split(", ")), "ids"]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(zip(*out), types))], names)
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {PIECES}, ids binary")
+    return rows.mapInArrow(tidy(run, forget_words), f"id {rows.schema['id'].dataType.simpleString()}, {PIECES}, ids binary")
 
 
 def _with_ranks(pieces: DataFrame, capacity: int) -> tuple[DataFrame, np.ndarray]:

@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodquarry.llm.tables import keep, small_batches
+from moodquarry.llm.tables import give_back, keep, small_batches, tidy
 
 DIMENSIONS = 1024
 MAX_LANGUAGES = 2000  # rows of the model, which the driver and every task hold
 UNDETERMINED = "und"
 _SCALE = 1 << 20  # a document's vector in integers, so that sums are exact in any order
 _GROUP_CHARS = 1 << 19
+_BOUND = 1 << 23  # components of bound triples, or of letters, that are held at once
 SEEN_PART = 1000  # a unit is known to a language if one in so many of its documents has it
 SEEN_BITS = 24  # of a unit's hash
 _SYLLABLES = 0x2E80  # from here on a letter is an ideograph or a syllable
@@ -53,9 +54,30 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([a[whole], b[whole], c[whole]], axis=1), source
 
 
-def vectors(texts: list[str], dimensions: int = DIMENSIONS, trigrams: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+def _trigram_parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`_trigrams` in parts of bounded size: a single long text goes slice by slice, each led by the last two symbols before it."""
+    if len(texts) != 1 or len(texts[0]) <= _GROUP_CHARS:
+        yield _trigrams(texts)
+        return
+    lowered, before = texts[0].replace("\0", " ").lower(), np.zeros(1, np.int64)
+    for at in range(0, len(lowered) + 1, _GROUP_CHARS):
+        codes = np.frombuffer((lowered[at : at + _GROUP_CHARS] + " " * (at + _GROUP_CHARS > len(lowered))).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[codes]
+        one = letter | np.append(before[-1] > 0, letter[:-1])  # of other characters, the first in a row
+        symbol = np.concatenate([before, np.where(letter, codes, 0)[one].astype(np.int64)])
+        a, b, c = symbol[:-2], symbol[1:-1], symbol[2:]
+        whole = ((a > 0) | (b > 0)) & ((b > 0) | (c > 0))
+        yield np.stack([a[whole], b[whole], c[whole]], axis=1), np.zeros(whole.sum(), np.int64)
+        before = symbol[-2:]
+
+
+def vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """The bundle of each text: the sum, over its letter triples, of the product of the letters' vectors, each turned by its place."""
-    triples, source = trigrams or _trigrams(texts)
+    return sum((_bundle(len(texts), *part, dimensions) for part in _trigram_parts(texts)), np.zeros((len(texts), dimensions), np.float32))
+
+
+def _bundle(n: int, triples: np.ndarray, source: np.ndarray, dimensions: int) -> np.ndarray:
+    """What these triples of `n` texts add to the texts' vectors."""
     seen = np.zeros(0x110000, bool)
     seen[triples.ravel()] = True
     letters = np.flatnonzero(seen)
@@ -72,18 +94,20 @@ def vectors(texts: list[str], dimensions: int = DIMENSIONS, trigrams: tuple[np.n
         grams = place[grams]
     else:
         kinds, grams = np.unique(grams, return_inverse=True)
-    out = np.zeros((len(texts), dimensions), np.float32)
+    out = np.zeros((n, dimensions), np.float32)
     if not len(kinds):
         return out
     own = np.stack([_letter_vector(int(c), dimensions) for c in letters])
-    first, second = np.roll(own, 2, axis=1), np.roll(own, 1, axis=1)
+    turned = [np.roll(own, k, axis=1) for k in (2, 1)] if own.size <= _BOUND else None
     x, y, z = kinds // len(letters) ** 2, kinds // len(letters) % len(letters), kinds % len(letters)
-    step = max(1, (1 << 22) // len(texts))
+    step = max(1, min((1 << 22) // n, _BOUND // dimensions))
     for at in range(0, len(kinds), step):
-        bound = (first[x[at : at + step]] * second[y[at : at + step]] * own[z[at : at + step]]).astype(np.float32)
+        some = slice(at, at + step)
+        first, second = (t[k[some]] if turned else np.roll(own[k[some]], n, axis=1) for t, k, n in zip(turned or "  ", (x, y), (2, 1)))
+        bound = (first * second * own[z[some]]).astype(np.float32)
         here = (grams >= at) & (grams < at + step) if step < len(kinds) else slice(None)
-        counts = np.bincount(source[here] * len(bound) + grams[here] - at, minlength=len(texts) * len(bound))
-        out += counts.reshape(len(texts), len(bound)).astype(np.float32) @ bound
+        counts = np.bincount(source[here] * len(bound) + grams[here] - at, minlength=n * len(bound))
+        out += counts.reshape(n, len(bound)).astype(np.float32) @ bound
     return out
 
 
@@ -100,10 +124,10 @@ def _units(triples: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (unit * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SEEN_BITS)).astype(np.int64), source
 
 
-def _shares(known: bytes, units: tuple[np.ndarray, np.ndarray], texts: int) -> list[float]:
-    unit, source = units
+def _known_units(known: bytes, unit: np.ndarray, source: np.ndarray, n: int) -> np.ndarray:
+    """How many units of each of `n` texts are known, and how many there are."""
     hit = np.frombuffer(known, np.uint8)[unit >> 3] >> (7 - (unit & 7)).astype(np.uint8) & 1
-    return (np.bincount(source, hit, texts) / np.maximum(np.bincount(source, minlength=texts), 1)).tolist()
+    return np.stack([np.bincount(source, hit, n), np.bincount(source, minlength=n)])
 
 
 def _grouped(texts: list[str]) -> Iterator[list[str]]:
@@ -139,10 +163,14 @@ class Profiles:
         """`predict`, and the share of each text's units that are `known`: 0 for a text without a letter; none if not asked for."""
         names, scores, shares = [], [], []
         for group in _grouped(texts):
-            trigrams = _trigrams(group)
+            whole, units = np.zeros((len(group), self.dimensions), np.float32), np.zeros((2, len(group)))
+            for part in _trigram_parts(group):
+                whole += _bundle(len(group), *part, self.dimensions)
+                if known is not None:
+                    units += _known_units(known, *_units(*part), len(group))
             if known is not None:
-                shares.extend(_shares(known, _units(*trigrams), len(group)))
-            unit = _unit(vectors(group, self.dimensions, trigrams))
+                shares.extend((units[0] / np.maximum(units[1], 1)).tolist())
+            unit = _unit(whole)
             if not self.languages:
                 names.extend([UNDETERMINED] * len(group))
                 scores.extend([0.0] * len(group))
@@ -179,7 +207,7 @@ def learn_profiles(df: DataFrame, text: str, lang: str, dimensions: int = DIMENS
     def add(group: pd.DataFrame) -> pd.DataFrame:
         return group.head(1).assign(v=[np.sum(np.stack(group["v"].to_numpy()), axis=0)])
 
-    parts = rows.mapInArrow(bundle, "lang string, v array<bigint>").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64)))
+    parts = rows.mapInArrow(tidy(bundle), "lang string, v array<bigint>").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64)))
     some = parts.groupBy("lang", "part").applyInPandas(add, "lang string, v array<bigint>, part bigint")
     sums = some.groupBy("lang").applyInPandas(add, "lang string, v array<bigint>, part bigint").drop("part")
     got = sorted((r for r in sums.limit(MAX_LANGUAGES + 1).collect() if any(r.v)), key=lambda r: r.lang)
@@ -197,6 +225,7 @@ def language_of(profiles: Profiles, text: str | Column) -> Column:
         for texts in batches:
             names, scores = profiles.predict([t or "" for t in texts])
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        give_back()
 
     return predict(text)
 
@@ -224,9 +253,8 @@ def learn_seen(df: DataFrame, text: str, lang: str) -> bytes:
             for group in _grouped(batch.column("text").to_pylist()):
                 own = np.array([names.setdefault(x, len(names)) for x in labels[at : at + len(group)]], np.int64)
                 at += len(group)
-                unit, source = _units(*_trigrams(group))
-                once = np.unique(source << SEEN_BITS | unit)
-                documents = own[np.unique(source)] << (SEEN_BITS + 1) | 1 << SEEN_BITS
+                once = np.unique(np.concatenate([np.unique(source << SEEN_BITS | unit) for unit, source in (_units(*part) for part in _trigram_parts(group))]))
+                documents = own[np.unique(once >> SEEN_BITS)] << (SEEN_BITS + 1) | 1 << SEEN_BITS
                 parts += [own[once >> SEEN_BITS] << (SEEN_BITS + 1) | once & ((1 << SEEN_BITS) - 1), documents]
                 size += len(once) + len(documents)
                 if size > _GROUP_CHARS:
@@ -235,7 +263,7 @@ def learn_seen(df: DataFrame, text: str, lang: str) -> bytes:
         if parts:
             yield added()
 
-    counts = keep(rows.mapInArrow(count, "lang string, unit bigint, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n")), "seen")
+    counts = keep(rows.mapInArrow(tidy(count), "lang string, unit bigint, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n")), "seen")
     documents = counts.filter(F.col("unit") == 1 << SEEN_BITS).select("lang", F.col("n").alias("documents"))
     common = counts.filter(F.col("unit") < 1 << SEEN_BITS).join(F.broadcast(documents), "lang").filter(F.col("n") * SEEN_PART >= F.col("documents"))
     known = np.zeros(1 << SEEN_BITS, bool)
@@ -251,6 +279,7 @@ def language_and_share(profiles: Profiles, known: bytes, text: str | Column) ->
         for texts in batches:
             names, scores, shares = profiles.judge([t or "" for t in texts], known)
             yield pd.DataFrame({"lang_pred": names, "score": scores, "seen": shares})
+        give_back()
 
     return judge(text)
 

@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodquarry.llm.tables import keep, small_batches
-from moodquarry.llm.tokens import word_tokenizer
+from moodquarry.llm.tables import keep, small_batches, tidy
+from moodquarry.llm.tokens import forget_words, word_tokenizer
 
 CAPACITY = 4096
 GROUP_PIECES = 20_000  # pieces that one task packs together
@@ -44,7 +44,7 @@ def token_pieces(
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v, t) for v, t in zip(zip(*out), types))], names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run, forget_words), schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

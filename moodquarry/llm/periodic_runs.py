@@ -4,11 +4,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodquarry.llm.tables import small_batches
+from moodquarry.llm.tables import joined_words, numbered_words, small_batches, tidy
 
 LEAST = 24  # words of a run at least
 EXPONENT = 3  # periods of a run at least
@@ -192,24 +191,12 @@ class SquareCatcher:
                 a += int(np.searchsorted(starts[a:b], right - period - size, side="right"))
 
 
-def _numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """The words of all texts between ASCII white space, as numbers; where each text begins and the last ends; the distinct words."""
-    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-    words = lists.values.dictionary_encode()
-    codes, offsets, distinct = words.indices.to_numpy(), lists.offsets.to_numpy(), words.dictionary
-    empty = pc.index(distinct, pa.scalar("", distinct.type)).as_py()
-    if empty >= 0:  # before leading and after trailing white space
-        real = codes != empty
-        codes, offsets = codes[real], np.concatenate([[0], np.cumsum(real)])[offsets]
-    return codes, offsets, distinct
-
-
-def runs_of_texts(texts: list[str], least: int = LEAST, exponent: int = EXPONENT) -> tuple[list[list[tuple[int, int, int]]], np.ndarray, list[int]]:
+def runs_of_texts(texts: list[str], least: int = LEAST, exponent: int = EXPONENT) -> tuple[list[list[tuple[int, int, int]]], pa.Array, list[int]]:
     """The runs of each text, its words without their repeats, joined by one space, and how many words it has.
 
     One catcher reads all texts after one another, with a word of its own between two, so no square spans texts.
     """
-    codes, offsets, distinct = _numbered(texts)
+    codes, offsets, distinct = numbered_words(texts)
     n = len(texts)
     stream = np.empty(len(codes) + n, np.int64)
     begins = offsets[:-1] + np.arange(n)
@@ -228,8 +215,7 @@ def runs_of_texts(texts: list[str], least: int = LEAST, exponent: int = EXPONENT
         change[start + length] -= 1
     stay = np.cumsum(change[:-1])[is_word] == 0
     edges = np.concatenate([[0], np.cumsum(stay)])[offsets]
-    kept = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), distinct.take(pa.array(codes[stay])))
-    return out, pc.binary_join(kept, pa.scalar(" ", pa.large_string())), np.diff(offsets).tolist()
+    return out, joined_words(codes[stay], edges, distinct), np.diff(offsets).tolist()
 
 
 RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
@@ -252,11 +238,11 @@ def collapse_runs(df: DataFrame, id_col: str, text: str | Column, least: int = L
             found, kept, n = runs_of_texts(batch.column("text").to_pylist(), least, exponent)
             some = [[dict(zip(("start", "length", "period"), r)) for r in one] for one in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(some, shape), kept.cast(pa.string())], ["id", "n_words", "runs", "kept"]
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(some, shape), kept], ["id", "n_words", "runs", "kept"]
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_words bigint, runs {RUNS}, kept string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, n_words bigint, runs {RUNS}, kept string").withColumnRenamed("id", id_col)
 
 
 def strongest(runs: Column) -> Column:

@@ -1,47 +1,28 @@
 """Repeated word passages by locally consistent recompression."""
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodquarry.llm.tables import keep, small_batches
+from moodquarry.llm.tables import joined_words, keep, numbered_words, small_batches, tidy
 
 WINDOW = 50
 ROUNDS = 3
-CACHE = 300_000  # words whose hashes a worker keeps
 
-_SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept up to a bound."""
-
-    def __init__(self, seed: int):
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return value
-
-
-_HASHES = [_Hashes(1), _Hashes(2)]
-
-
-def split_words(text: str) -> list[bytes]:
-    """The words between ASCII white space, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(_SPACE).split()
-
-
-def word_hashes(words: list[bytes], lane: int = 0) -> np.ndarray:
-    return np.fromiter(map(_HASHES[lane].__getitem__, words), np.uint64, len(words))
+def word_hashes(words: Iterable[bytes], lane: int | None = None) -> np.ndarray:
+    """A 128-bit hash of each word in two lanes, or one of them."""
+    lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+    return lanes if lane is None else lanes[:, lane]
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -112,23 +93,38 @@ def window_keys(words: np.ndarray, first: np.ndarray, window: int = WINDOW, roun
     return low[: max(0, len(words) - window + 1)]
 
 
-def _batch(texts: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text, all word hashes after one another, where each text begins and which words begin one."""
-    split = [split_words(t) for t in texts]
-    ends = np.cumsum([len(w) for w in split])
-    begins = ends - [len(w) for w in split]
-    words = word_hashes([w for one in split for w in one])
-    first = np.zeros(len(words), bool)
-    first[begins[begins < len(words)]] = True
-    return split, words, begins, first
+@dataclass
+class _Batch:
+    """The words of some texts after one another, as numbers and as hashes of two lanes; where each text begins and the last ends."""
+
+    codes: np.ndarray
+    offsets: np.ndarray
+    distinct: pa.Array
+    lanes: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> "_Batch":
+        codes, offsets, distinct = numbered_words(texts)
+        first = np.zeros(len(codes), bool)
+        begins = offsets[:-1]
+        first[begins[begins < len(codes)]] = True
+        return cls(codes, offsets, distinct, word_hashes(distinct.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), first)
 
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        return self.lanes[:, lane][self.codes]
 
-def _whole(begins: np.ndarray, split: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the batch where a whole window begins, and the text of each."""
-    counts = np.array([max(0, len(w) - window + 1) for w in split])
-    of = np.repeat(np.arange(len(split)), counts)
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + begins[of]
-    return at, of
+    def whole(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a whole window begins, and the text of each."""
+        counts = np.maximum(np.diff(self.offsets) - window + 1, 0)
+        of = np.repeat(np.arange(len(counts)), counts)
+        return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + self.offsets[of], of
+
+    def joined(self, stay: np.ndarray | None = None) -> pa.Array:
+        """The words of each text, or those that stay, joined by one space."""
+        if stay is None:
+            return joined_words(self.codes, self.offsets, self.distinct)
+        return joined_words(self.codes[stay], np.concatenate([[0], np.cumsum(stay)])[self.offsets], self.distinct)
 
 
 def _lists(values: np.ndarray, of: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -141,9 +137,9 @@ def symbols(rows: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            split, words, begins, first = _batch([t or "" for t in batch.column("text").to_pylist()])
-            at, of = _whole(begins, split, window)
-            keys = window_keys(words, first, window, rounds)[at]
+            some = _Batch.of([t or "" for t in batch.column("text").to_pylist()])
+            at, of = some.whole(window)
+            keys = window_keys(some.hashes(), some.first, window, rounds)[at]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
             keys, of = keys[new], of[new]
@@ -153,14 +149,14 @@ def symbols(rows: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
             new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), batch.column("mark"), pa.array([len(w) for w in split], pa.int64()),
-                    pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in split], pa.string()),
-                    _lists(keys[new].view(np.int64), of[new], len(split), pa.int64()),
+                    batch.column("id"), batch.column("mark"), pa.array(np.diff(some.offsets), pa.int64()),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in some.joined().cast(pa.binary()).to_numpy(zero_copy_only=False)], pa.string()),
+                    _lists(keys[new].view(np.int64), of[new], batch.num_rows, pa.int64()),
                 ],
                 ["id", "mark", "n_words", "sha", "keys"],
             )
 
-    return rows.mapInArrow(run, "id bigint, mark bigint, n_words bigint, sha string, keys array<bigint>")
+    return rows.mapInArrow(tidy(run), "id bigint, mark bigint, n_words bigint, sha string, keys array<bigint>")
 
 
 def _window_hashes(words: np.ndarray, at: np.ndarray, window: int, seed: int) -> np.ndarray:
@@ -177,33 +173,26 @@ def candidate_windows(rows: DataFrame, window: int = WINDOW, rounds: int = ROUND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            split, words, begins, first = _batch(batch.column("text").to_pylist())
-            at, of = _whole(begins, split, window)
-            keys = window_keys(words, first, window, rounds)[at].view(np.int64)
+            some = _Batch.of(batch.column("text").to_pylist())
+            at, of = some.whole(window)
+            words = some.hashes()
+            keys = window_keys(words, some.first, window, rounds)[at].view(np.int64)
             shared = batch.column("shared").to_pylist()
             hit = np.zeros(len(at), bool)
-            edges = np.searchsorted(of, np.arange(len(split) + 1))
+            edges = np.searchsorted(of, np.arange(batch.num_rows + 1))
             for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                 hit[a:b] = np.isin(keys[a:b], shared[i])
             at, of = at[hit], of[hit]
-            other = word_hashes([w for one in split for w in one], 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("no").take(pa.array(of)), batch.column("id").take(pa.array(of)),
-                    pa.array(at - begins[of], pa.int32()),
-                    pa.array(_window_hashes(words, at, window, 1).view(np.int64)), pa.array(_window_hashes(other, at, window, 2).view(np.int64)),
+                    pa.array(at - some.offsets[of], pa.int32()),
+                    pa.array(_window_hashes(words, at, window, 1).view(np.int64)), pa.array(_window_hashes(some.hashes(1), at, window, 2).view(np.int64)),
                 ],
                 ["no", "id", "at", "h1", "h2"],
             )
 
-    return rows.mapInArrow(run, "no bigint, id bigint, at int, h1 bigint, h2 bigint")
-
-
-def _without(words: list[bytes], at: list[int], window: int) -> list[bytes]:
-    covered = np.zeros(len(words) + 1, np.int64)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, np.asarray(at) + window, -1)
-    return [w for w, c in zip(words, np.cumsum(covered).tolist()) if not c]
+    return rows.mapInArrow(tidy(run), "no bigint, id bigint, at int, h1 bigint, h2 bigint")
 
 
 def cut(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -211,10 +200,13 @@ def cut(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            kept = [b" ".join(_without(split_words(t), a, window)).decode("utf-8", "surrogatepass") for t, a in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(kept, pa.string())], ["id", "mark", "kept"])
+            some, places = _Batch.of(batch.column("text").to_pylist()), batch.column("at")
+            at = places.flatten().to_numpy() + np.repeat(some.offsets[:-1], pc.list_value_length(places).to_numpy())
+            change = np.bincount(at, minlength=len(some.codes) + 1) - np.bincount(at + window, minlength=len(some.codes) + 1)
+            kept = some.joined(np.cumsum(change)[:-1] == 0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), kept], ["id", "mark", "kept"])
 
-    return rows.mapInArrow(run, "id bigint, mark bigint, kept string")
+    return rows.mapInArrow(tidy(run), "id bigint, mark bigint, kept string")
 
 
 def _marked(df: DataFrame, id_col: str, text: str) -> DataFrame:

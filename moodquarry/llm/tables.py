@@ -1,8 +1,11 @@
 """Tables kept in the cluster's shared folder, and Arrow batches of bounded size."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from moodquarry.plans.scratch import new_folder
@@ -32,6 +35,29 @@ def forget(spark: SparkSession) -> None:
     _KEPT.clear()
 
 
+def tidy(fn: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """`fn` for a task, which at its end calls `forget` and gives memory back: a worker outlives its task, and other operators use it next."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from fn(batches)
+        finally:
+            for one in forget:
+                one()
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Return the memory that Arrow and the C library keep for later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most MAX_BATCH_BYTES of a text column, or of one row."""
     for batch in batches:
@@ -41,6 +67,24 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa
             yield batch.slice(at, step)
 
 
+def numbered_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of all texts between ASCII white space, as numbers; where each text begins and the last ends; the distinct words."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    words = lists.values.dictionary_encode()
+    codes, offsets, distinct = words.indices.to_numpy(), lists.offsets.to_numpy(), words.dictionary
+    empty = pc.index(distinct, pa.scalar("", distinct.type)).as_py()
+    if empty >= 0:  # before leading and after trailing white space
+        real = codes != empty
+        codes, offsets = codes[real], np.concatenate([[0], np.cumsum(real)])[offsets]
+    return codes, offsets, distinct
+
+
+def joined_words(codes: np.ndarray, edges: np.ndarray, distinct: pa.Array) -> pa.Array:
+    """The words of each text, numbered as by `numbered_words`, joined by one space; text i has those from `edges[i]` to `edges[i + 1]`."""
+    lists = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), distinct.take(pa.array(codes)))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
 def map_text(df: DataFrame, column: str, fn: Callable[[list], dict], schema: str) -> DataFrame:
     """`fn` takes the texts of a batch, null as the empty text, and gives a new column for each; other columns stay.
 
@@ -56,4 +100,4 @@ def map_text(df: DataFrame, column: str, fn: Callable[[list], dict], schema: str
                 [*kept.columns, *(v if isinstance(v, pa.Array) else pa.array(v) for v in got.values())], [*kept.schema.names, *got]
             )
 
-    return df.mapInArrow(run, full)
+    return df.mapInArrow(tidy(run), full)

@@ -1,6 +1,5 @@
 """Token ids of whole texts, by the installed tokenizer libraries, within tasks."""
 
-import functools
 import os
 import re
 from array import array
@@ -130,6 +129,17 @@ class _Chunks(dict):
         return ids
 
 
-@functools.lru_cache(maxsize=2)
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    if path not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
+def forget_words() -> None:
+    """Let go of the words that this worker's tokenizers remember."""
+    for one in _TOKENIZERS.values():
+        one.forget()

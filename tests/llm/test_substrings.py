@@ -44,7 +44,7 @@ def test_equal_windows_have_equal_symbols():
         for _ in range(2):
             before = [b"%d" % rng.randrange(kinds) for _ in range(rng.randint(0, 30))] + [core[0]] * rng.randint(0, 3)
             after = [core[-1]] * rng.randint(0, 3) + [b"%d" % rng.randrange(kinds) for _ in range(rng.randint(0, 30))]
-            words = word_hashes(before + core + after)
+            words = word_hashes(before + core + after, 0)
             first = np.zeros(len(words), bool)
             first[0] = True
             found.append(window_keys(words, first)[len(before)])

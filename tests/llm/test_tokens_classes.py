@@ -1,10 +1,14 @@
 import random
+import subprocess
+import sys
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 
+from moodquarry.llm import language
 from moodquarry.llm.language import _grouped, _letter_vector, learn_profiles, predict_languages, vectors
 from moodquarry.llm.quality import dictionary, learn_quality, score_quality
 from moodquarry.llm.token_counts import Counter, count_tokens
@@ -91,3 +95,44 @@ def test_quality_without_a_class(odd, frame):
     model = learn_quality(odd, nulls, "doc_id", "text", "quality")
     assert all(0 <= s <= 1 for s in model.score(["", "x", "one two three"]))
     assert dictionary(["short"]) == b"short"
+
+
+def test_long_text_without_spaces_is_linear():
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    counter, model = Counter(PATH), SentencePieceProcessor(model_file=PATH)
+    base64 = "".join(rng.choices(letters, k=4_000_000))
+    start = time.process_time()
+    assert counter.counts([base64]) == [len(model.encode(base64))]
+    assert time.process_time() - start < 60
+    hard = ["a" * 300_000, "漢字" * 100_000, "ab" * 50_000 + " " + "c" * 200_000, base64[:200_000] + "éx" * 20_000]
+    assert counter.counts(hard) == [len(x) for x in model.encode(hard)]
+
+
+@pytest.mark.parametrize("chunk, overlap", [(40, 6), (300, 30)])
+def test_odd_spaces_and_marks(chunk, overlap):
+    rng = random.Random(4)
+    parts = [" ", "　", " ", "​", "­", "\x01", "e", "́", "x", "Q", "7", "the", "\n", "\r", "﻿"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(50, 900))) for _ in range(120)]
+    model = SentencePieceProcessor(model_file=PATH)
+    assert Counter(PATH, chunk, overlap).counts(odd) == [len(x) for x in model.encode(odd)]
+
+
+def test_vectors_of_long_texts_go_in_slices(texts, monkeypatch):
+    some = ["Ab, c  dé. " * 9, "", "漢字" * 30, " .ΑΣ ΑΣ", *list(texts.values())[:5]]
+    want = vectors(some, 64)
+    monkeypatch.setattr(language, "_GROUP_CHARS", 7)
+    assert (np.concatenate([vectors([t], 64) for t in some]) == want).all()
+
+
+def test_long_text_of_many_letters_takes_bounded_memory():
+    code = (
+        "import resource, numpy as np\n"
+        "from moodquarry.llm.language import Profiles\n"
+        "base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "text = ''.join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FFF, 1_000_000)))\n"
+        "Profiles(['x'], np.ones((1, 1024), np.float32), 1024).predict([text])\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)\n"
+    )
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 300
