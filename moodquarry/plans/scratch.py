@@ -25,5 +25,26 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Give a complete folder its place, whose parents are made; a place that is taken is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path(new).getParent())
+    if store.exists(path(new)) or not store.rename(path(old), path(new)):
+        raise FileExistsError(new)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, none if it is not there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in store.listStatus(place)) if store.exists(place) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

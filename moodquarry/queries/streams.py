@@ -2,15 +2,18 @@
 
 from pyspark.sql import functions as F
 
+from moodquarry.operators import rollup as R
 from moodquarry.operators.tables import union_posts
-from moodquarry.plans.scratch import new_folder
+from moodquarry.plans.scratch import children, new_folder
 from moodquarry.queries import query
+from moodquarry.queries.aggregates import LABEL_COUNTS, _LABELS
 from moodquarry.queries.scoring import _both_sql
 from moodquarry.queries.tables import STAND_IN_RULES, lexicons, ntz, posts, posts_of, r6, sql, stream, table
-from moodquarry.sinks.batches import make_batch_writer, parquet_sink, table_sink
+from moodquarry.sinks.batches import Counts, make_batch_writer, parquet_sink, table_sink
 from moodquarry.sources.messages import message_posts, read_message_stream
 from moodquarry.sources.search_pages import PAGE_SCHEMA, flatten_search_pages
 from moodquarry.streaming import control as C
+from moodquarry.streaming import hourly as H
 from moodquarry.streaming import posts as P
 
 
@@ -115,7 +118,8 @@ def fan_out_trends(spark, sf):
 _MESSAGES = """
     SELECT CAST(event_id AS VARCHAR) AS tweet_id, props AS text, 'user_' || user_id AS author_id,
            CASE WHEN event_type = 'error' THEN NULL ELSE date_trunc('second', ts) END AS created_at, 'en' AS lang,
-           coalesce(CASE WHEN event_type = 'click' THEN NULL ELSE CAST(floor(value) AS BIGINT) END, -1) AS retweet_count FROM events"""
+           coalesce(CASE WHEN event_type = 'click' THEN NULL ELSE CAST(floor(value) AS BIGINT) END, -1) AS retweet_count,
+           user_id AS like_count, '["' || event_type || '","k"]' AS hashtags FROM events"""
 
 
 def _message_lines(spark, sf):
@@ -125,36 +129,139 @@ def _message_lines(spark, sf):
     body = F.struct(
         F.col("event_id").cast("string").alias("id"), F.col("props").alias("text"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user"), at.alias("created_at"),
-        F.lit("en").alias("lang"), count.alias("retweet_count"),
+        F.lit("en").alias("lang"), count.alias("retweet_count"), F.col("user_id").cast("string").alias("favorite_count"),
+        F.to_json(F.array("event_type", F.lit("k"))).alias("hashtags"),
     )
     return e.select(F.to_json(body).alias("value"))
 
 
+def _message_rows(df):
+    out = df.select("tweet_id", "text", "author_id", ntz("created_at"), "lang", "retweet_count", "like_count", "hashtags")
+    return out.na.fill(-1, ["retweet_count"])
+
+
 @query("read_message_stream", _MESSAGES)
 def message_stream(spark, sf):
     root = new_folder(spark, "messages")
     _message_lines(spark, sf).write.text(f"{root}/in")
     rows = message_posts(read_message_stream(spark, "text", {"path": f"{root}/in"}))
     _end(C.start_files(rows, "read_message_stream", f"{root}/out", None, f"{root}/state"))
-    out = spark.read.parquet(f"{root}/out").select("tweet_id", "text", "author_id", ntz("created_at"), "lang", "retweet_count")
-    return out.na.fill(-1, ["retweet_count"])
+    return _message_rows(spark.read.parquet(f"{root}/out"))
 
 
-@query("flush_micro_batches", "SELECT CAST(event_id AS VARCHAR) AS tweet_id FROM events")
-def flush_micro_batches(spark, sf):
-    """Four files of messages, one a flush."""
+def _flushed(spark, sf, name, rows=1000):
+    """Two of three messages in four files, gathered by one buffer; ends once every message is flushed."""
     root = new_folder(spark, "collected")
-    _message_lines(spark, sf).repartition(4).write.text(f"{root}/in")
-    rows = message_posts(read_message_stream(spark, "text", {"path": f"{root}/in"}, max_per_trigger=1))
-    _end(C.start_collector(rows, "flush_micro_batches", f"{root}/out", f"{root}/state", None))
-    return spark.read.parquet(f"{root}/out").where("ingest_date IS NOT NULL").select("tweet_id")
+    lines = _message_lines(spark, sf).where(F.get_json_object("value", "$.id").cast("bigint") % 3 > 0)
+    lines.repartition(4).write.text(f"{root}/in")
+    posts = message_posts(read_message_stream(spark, "text", {"path": f"{root}/in"}))
+    expected = spark.read.text(f"{root}/in").count()
+    started = C.start_flushes(posts, name, f"{root}/out", f"{root}/state", rows, 3, "1 second")
+    try:
+        for _ in range(240):
+            started.awaitTermination(0.5)
+            if started.exception():
+                raise started.exception()
+            there = any(c.startswith("query=") for c in children(spark, f"{root}/out"))
+            landed = spark.read.parquet(f"{root}/out").count() if there else 0
+            if landed >= expected:
+                break
+    finally:
+        started.stop()
+    return spark.read.parquet(f"{root}/out").where("ingest_date IS NOT NULL AND ingest_hour BETWEEN 0 AND 23")
+
+
+@query("flush_micro_batches", f"SELECT * FROM ({_MESSAGES}) WHERE CAST(tweet_id AS BIGINT) % 3 > 0")
+def flush_micro_batches(spark, sf):
+    """Every message lands once, with all its columns."""
+    return _message_rows(_flushed(spark, sf, "flush_micro_batches"))
+
+
+@query(
+    "flush_sizes",
+    """SELECT i AS flush, least(700, n - 700 * i) AS flush_rows, CASE WHEN 700 * (i + 1) <= n THEN 'rows' ELSE 'time' END AS flush_cause,
+              least(700, n - 700 * i) AS landed
+       FROM (SELECT unnest(range(0, CAST(ceil(n / 700) AS BIGINT))) AS i, n FROM (SELECT count(*) AS n FROM events WHERE event_id % 3 > 0))""",
+)
+def flush_sizes(spark, sf):
+    """Flushes of 700 messages, and one of the rest when its time is up."""
+    flushed = _flushed(spark, sf, "flush_sizes", 700)
+    return flushed.groupBy("flush", "flush_rows", "flush_cause").agg(F.count(F.lit(1)).alias("landed"))
+
+
+_LATE = "id % 7 = 0"
+
+
+def _three_batches(spark, sf, name, root, sink):
+    """Posts in three files, each with rows of all hours, one batch a file; every batch is given twice, as after a failure."""
+    rows = posts(spark, sf).where(f"NOT ({_LATE})").withColumn("file", F.col("id") % 3)
+    for i in range(3):
+        rows.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    stream_ = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
 
+    def twice(df, batch_id, query):
+        for _ in range(2):
+            make_batch_writer([sink])(df, batch_id, query)
 
-@query("stream_batch_counts", "SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS num_input_rows FROM events")
+    _end(C.start(stream_, name, twice, None, f"{root}/state"))
+
+
+_HOURS = f"""SELECT source, CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour_bucket, count(*) AS total_count, {_LABELS},
+                    round(avg(compound_score), 6) AS avg_compound_score, round(avg(confidence), 6) AS avg_confidence
+             FROM posts GROUP BY 1, 2"""
+
+
+@query("hourly_from_stream", sql("posts", _HOURS))
+def hourly_from_stream(spark, sf):
+    """Hours from the states of three batches, folded, and of late rows that come after the fold."""
+    root = new_folder(spark, "hours")
+    _three_batches(spark, sf, "hourly_from_stream", root, H.hourly_sink(f"{root}/hours"))
+    H.fold_hours(spark, f"{root}/hours")
+    H.hourly_sink(f"{root}/hours")(posts(spark, sf).where(_LATE), 0, "late")
+    return R.source_hours(H.read_hours(spark, f"{root}/hours")).select(
+        "source", ntz("hour_bucket"), "total_count", *LABEL_COUNTS, r6("avg_compound_score"), r6("avg_confidence")
+    )
+
+
+@query(
+    "daily_from_sketches",
+    sql(
+        "posts",
+        """SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP) AS day, sentiment, count(*) AS tweet_count, round(avg(confidence), 6) AS avg_confidence,
+                  CAST(sum(retweet_count) AS BIGINT) AS total_retweets, CAST(sum(like_count) AS BIGINT) AS total_favorites,
+                  count(DISTINCT author_id) AS exact_users, true AS within_error
+           FROM posts GROUP BY 1, 2""",
+    ),
+)
+def daily_from_sketches(spark, sf):
+    """Days from the hours' states, without the posts; the estimate of users lies within four standard errors of the exact number."""
+    days = R.spans(R.merge_states(R.hour_states(posts(spark, sf))))
+    exact = posts(spark, sf).groupBy(F.date_trunc("day", "created_at").alias("day"), "sentiment").agg(F.count_distinct("author_id").alias("exact_users"))
+    near = F.abs(F.col("unique_users") - F.col("exact_users")) <= F.greatest(F.lit(1.0), 4 * 1.04 / 64 * F.col("exact_users"))
+    return days.join(exact, ["day", "sentiment"]).select(
+        ntz("day"), "sentiment", "tweet_count", r6("avg_confidence"), "total_retweets", "total_favorites", "exact_users", near.alias("within_error")
+    )
+
+
+@query(
+    "stream_batch_counts",
+    sql(
+        "posts",
+        """SELECT i AS batch_id, count(*) AS num_input_rows, count(*) FILTER (id % 3 = i AND created_at <= newest - INTERVAL '10 minutes') AS late_rows
+           FROM (SELECT p.id, p.created_at, p.id % 3 AS i, (SELECT max(created_at) FROM posts q WHERE q.id % 3 < p.id % 3 - 1) AS newest FROM posts p)
+           GROUP BY i""",
+    ),
+)
 def stream_batch_counts(spark, sf):
+    """Rows and late rows of each batch, noted beside the batches; each is written twice and noted once."""
     root = new_folder(spark, "counts")
-    rows = posts_of(stream(spark, sf, "events")).select("id")
-    return C.batch_counts(spark, _end(C.start_files(rows, "stream_batch_counts", f"{root}/out", None, f"{root}/state")))
+    rows = posts(spark, sf).withColumn("file", F.col("id") % 3)
+    writer = make_batch_writer([table_sink(f"{root}/out")], counts=Counts(f"{root}/counts"))
+    for i in range(3):
+        for _ in range(2):
+            writer(rows.where(F.col("file") == i), i, "posts")
+    return C.batch_counts(spark, f"{root}/counts", "posts").drop("query")
 
 
 @query("start_all", sql("posts", "SELECT id, source, sentiment FROM posts UNION ALL SELECT id, 'again' AS source, sentiment FROM posts"))

@@ -1,63 +1,26 @@
 """Start, watch and stop streaming queries. A query is known by its name."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from moodquarry.sinks.batches import Sink, batch_folder, make_batch_writer, parquet_sink, table_sink, write_once
+from moodquarry.plans.scratch import make_folder
+from moodquarry.sinks.batches import Counts, Sink, batch_folder, make_batch_writer, parquet_sink, read_counts, table_sink, write_once
+from moodquarry.sinks.files import POST_FOLDERS
+from moodquarry.sources.schemas import SCORED
 from moodquarry.sources.search_pages import with_ingest_time
-from moodquarry.streaming.posts import flatten_trends, score_stream, trend_windows
+from moodquarry.streaming.flush import FLUSH_ROWS, FLUSH_SECONDS, flush_groups
+from moodquarry.streaming.posts import TREND_DELAY, TREND_WIDTH, flatten_trends, score_stream, trend_windows
 
-# Trigger intervals of posts and of collectors, rows and seconds until a flush.
+# Trigger intervals of posts, of collectors and of flushes.
 POST_TRIGGER, COLLECT_TRIGGER = "10 seconds", "30 seconds"
-FLUSH_ROWS, FLUSH_TRIGGER = 1000, "60 seconds"
-
-
-class Progress(StreamingQueryListener):
-    """Rows and late rows of every batch of the queries started here; a query itself remembers the last 100 only."""
-
-    def __init__(self) -> None:
-        self.batches: dict[str, dict[int, tuple[int, int]]] = {}
-
-    def note(self, query: str, batch: int, rows: int, late: int) -> None:
-        self.batches.setdefault(str(query), {})[batch] = (rows, late)
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        p = event.progress
-        self.note(p.id, p.batchId, p.numInputRows, sum(op.numRowsDroppedByWatermark for op in p.stateOperators))
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass
-
-
-_PROGRESS: dict[SparkSession, Progress] = {}
-
-
-def _watch(spark: SparkSession) -> Progress:
-    if spark not in _PROGRESS:
-        _PROGRESS[spark] = Progress()
-        spark.streams.addListener(_PROGRESS[spark])
-    return _PROGRESS[spark]
-
-
-def batches_of(query: StreamingQuery) -> dict[int, tuple[int, int]]:
-    """Rows and late rows of each batch of a query: what was noted as it ran, and its last reports, which may be newer."""
-    found = next((dict(p.batches[str(query.id)]) for p in _PROGRESS.values() if str(query.id) in p.batches), {})
-    for p in query.recentProgress:
-        found[p["batchId"]] = (p["numInputRows"], sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]))
-    return found
+FLUSH_TRIGGER = "60 seconds"
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and were dropped, over all batches of a query started here."""
-    return sum(late for _, late in batches_of(query).values())
+    """Rows that came after the watermark and were dropped, by the query's last 100 reports; for all batches give its writer `Counts`."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def _trigger(writer, trigger: str | None):
@@ -70,7 +33,6 @@ def start(
     """Run `writer` on each micro-batch, with its number and the query's name and id. The checkpoint lies under
     the stable `name`, so a restart goes on where the query stopped, under the same id. A trigger of None takes what is there and ends."""
     spark = df.sparkSession
-    _watch(spark)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         writer(batch, batch_id, f"{name}.{_find(spark, name).id}")
@@ -83,7 +45,6 @@ def start_files(
     df: DataFrame, name: str, path: str, trigger: str | None, checkpoint: str, by: list[str] | None = None
 ) -> StreamingQuery:
     """Append to Parquet files through Spark's own file sink."""
-    _watch(df.sparkSession)
     out = df.writeStream.queryName(name).outputMode("append").format("parquet").option("path", path)
     if by:
         out = out.partitionBy(*by)
@@ -92,7 +53,6 @@ def start_files(
 
 def start_console(df: DataFrame, name: str, trigger: str | None, checkpoint: str, columns: list[str] | None = None) -> StreamingQuery:
     """Show a few columns of a stream."""
-    _watch(df.sparkSession)
     columns = columns or ["tweet_id", "text", "sentiment", "primary_emotion"]
     out = df.select(*columns).writeStream.queryName(name).outputMode("append").format("console").option("truncate", False)
     return _trigger(out.option("checkpointLocation", f"{checkpoint}/{name}"), trigger).start()
@@ -144,19 +104,25 @@ def start_all(streams: dict[str, DataFrame | None], writer: Sink, trigger: str |
     return {n: start(df, n, writer, trigger, checkpoint) for n, df in streams.items() if df is not None}
 
 
-def batch_counts(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Rows per micro-batch that had any, over all batches of a query started here."""
-    rows = [(batch, rows) for batch, (rows, _) in sorted(batches_of(query).items()) if rows]
-    return spark.createDataFrame(rows, "batch_id bigint, num_input_rows bigint")
+def batch_counts(spark: SparkSession, root: str, query: str | None = None) -> DataFrame:
+    """Rows and late rows per micro-batch that had any, as writers with `Counts` noted them below `root`, over all restarts.
+
+    `query` picks the stream of a name."""
+    noted = read_counts(spark, root).where("rows > 0")
+    if query is not None:
+        noted = noted.where(F.substring_index("query", ".", 1) == query)
+    return noted.select("query", "batch_id", F.col("rows").alias("num_input_rows"), "late_rows")
 
 
 def start_fan_out(
     posts: DataFrame, name: str, lexicons: tuple[DataFrame, DataFrame], root: str, trigger: str | None, checkpoint: str,
     sinks: list[Sink] | None = None, **options,
 ) -> StreamingQuery:
-    """Score each batch once and give it to the archive below `root`/scored and to other `sinks`."""
+    """Score each batch once and give it to the archive below `root`/scored and to other `sinks`; rows and late rows are noted below
+    `root`/counts. Lexicons may have any size, as each batch is scored as a table."""
     writer = make_batch_writer(
-        [parquet_sink(f"{root}/scored"), *(sinks or [])], lambda df: score_stream(df, lexicons, **options)
+        [parquet_sink(f"{root}/scored"), *(sinks or [])], lambda df: score_stream(df, lexicons, **options),
+        Counts(f"{root}/counts", "created_at", TREND_DELAY, TREND_WIDTH),
     )
     return start(posts, name, writer, trigger, checkpoint)
 
@@ -164,9 +130,13 @@ def start_fan_out(
 def start_trends(spark: SparkSession, name: str, root: str, trigger: str | None, checkpoint: str) -> StreamingQuery:
     """Trends of the scored archive below `root`, as a stream of its own that scores nothing again."""
     scored = f"{root}/scored"
-    schema = spark.read.parquet(scored).schema
-    stream = spark.readStream.schema(schema).parquet(scored)
-    return start(flatten_trends(trend_windows(stream)), name, table_sink(f"{root}/trends"), trigger, checkpoint)
+    make_folder(spark, scored)  # a stream may start before its archive has a batch
+    fields = [f for f in SCORED.fields if f.name in ("created_at", "sentiment", "confidence")]
+    # Beside what trends need, the columns of the archive's folders.
+    folders = ["query", "batch_id", *POST_FOLDERS]
+    kinds = T.StructType([*fields, *(T.StructField(c, T.StringType()) for c in folders)])
+    stream = spark.readStream.schema(kinds).parquet(scored).drop(*folders)
+    return start(flatten_trends(trend_windows(stream)), name, make_batch_writer([table_sink(f"{root}/trends")]), trigger, checkpoint)
 
 
 def start_collector(df: DataFrame, name: str, root: str, checkpoint: str, trigger: str | None = FLUSH_TRIGGER) -> StreamingQuery:
@@ -181,3 +151,21 @@ def start_collector(df: DataFrame, name: str, root: str, checkpoint: str, trigge
         write_once(stamped, batch_folder(root, batch_id, query), put)
 
     return start(df, name, write, trigger, checkpoint)
+
+
+def start_flushes(
+    df: DataFrame, name: str, root: str, checkpoint: str, rows: int = FLUSH_ROWS, seconds: float = FLUSH_SECONDS,
+    trigger: str | None = "1 second", buffer: Column | None = None,
+) -> StreamingQuery:
+    """Land collected rows in flushes of `rows` rows, or of what came within `seconds`, whichever is first (`flush_groups`).
+
+    Each flush lies whole in a folder of the date and hour at which it was made. `trigger` is how often rows are taken and timers
+    looked at. A batch without a flush writes nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int, query: str = "") -> None:
+        if not batch.isEmpty():
+            put = lambda flushed, folder: flushed.write.mode("overwrite").partitionBy("ingest_date", "ingest_hour").parquet(folder)
+            write_once(with_ingest_time(batch, F.current_timestamp()), batch_folder(root, batch_id, query), put)
+
+    return start(flush_groups(df, rows, seconds, buffer), name, make_batch_writer([write]), trigger, checkpoint)

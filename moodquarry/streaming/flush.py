@@ -22,10 +22,10 @@ class _Buffer(StatefulProcessor):
         self.held = handle.getListState("held", self.columns)
         self.mark = handle.getValueState("mark", "size bigint, number bigint")
 
-    def _flushed(self, rows: list, number: int, cause: str) -> Iterator[Row]:
-        names = [f.name for f in self.columns.fields]
+    def _flushed(self, buffer: int, rows: list, number: int, cause: str) -> Iterator[Row]:
+        named = Row(*(f.name for f in self.columns.fields), "buffer", "flush", "flush_rows", "flush_cause")
         for row in rows:
-            yield Row(*names, "flush", "flush_rows", "flush_cause")(*row, number, len(rows), cause)
+            yield named(*row, buffer, number, len(rows), cause)
 
     def _wait_anew(self, now: int, any_left: bool) -> None:
         for timer in self.handle.listTimers():
@@ -40,7 +40,7 @@ class _Buffer(StatefulProcessor):
             fresh.append(tuple(row[n] for n in names))
             if size + len(fresh) == self.limit:
                 held = [tuple(r) for r in self.held.get()] if size else []
-                yield from self._flushed(held + fresh, number, "rows")
+                yield from self._flushed(key[0], held + fresh, number, "rows")
                 self.held.clear()
                 size, number, fresh = 0, number + 1, []
         if fresh:
@@ -52,7 +52,7 @@ class _Buffer(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         size, number = self.mark.get() if self.mark.exists() else (0, 0)
         if size:
-            yield from self._flushed([tuple(r) for r in self.held.get()], number, "time")
+            yield from self._flushed(key[0], [tuple(r) for r in self.held.get()], number, "time")
             self.held.clear()
             self.mark.update((0, number + 1))
 
@@ -61,7 +61,7 @@ class _Buffer(StatefulProcessor):
 
 
 def flush_groups(df: DataFrame, rows: int = FLUSH_ROWS, seconds: float = FLUSH_SECONDS, buffer: Column | None = None) -> DataFrame:
-    """A stream's rows as they are flushed, with the buffer, its flush number from 0, the flush's rows and its cause, rows or time.
+    """A stream's rows as they are flushed, with the buffer, the flush's number in it from 0, its rows and its cause, rows or time.
 
     A buffer flushes when it holds `rows` rows, or `seconds` after the first row that it holds came, whichever is first; a batch of
     many rows gives several flushes. What is held lies in the query's state and its timer goes on after a restart, so no row
@@ -71,8 +71,7 @@ def flush_groups(df: DataFrame, rows: int = FLUSH_ROWS, seconds: float = FLUSH_S
     """
     whole = df.withColumn("buffer", (F.lit(0) if buffer is None else buffer).cast("int"))
     shape = T.StructType([*df.schema.fields])
-    out = T.StructType(
-        [*shape.fields, T.StructField("flush", T.LongType()), T.StructField("flush_rows", T.LongType()), T.StructField("flush_cause", T.StringType())]
-    )
+    more = {"buffer": T.IntegerType(), "flush": T.LongType(), "flush_rows": T.LongType(), "flush_cause": T.StringType()}
+    out = T.StructType([*shape.fields, *(T.StructField(name, kind) for name, kind in more.items())])
     processor = _Buffer(shape, rows, seconds)
     return whole.groupBy("buffer").transformWithState(processor, out, "append", "ProcessingTime")

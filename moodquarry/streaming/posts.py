@@ -39,4 +39,3 @@ def flatten_trends(df: DataFrame) -> DataFrame:
 def dedup_stream(df: DataFrame, keys: list[str], ts: str = "created_at", delay: str = POST_DELAY) -> DataFrame:
     """The first row of each key; a key is remembered for `delay` of event time."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-
