@@ -223,14 +223,16 @@ def find_repeats(rows: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     beside the windows that a smaller id has, too. A hot symbol, window or class is pre-aggregated and its joins read written
     tables, so Spark can split them. Windows are made anew for their second use, as that takes less room than to write them.
     """
-    every = keep(symbols(rows.select("id", "mark", "text"), window, rounds), "symbols")
+    every = symbols(rows.select("id", "mark", "text"), window, rounds).withColumn("row", F.monotonically_increasing_id())
+    every = keep(every, "symbols")
     classes = keep(every.groupBy("sha").agg(F.min("id").alias("least")), "classes")
-    info = keep(every.drop("keys").join(classes, "sha"), "texts")
-    firsts = every.join(classes, "sha").filter("id = least").select("id", "mark", F.explode("keys").alias("key"))
+    info = keep(every.drop("keys", "row").join(classes, "sha"), "texts")
+    firsts = every.join(classes, "sha").filter("id = least").select("row", "id", F.explode("keys").alias("key"))
     anchors = keep(firsts, "anchors")
     common = anchors.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    hits = anchors.join(keep(common, "shared_symbols"), "key")
-    shared = keep(hits.groupBy("id", "mark").agg(F.collect_set("key").alias("shared")), "shared")
+    hits = anchors.select("row", "key").join(keep(common, "shared_symbols"), "key")
+    shared = hits.groupBy("row").agg(F.collect_set("key").alias("shared"))
+    shared = keep(shared.join(every.select("row", "id", "mark"), "row").drop("row").dropDuplicates(["id", "mark"]), "shared")
     some = keep(rows.join(shared, ["id", "mark"]).withColumn("no", F.monotonically_increasing_id()), "suspects")
     found = candidate_windows(some.select("no", "id", "text", "shared"), window, rounds)
     least = found.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
