@@ -1,13 +1,15 @@
 """Row filters."""
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodquarry.plans.lookup import MAX_LITERAL_ROWS, constant_lookup, lookup_join
+from moodquarry.plans.skew import hot_join
 
-# Up to this many keywords one pattern is tried on each text; more are joined as words.
+# Up to this many keywords one pattern is tried on each text; more are looked up by their first words.
 MAX_PATTERN_KEYWORDS = 50
 
 
@@ -26,9 +28,46 @@ def match_language(df: DataFrame, languages: list[str], column: str = "lang") ->
     return df.where(F.col(column).isin(languages))
 
 
+_EDGE = r"[^\p{L}\p{N}_]"
+_RUNS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+_PHRASE = "struct<first:string,lead:string,core:string,tail:string,n:int>"
+
+
+def _parted(phrase: str) -> dict | None:
+    """A phrase as it is found from its first word: what stands before that, from there to the last word in `n` runs, and after it.
+
+    None for one without a word.
+    """
+    runs = re.findall(r"[^\W]+|\W+", phrase)
+    words = [i for i, r in enumerate(runs) if re.match(r"\w", r)]
+    if not words:
+        return None
+    a, b = words[0], words[-1]
+    return {"first": runs[a], "lead": "".join(runs[:a]), "core": "".join(runs[a : b + 1]), "tail": "".join(runs[b + 1 :]), "n": b - a + 1}
+
+
+def _found_at(t: Column, i: Column, p: Column) -> Column:
+    """Whether the phrase p begins at run i (from 0) of the runs t: words and what parts them, in turn."""
+    before, after = F.get(t, i - 1), F.get(t, i + p["n"])
+    lead = (p["lead"] == "") | (before.endswith(p["lead"]) & ((F.length(before) > F.length(p["lead"])) | (i == 1)))
+    tail = (p["tail"] == "") | (after.startswith(p["tail"]) & ((F.length(after) > F.length(p["tail"])) | (i + p["n"] == F.size(t) - 1)))
+    return F.coalesce((F.array_join(F.slice(t, i + 1, p["n"]), "") == p["core"]) & lead & tail, F.lit(False))
+
+
+def _has_phrase(text: Column, phrases_at: Callable[[Column], Column]) -> Column:
+    """Whether a text in lower case has one of the phrases that `phrases_at` gives for a word, or null for none."""
+    runs = F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0))
+
+    def any_of(t: Column) -> Column:
+        here = lambda i: F.coalesce(F.exists(phrases_at(F.get(t, i)), lambda p: _found_at(t, i, p)), F.lit(False))
+        return F.when(F.size(t) > 0, F.exists(F.sequence(F.lit(0), F.size(t) - 1), here)).otherwise(F.lit(False))
+
+    return F.exists(F.array(runs), any_of)  # one lambda holds the runs, so they are made once
+
+
 def match_keywords(
     df: DataFrame,
-    key: str,
+    key: str | None,
     text: str,
     keywords: list[str],
     max_pattern: int = MAX_PATTERN_KEYWORDS,
@@ -36,34 +75,41 @@ def match_keywords(
 ) -> DataFrame:
     """Rows whose text has one of the keywords, words or phrases, as a whole, in any case; no keyword, no row.
 
-    A few keywords make one pattern. Of many, single words are looked up for each word of the text, inside the row, and
-    phrases are tried as patterns of a few each. More words than a constant can hold are joined, and the keys found, which must be
-    unique, select the rows. All ways give the same rows.
+    A few keywords make one pattern. Many are known by their first word: each text is looked at once, word by word, and only where a
+    first word stands its phrases are compared, so ten thousand phrases cost a lookup for each word. More than a constant can hold are
+    joined to the distinct texts by their first words, and then compared in the same way. All ways give the same rows; no key
+    is needed, and null and repeated ones change nothing.
     """
-    edge = r"[^\p{L}\p{N}_]"
     wanted = sorted({k.lower() for k in keywords})
+    low = F.lower(text)
 
     def has(some: list[str]) -> Column:
-        return F.lower(text).rlike(f"(?:^|{edge})(?:{'|'.join(map(re.escape, some))})(?:{edge}|$)")
+        return low.rlike(f"(?:^|{_EDGE})(?:{'|'.join(map(re.escape, some))})(?:{_EDGE}|$)")
 
     if not wanted:
         return df.where(F.lit(False))
     if len(wanted) <= max_pattern:
         return df.where(has(wanted))
-    phrases = [k for k in wanted if not k or re.search(r"\W", k)]
-    single = [k for k in wanted if k and not re.search(r"\W", k)]
-    phrase = F.lit(False)
-    step = max(1, max_pattern)
-    for at in range(0, len(phrases), step):
-        phrase = phrase | has(phrases[at : at + step])
-    words = F.split(F.lower(text), edge)
-    if len(single) <= max_literal:
-        known = constant_lookup({k: True for k in single}, "boolean")
-        return df.where(phrase | F.exists(words, lambda w: known(w).isNotNull()))
-    table = df.sparkSession.createDataFrame([(k,) for k in single], "word string")
-    found = df.select(key, F.explode(F.array_distinct(words)).alias("word"))
-    found = lookup_join(found, table, "word", "left_semi").select(key)
-    return df.join(found.unionByName(df.where(phrase).select(key)), key, "left_semi")
+    parted = [_parted(k) for k in wanted]
+    wordless = [k for k, p in zip(wanted, parted) if p is None]
+    known = [p for p in parted if p is not None]
+    other = has(wordless) if wordless else F.lit(False)
+    if len(known) <= max_literal:
+        index: dict[str, list[dict]] = {}
+        for p in known:
+            index.setdefault(p["first"], []).append(p)
+        return df.where(other | _has_phrase(low, constant_lookup(index, f"array<{_PHRASE}>")))
+    rows = [(p["first"], p["lead"], p["core"], p["tail"], p["n"]) for p in known]
+    table = df.sparkSession.createDataFrame(rows, "first string, lead string, core string, tail string, n int")
+    by_first = table.groupBy("first").agg(F.collect_list(F.struct("first", "lead", "core", "tail", "n")).alias("_some"))
+    hashed = df.withColumn("_h", F.coalesce(F.md5(text), F.lit("")))
+    texts = hashed.select("_h", low.alias("_low")).dropDuplicates(["_h"])
+    words = texts.select("_h", F.explode(F.array_distinct(F.split("_low", _EDGE))).alias("first"))
+    found = lookup_join(words, by_first, "first", "inner").groupBy("_h").agg(F.flatten(F.collect_list("_some")).alias("_some"))
+    # The phrases of the words that a text has, as many as fit it.
+    have = hot_join(hashed, found, "_h")
+    of_word = lambda w: F.filter("_some", lambda p: p["first"] == w)
+    return have.where(other | F.coalesce(F.col("_some").isNotNull() & _has_phrase(low, of_word), F.lit(False))).select(*df.columns)
 
 
 def time_range(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:

@@ -1,8 +1,11 @@
 """Jobs and training runs as tables."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodquarry.plans.scratch import make_folder, remove
+from moodquarry.plans.session import settle
+
 # Job states, days to keep records and files, columns of the run tables.
 PENDING, PROCESSING, COMPLETED, FAILED = "pending", "processing", "completed", "failed"
 KEEP_RECORDS_DAYS, KEEP_FILES_DAYS = 30, 7
@@ -40,6 +43,25 @@ def expired_jobs(df: DataFrame, days: int = KEEP_RECORDS_DAYS, as_of: Column | N
     return df.where(old), df.where(~old)
 
 
+def expire_files(spark: SparkSession, jobs: DataFrame, root: str, days: int = KEEP_FILES_DAYS, as_of: Column | None = None) -> DataFrame:
+    """Remove result folders `root`/job_id=<id> of completed jobs whose newest file is over `days` old; (job_id, files, bytes) of each.
+
+    The folders are listed by Spark, by the time of their files. Folders of jobs that are pending, processing or failed, or that
+    nothing is known of, stay, and so does a folder with a younger file, as when a job ran again. The removed ones are returned
+    as a settled table; call it after the records are rewritten. A repeat finds nothing more and changes nothing.
+    """
+    make_folder(spark, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
+    named = files.withColumn("job_id", F.regexp_extract("path", r"/job_id=([^/]+)/", 1)).where(F.col("job_id") != "")
+    folders = named.groupBy("job_id").agg(F.max("modificationTime").alias("newest"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    done = jobs.where(F.col("status") == COMPLETED).select(F.col("job_id").cast("string").alias("job_id")).distinct()
+    old = folders.where(F.col("newest") < _now(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")).join(done, "job_id", "left_semi")
+    gone = settle(old.select("job_id", "files", "bytes"))
+    for r in gone.select("job_id").toLocalIterator():  # a name for each folder that goes
+        remove(spark, f"{root}/job_id={r.job_id}")
+    return gone
+
+
 def active_jobs(df: DataFrame) -> DataFrame:
     """Pending and processing jobs of each user that has any."""
     return df.where(F.col("status").isin(PENDING, PROCESSING)).groupBy("user_id").agg(

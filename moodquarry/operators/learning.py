@@ -1,5 +1,6 @@
 """Models on tables: training, prediction, evaluation, and any Python model in batches."""
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -8,15 +9,17 @@ from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodquarry.functions.labels import EMOTIONS, SENTIMENTS
 from moodquarry.operators.features import tokenize
+from moodquarry.plans.scratch import remove, rename
 
 # Weights of the two losses.
 LOSS_WEIGHTS = (1.0, 0.5)
+HEADS = {"sentiment": list(SENTIMENTS), "emotion": list(EMOTIONS)}
 DEFAULT_GRID = [{"regParam": 0.01}, {"regParam": 0.1}]
 
 
@@ -61,7 +64,7 @@ def train_two_heads(
     `train` and `val` have text, sentiment and emotion. The model's size is bounded by
     `num_features` times the number of labels, whatever the number of rows.
     """
-    heads = {"sentiment": SENTIMENTS, "emotion": EMOTIONS}
+    heads = HEADS
     need = ["text", *heads]
     train, val = (df.select(*need).na.drop().where(F.col("sentiment").isin(SENTIMENTS) & F.col("emotion").isin(EMOTIONS)) for df in (train, val))
     steps = Pipeline(
@@ -97,6 +100,35 @@ def train_two_heads(
     return TwoHeads(features, best[1]["sentiment"], best[1]["emotion"], history)
 
 
+def save_model(spark: SparkSession, model: TwoHeads, path: str) -> None:
+    """Keep a model: features, both heads, and the order of the labels with the metrics of all trials.
+
+    It takes its place whole, by a rename, and an older one there goes first, so what loads it never sees half a model.
+    """
+    stage = f"{path.rstrip('/')}.saving"
+    remove(spark, stage)
+    for name in ("features", *HEADS):
+        getattr(model, name).write().save(f"{stage}/{name}")
+    notes = {"labels": HEADS, "history": model.history}
+    spark.createDataFrame([(json.dumps(notes),)], "notes string").coalesce(1).write.json(f"{stage}/notes")
+    remove(spark, path)
+    rename(spark, stage, path)
+
+
+def load_model(spark: SparkSession, path: str) -> TwoHeads:
+    """A model that `save_model` kept; it predicts as before. One whose labels are not those of this library is an error."""
+    notes = json.loads(spark.read.schema("notes string").json(f"{path}/notes").first().notes)
+    if notes["labels"] != HEADS:
+        raise ValueError(f"a model of other labels: {notes['labels']}")
+    heads = (LogisticRegressionModel.load(f"{path}/{h}") for h in HEADS)
+    return TwoHeads(PipelineModel.load(f"{path}/features"), *heads, notes["history"])
+
+
+def best_trial(model: TwoHeads) -> dict:
+    """The trial that the heads are of: that of the lowest loss, the first of equal ones."""
+    return min(model.history, key=lambda t: (t["val_loss"] is None, t["val_loss"] or 0.0, t["trial"]))
+
+
 def _true_probability(df: DataFrame) -> DataFrame:
     """Predictions with the probability each head gave to the true label."""
     return df.withColumns({f"{h}_p": F.col(f"{h}_scores")[F.col(h)] for h in ("sentiment", "emotion")})

@@ -78,9 +78,21 @@ def normalize_labels(
 
 
 def dedup_text(df: DataFrame, key: str, text: str = "text", min_len: int = 4, algo: str = "md5") -> DataFrame:
-    """Trim, drop short texts, add text_hash, keep the row with the smallest key of each hash."""
-    trimmed = df.withColumn(text, strip(text)).where(F.length(text) >= min_len)
-    return dedup_key(trimmed.withColumn("text_hash", text_hash(text, algo)), ["text_hash"], key)
+    """Trim, drop short texts, add text_hash, keep the row with the smallest key of each hash, null last.
+
+    Only hashes and keys are grouped, with partial counts, and the rows are then picked by both; no text is ranked. Where the smallest key
+    itself has equal texts, which unique keys never have, one of them stays.
+    """
+    trimmed = df.withColumn(text, strip(text)).where(F.length(text) >= min_len).withColumn("text_hash", text_hash(text, algo))
+    counts = trimmed.groupBy(F.col("text_hash").alias("_hash"), F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    least = F.min(F.struct(F.col("_key").isNull().alias("null"), F.col("_key").alias("key"), F.col("_n").alias("n")))
+    first = settle(counts.groupBy("_hash").agg(least.alias("_first")))
+    same = (F.col("text_hash") == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_first.key"))
+    pick = lambda some: trimmed.join(some, same, "left_semi")
+    doubled = first.where("_first.n > 1")
+    if doubled.isEmpty():
+        return pick(first)
+    return pick(first.where("_first.n = 1")).unionByName(pick(doubled).dropDuplicates(["text_hash"]))
 
 
 def _place(df: DataFrame, key: str, seed: int) -> Column:

@@ -1,9 +1,13 @@
 """Sentiment and emotion scores from lexicon tables.
 
 The score rules are those of the published lexicon-and-rule method for short texts: capitals,
-degree words, negation, "but" and punctuation change the strength of a lexicon word. A small
-lexicon is looked up inside the row, so scoring shuffles nothing and works on streams. A lexicon
-beyond the bound is joined word by word and the sums are joined back by key.
+degree words, negation, "but" and punctuation change the strength of a lexicon word. Scoring always
+looks terms up inside the row. A small lexicon is a constant there, so nothing moves and it works on
+streams; of a larger one each distinct text gets a map of the terms that it has, by one join of narrow
+rows. So scores never depend on the lexicon's size, nor on any key.
+
+A term may have several words, or be signs such as ":)". Of terms that begin at the same word the longest
+counts, and its words are then one word to all rules.
 """
 
 from collections.abc import Callable
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from moodquarry.functions.labels import EMOTIONS, compound_to_label
 from moodquarry.functions.text import cache_key, clean_text, preview, strip
-from moodquarry.plans.lookup import MAX_LITERAL_ROWS, constant_lookup, lookup_column, lookup_join, small_map
+from moodquarry.plans.lookup import MAX_LITERAL_ROWS, constant_lookup, lookup_column, lookup_join
 from moodquarry.plans.skew import hot_join
 
 # Fixed values of the published method; every one is only a default.
@@ -36,16 +40,18 @@ NEGATORS = [
 ]
 STRONGER = [
     "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly", "deeply",
-    "enormously", "entirely", "especially", "exceptionally", "extremely", "fully", "greatly",
-    "highly", "hugely", "incredibly", "intensely", "more", "most", "particularly", "purely", "quite",
-    "really", "remarkably", "so", "substantially", "thoroughly", "totally", "tremendously",
+    "enormously", "entirely", "especially", "exceptionally", "extremely", "fully", "greatly", "hella",
+    "highly", "hugely", "incredibly", "intensely", "majorly", "more", "most", "particularly", "purely", "quite",
+    "really", "remarkably", "so", "substantially", "thoroughly", "totally", "tremendously", "uber",
     "unbelievably", "unusually", "utterly", "very",
 ]
 WEAKER = ["almost", "barely", "hardly", "kinda", "less", "little", "marginally", "occasionally",
-          "partly", "scarcely", "slightly", "somewhat"]
+          "partly", "scarcely", "slightly", "somewhat", "sorta"]
+CONTRACTION = "n't"  # whatever ends so is a negation, like those above
+APOSTROPHES = "\u2018\u2019\u02bc\uff07"  # all read as '
 EDGE_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 AT_EDGE = r"^[!-/:-@\[-`{-~]|[!-/:-@\[-`{-~]$"
-RULES = {"negators": NEGATORS, "stronger": STRONGER, "weaker": WEAKER}
+RULES = {"negators": NEGATORS, "stronger": STRONGER, "weaker": WEAKER, "contraction": CONTRACTION}
 
 SCORES = ["sentiment", "compound", "pos", "neg", "neu", "confidence"]
 EMOTION_SCORES = ["primary_emotion", "emotion_confidence", "emotion_scores"]
@@ -74,17 +80,22 @@ def _modifiers(rules: dict) -> dict[str, tuple[float, float]]:
     return kinds | {w: (0.0, NEGATION) for w in rules["negators"]}
 
 
-ROLE = "struct<valence:double,degree:double,turn:double>"
+MODIFIER = "struct<degree:double,turn:double>"
+
+
+def _roles(words: str, valence: Callable[[Column], Column], rules: dict) -> Column:
+    """For each word its valence (null for a mere modifier), degree and turn factor; null for any other word."""
+    known = constant_lookup({w: {"degree": d, "turn": t} for w, (d, t) in _modifiers(rules).items()}, MODIFIER)
+    ending = rules.get("contraction")
+    # Every lookup stands once: Spark would repeat one that a lambda uses twice.
+    found = F.transform(words, lambda w: F.struct(known(w).alias("m"), valence(w).alias("v"), (w.endswith(ending) if ending else F.lit(False)).alias("n")))
 
+    def role(x: Column) -> Column:
+        turn = F.coalesce(x["m"]["turn"], F.when(x["n"], NEGATION))
+        parts = x["v"].alias("valence"), F.coalesce(x["m"]["degree"], F.lit(0.0)).alias("degree"), F.coalesce(turn, F.lit(1.0)).alias("turn")
+        return F.when(x["v"].isNotNull() | turn.isNotNull(), F.struct(*parts))
 
-def _role_lookup(valences: dict[str, float], rules: dict) -> Callable[[Column], Column]:
-    """Valence (null for a mere modifier), degree and turn factor of a word; null for any other word."""
-    modifiers = _modifiers(rules)
-    roles = {}
-    for term in valences.keys() | modifiers.keys():
-        degree, turn = modifiers.get(term, (0.0, 1.0))
-        roles[term] = {"valence": valences.get(term), "degree": degree, "turn": turn}
-    return constant_lookup(roles, ROLE)
+    return F.transform(found, role)
 
 
 def _own(role: Column) -> Column:
@@ -142,15 +153,92 @@ def _emphasis(clean: Column) -> Column:
 
 
 def _with_words(df: DataFrame, text: str, max_len: int | None) -> DataFrame:
-    """Add the words of the cleaned text as they are and in lower case."""
+    """Add the words of the cleaned text as they are and in lower case, with plain apostrophes."""
     return (
         df.withColumn("_clean", clean_text(text, max_len))
-        .withColumn("_words", split_words(F.col("_clean")))
+        .withColumn("_words", split_words(plain_apostrophes("_clean")))
         .withColumn("_lows", F.transform("_words", F.lower))
     )
 
 
-def _sums_in_row(df: DataFrame, lookup) -> DataFrame:
+def plain_apostrophes(c: Column | str) -> Column:
+    return F.translate(c, APOSTROPHES, "'" * len(APOSTROPHES))
+
+
+def _plain_lexicon(lexicon: DataFrame, *values: str) -> DataFrame:
+    """Terms as `_low`, in lower case, whose words have no punctuation at their edges, with the columns `values`."""
+    term = F.array_join(split_words(F.lower(plain_apostrophes(F.regexp_replace("term", r"\s+", " ")))), " ")
+    return lexicon.select(term.alias("_low"), *values).where(F.col("_low") != "")
+
+
+def _grams(words: Column, most: int) -> Column:
+    """All stretches of 1 to `most` words, joined by spaces."""
+
+    def of_size(k: int) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
+        return F.when(F.size(words) >= k, all_).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(words, *map(of_size, range(2, most + 1)))
+
+
+def _term_lookup(df: DataFrame, terms: DataFrame, value: str, max_literal: int) -> tuple[DataFrame, Callable[[Column], Column], int]:
+    """`df`, perhaps with a column `_known`, a function that looks a term up in `terms` (_low, value), and the words of the longest term.
+
+    `terms` has one row for each term. Few terms become a constant. Of many, each distinct text gets a map of those it has, which
+    leads back by the text: rows with equal, repeated or null keys get the scores of their text.
+    """
+    most = terms.agg(F.max(F.size(F.split("_low", " ")))).first()[0] or 1
+    lookup = lookup_column(terms, "_low", value, max_literal)
+    if lookup is not None:
+        return df, lookup, most
+    if df.isStreaming:
+        raise ValueError(f"a lexicon of over {max_literal} terms is joined, which a stream does batch by batch: use streaming.control.start_fan_out")
+    df = df.withColumn("_h", _text_key(F.md5("_clean")))
+    texts = df.select("_h", "_lows").dropDuplicates(["_h"])
+    words = texts.select("_h", F.explode(F.array_distinct(_grams(F.col("_lows"), most))).alias("_low"))
+    found = lookup_join(words, terms, "_low", "inner")
+    maps = found.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("_low", value))).alias("_known"))
+    return hot_join(df, maps, "_h").drop("_h"), lambda w: F.col("_known")[w], most
+
+
+def _end(places: Column) -> Column:
+    """Where the last of some places ends; null without one."""
+    last = F.get(places, F.size(places) - 1)
+    return last["at"] + last["k"]
+
+
+def _merge_terms(df: DataFrame, has: Callable[[Column], Column], most: int) -> DataFrame:
+    """`_words` and `_lows` with the longest term at each place, from left to right, as one word; no word is in two terms."""
+    if most < 2:
+        return df
+    at = lambda i, k: F.array_join(F.slice("_lows", i, k), " ")
+    n = F.size("_lows")
+
+    def longest(i: Column) -> Column:
+        """How many words the longest term of several words at place i (from 1) has, or 1."""
+        out = F.when(F.lit(False), F.lit(1))
+        for k in range(most, 1, -1):
+            out = out.when((i + k - 1 <= n) & has(at(i, F.lit(k))), F.lit(k))
+        return out.otherwise(F.lit(1))
+
+    spot = lambda i: F.struct(i.alias("at"), longest(i).alias("k"))
+    places = F.filter(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), spot), lambda p: p["k"] > 1)
+    # Left to right: a place within the term before it goes.
+    kept = F.aggregate(
+        places, F.array().cast("array<struct<at:int,k:int>>"),
+        lambda acc, p: F.when(p["at"] < _end(acc), acc).otherwise(F.concat(acc, F.array(p))),
+    )
+    inside = lambda i: F.exists("_terms", lambda p: (p["at"] < i) & (i < p["at"] + p["k"]))
+    size = lambda i: F.coalesce(F.get(F.filter("_terms", lambda p: p["at"] == i), 0)["k"], F.lit(1))
+    df = df.withColumn("_terms", F.when(n > 1, kept).otherwise(F.array().cast("array<struct<at:int,k:int>>")))
+    df = df.withColumn("_from", F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ~inside(i)))
+    merged = lambda c: F.transform("_from", lambda i: F.array_join(F.slice(c, i, size(i)), " "))
+    some = F.size("_terms") > 0
+    both = F.when(some, F.struct(merged("_words").alias("w"), merged("_lows").alias("l"))).otherwise(F.struct(F.col("_words").alias("w"), F.col("_lows").alias("l")))
+    return df.withColumn("_both", both).withColumns({"_words": F.col("_both.w"), "_lows": F.col("_both.l")}).drop("_both", "_terms", "_from")
+
+
+def _sums_in_row(df: DataFrame, roles: Column) -> DataFrame:
     def hit(role: Column, i: Column) -> Column:
         before, lows = ([F.get(c, i - d) for d in (1, 2, 3)] for c in ("_roles", "_lows"))
         loud, *shouts = (F.col("_mixed") & F.coalesce(_is_upper(F.get("_words", i - d)), F.lit(False)) for d in range(4))
@@ -161,7 +249,7 @@ def _sums_in_row(df: DataFrame, lookup) -> DataFrame:
         return F.aggregate("_hits", F.lit(0.0), lambda acc, s: acc + part(s, F.lit(0.0)))
 
     return (
-        df.withColumn("_roles", F.transform("_lows", lookup))
+        df.withColumn("_roles", roles)
         .withColumn("_hits", F.filter(F.transform("_roles", hit), lambda s: s.isNotNull()))
         .withColumn("_pos", total(F.greatest))
         .withColumn("_neg", total(F.least))
@@ -171,65 +259,13 @@ def _sums_in_row(df: DataFrame, lookup) -> DataFrame:
     )
 
 
-def _one_per_text(df: DataFrame, key: str | None) -> tuple[DataFrame, DataFrame, str]:
-    """`df`, the rows whose words are to be joined, and the column that leads back: `key`, or without one a hash of each distinct text."""
-    if key is not None:
-        return df, df, key
-    df = df.withColumn("_h", _text_key(F.md5("_clean")))
-    return df, df.dropDuplicates(["_h"]), "_h"
-
-
-def _sums_by_join(every: DataFrame, key: str | None, lexicon: DataFrame, rules: dict) -> DataFrame:
-    """The same sums for a lexicon too large for a constant: one row per word, joined and added up."""
-    every, df, key = _one_per_text(every, key)
-    valences = lexicon.groupBy(F.lower("term").alias("_low")).agg(F.min("valence").cast("double").alias("_v"))
-    modifiers = _modifiers(rules)
-    both = {r["_low"]: r["_v"] for r in valences.where(F.col("_low").isin(*modifiers, "least")).collect()}  # at most one for each
-    turn = _role_lookup(both, rules)
-    # Degree words have no valence of their own.
-    valences = valences.where(~F.col("_low").isin(*[w for w, (degree, _) in modifiers.items() if degree]))
-    words = (
-        df.withColumn("_turns", F.transform("_lows", turn))
-        .withColumn(
-            "_word",
-            F.explode(
-                F.transform(
-                    "_lows",
-                    lambda w, i: F.struct(
-                        w.alias("_low"),
-                        (F.col("_mixed") & _is_upper(F.get("_words", i))).alias("loud"),
-                        _but_side(i + 1, F.col("_but")).alias("side"),
-                        *[F.get("_turns", i - d).alias(f"b{d}") for d in (1, 2, 3)],
-                        *[F.get("_lows", i - d).alias(f"l{d}") for d in (1, 2, 3)],
-                        *[(F.col("_mixed") & F.coalesce(_is_upper(F.get("_words", i - d)), F.lit(False))).alias(f"c{d}") for d in (1, 2, 3)],
-                    ),
-                )
-            ),
-        )
-        .select(key, "_word.*")
-    )
-    near = [[F.col(f"{c}{d}") for d in (1, 2, 3)] for c in "blc"]
-    s = _strength(F.col("_v"), F.col("loud"), *near) * F.col("side")
-    sums = (
-        lookup_join(words, valences, "_low", "inner")
-        .select(key, s.alias("s"))
-        .groupBy(key)
-        .agg(
-            F.sum(F.greatest("s", F.lit(0.0))).alias("_pos"),
-            F.sum(F.least("s", F.lit(0.0))).alias("_neg"),
-            F.count_if(F.col("s") > 0).alias("_npos"),
-            F.count_if(F.col("s") < 0).alias("_nneg"),
-        )
-    )
-    back = hot_join(every, sums, key).drop("_h") if key == "_h" else every.join(sums, key, "left")
-    return back.na.fill(0, ["_pos", "_neg", "_npos", "_nneg"])
-
-
-def _sentiment_columns(
-    df: DataFrame, lexicon: DataFrame, key: str | None, alpha: float, rules: dict | None, max_literal: int
-) -> DataFrame:
-    """Add SCORES to a frame made by `_with_words`."""
-    rules = rules or RULES
+def _sentiment_columns(df: DataFrame, lexicon: DataFrame, alpha: float, rules: dict | None, max_literal: int) -> DataFrame:
+    """Add SCORES to a frame made by `_with_words`; its words stay as they were."""
+    plain = _plain_lexicon(lexicon, F.col("valence").cast("double").alias("valence")).where(F.col("valence").isNotNull())
+    valences = plain.groupBy("_low").agg(F.min("valence").alias("valence"))
+    df = df.withColumns({"_words0": F.col("_words"), "_lows0": F.col("_lows")})
+    df, valence, most = _term_lookup(df, valences, "valence", max_literal)
+    df = _merge_terms(df, lambda t: valence(t).isNotNull(), most)
     df = df.withColumns(
         {
             "_but": F.array_position("_lows", F.lit("but")),
@@ -238,12 +274,8 @@ def _sentiment_columns(
             "_e": _emphasis(F.col("_clean")),
         }
     )
-    lowered = lexicon.select(F.lower("term").alias("term"), F.col("valence").cast("double").alias("valence"))
-    valences = small_map(lowered, "term", "valence", max_literal)
-    if valences is not None:
-        df = _sums_in_row(df, _role_lookup(valences, rules))
-    else:
-        df = _sums_by_join(df, key, lexicon, rules)
+    df = _sums_in_row(df, _roles("_lows", valence, rules or RULES)).drop("_words", "_lows", "_known")
+    df = df.withColumnsRenamed({"_words0": "_words", "_lows0": "_lows"})
     total = F.col("_pos") + F.col("_neg")
     up, down = F.col("_pos") + F.col("_npos"), F.col("_nneg") - F.col("_neg")
     df = df.withColumns(
@@ -276,7 +308,6 @@ def add_sentiment(
     df: DataFrame,
     text: str,
     lexicon: DataFrame,
-    key: str | None = None,
     alpha: float = ALPHA,
     rules: dict | None = None,
     max_len: int | None = None,
@@ -284,41 +315,31 @@ def add_sentiment(
 ) -> DataFrame:
     """All columns of `df` plus the columns SCORES.
 
-    `lexicon` has the columns term and valence. One of more than `max_literal` terms is joined word by word, and the sums come
-    back by `key`, unique in `df`, or without one by the text, each distinct one being scored once; on a stream that is
-    work for the batch writer, as in `start_fan_out`. The scores are the same either way. Empty text is neutral with pos, neg and compound 0.
-    Whole texts are scored unless `max_len` cuts the cleaned text.
+    `lexicon` has the columns term and valence; of equal terms the smallest valence counts. One of more than `max_literal` terms is joined
+    to the distinct texts; on a stream that is work for the batch writer, as in `start_fan_out`. The scores are the same
+    either way. Empty text is neutral with pos, neg and compound 0. Whole texts are scored unless `max_len` cuts the cleaned text.
     """
-    scored = _sentiment_columns(_with_words(df, text, max_len), lexicon, key, alpha, rules, max_literal)
+    scored = _sentiment_columns(_with_words(df, text, max_len), lexicon, alpha, rules, max_literal)
     return scored.select(*df.columns, *SCORES)
 
 
 def score_sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame, alpha: float = ALPHA, **options) -> DataFrame:
-    return add_sentiment(df.select(key, text), text, lexicon, key, alpha, **options).select(key, *SCORES)
+    return add_sentiment(df.select(key, text), text, lexicon, alpha, **options).select(key, *SCORES)
 
 
-def _emotion_columns(df: DataFrame, lexicon: DataFrame, key: str | None, max_literal: int) -> DataFrame:
+def _emotion_columns(df: DataFrame, lexicon: DataFrame, max_literal: int) -> DataFrame:
     """Add EMOTION_SCORES to a frame made by `_with_words`."""
     names = [f"_{e}" for e in EMOTIONS]
-    terms = lexicon.where(F.col("emotion").isin(EMOTIONS)).select(
-        F.lower("term").alias("_low"), "emotion", F.col("weight").cast("double").alias("weight")
-    )
+    terms = _plain_lexicon(lexicon.where(F.col("emotion").isin(EMOTIONS)), "emotion", F.col("weight").cast("double").alias("weight"))
     by_term = terms.groupBy("_low").agg(F.array_sort(F.collect_list(F.struct("emotion", "weight"))).alias("found"))
-    lookup = lookup_column(by_term, "_low", "found", max_literal)
-    if lookup is not None:
-        found = F.flatten(F.filter(F.transform("_lows", lookup), lambda x: x.isNotNull()))
-        zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
-        add = lambda acc, x: F.struct(
-            *[(acc[n] + F.when(x["emotion"] == e, x["weight"]).otherwise(0.0)).alias(n) for n, e in zip(names, EMOTIONS)]
-        )
-        df = df.withColumn("_found", F.aggregate(found, zero, add)).select("*", "_found.*").drop("_found")
-    else:
-        every, one, key = _one_per_text(df, key)
-        words = one.select(key, F.explode("_lows").alias("_low"))
-        found = lookup_join(words, by_term, "_low", "inner").select(key, F.explode("found").alias("f")).groupBy(key)
-        weight = lambda e: F.when(F.col("f.emotion") == e, F.col("f.weight")).otherwise(0.0)
-        sums = found.agg(*[F.sum(weight(e)).alias(n) for n, e in zip(names, EMOTIONS)])
-        df = (hot_join(every, sums, key).drop("_h") if key == "_h" else every.join(sums, key, "left")).na.fill(0.0, names)
+    df, lookup, most = _term_lookup(df, by_term, "found", max_literal)
+    df = _merge_terms(df, lambda t: lookup(t).isNotNull(), most)
+    found = F.flatten(F.filter(F.transform("_lows", lookup), lambda x: x.isNotNull()))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
+    add = lambda acc, x: F.struct(
+        *[(acc[n] + F.when(x["emotion"] == e, x["weight"]).otherwise(0.0)).alias(n) for n, e in zip(names, EMOTIONS)]
+    )
+    df = df.withColumn("_found", F.aggregate(found, zero, add)).select("*", "_found.*").drop("_found", "_known")
     df = df.withColumns({"_all": sum((F.col(n) for n in names[1:]), F.col(names[0])), "_max": F.greatest(*names)})
     none = F.col("_all") <= 0
     total = F.when(~none, F.col("_all"))
@@ -339,7 +360,6 @@ def add_emotion(
     df: DataFrame,
     text: str,
     lexicon: DataFrame,
-    key: str | None = None,
     max_len: int | None = None,
     max_literal: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
@@ -348,12 +368,12 @@ def add_emotion(
     `lexicon` has the columns term, emotion and weight. Scores are shares of the weights found;
     the first label in order wins a tie; a text without any hit is neutral with score 1.
     """
-    scored = _emotion_columns(_with_words(df, text, max_len), lexicon, key, max_literal)
+    scored = _emotion_columns(_with_words(df, text, max_len), lexicon, max_literal)
     return scored.select(*df.columns, *EMOTION_SCORES)
 
 
 def score_emotion(df: DataFrame, key: str, text: str, lexicon: DataFrame, **options) -> DataFrame:
-    scored = add_emotion(df.select(key, text), text, lexicon, key, **options)
+    scored = add_emotion(df.select(key, text), text, lexicon, **options)
     return scored.select(key, *EMOTION_SCORES)
 
 
@@ -361,34 +381,34 @@ def add_analysis(
     df: DataFrame,
     text: str,
     lexicons: tuple[DataFrame, DataFrame],
-    key: str | None = None,
     rules: dict | None = None,
     max_len: int | None = None,
     max_literal: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
     """Both lexicon scores side by side, from one look at the words; `lexicons` are the sentiment
     and the emotion lexicon."""
-    scored = _analysis(df, text, lexicons, key, rules, max_len, max_literal)
+    scored = _analysis(df, text, lexicons, rules, max_len, max_literal)
     return scored.select(*df.columns, *SCORES[:-1], "sentiment_confidence", *EMOTION_SCORES)
 
 
-def _analysis(df, text, lexicons, key=None, rules=None, max_len=None, max_literal=MAX_LITERAL_ROWS) -> DataFrame:
+def _analysis(df, text, lexicons, rules=None, max_len=None, max_literal=MAX_LITERAL_ROWS) -> DataFrame:
     """`add_analysis` with the cleaned text as `_clean`."""
-    scored = _sentiment_columns(_with_words(df, text, max_len), lexicons[0], key, ALPHA, rules, max_literal)
-    return _emotion_columns(scored.withColumnRenamed("confidence", "sentiment_confidence"), lexicons[1], key, max_literal)
+    scored = _sentiment_columns(_with_words(df, text, max_len), lexicons[0], ALPHA, rules, max_literal)
+    return _emotion_columns(scored.withColumnRenamed("confidence", "sentiment_confidence"), lexicons[1], max_literal)
 
 
 def analyze_full(
     df: DataFrame,
-    key: str,
+    key: str | None,
     text: str,
     lexicons: tuple[DataFrame, DataFrame],
     model: Callable[[DataFrame], DataFrame] | None = None,
     **options,
 ) -> DataFrame:
-    """Full result per key. `model` maps (key, text) to (key, sentiment, compound, primary_emotion,
-    confidence); rows it leaves out or null fall back to the lexicons."""
-    scored = _analysis(df.select(key, text), text, lexicons, key, **options)
+    """Full result per row, with its key if there is one. `model` maps (key, text) to (key, sentiment, compound, primary_emotion,
+    confidence) and needs a unique key; rows it leaves out or null fall back to the lexicons."""
+    keys = [] if key is None else [key]
+    scored = _analysis(df.select(*keys, text), text, lexicons, **options)
     scored = scored.withColumnRenamed("emotion_confidence", "confidence")
     scored = scored.withColumn("model_used", F.lit("lexicon"))
     if model is not None:
@@ -401,7 +421,7 @@ def analyze_full(
             | {"model_used": F.when(got, "model").otherwise("lexicon")}
         )
     return scored.select(
-        key,
+        *keys,
         preview("_clean", 200).alias("text"),
         "sentiment", "compound", "pos", "neg", "neu", "primary_emotion", "confidence", "emotion_scores", "model_used",
     )
@@ -410,24 +430,22 @@ def analyze_full(
 def analyze_table(
     df: DataFrame, key: str | None, text: str, lexicons: tuple[DataFrame, DataFrame], emotions: bool = True, **options
 ) -> DataFrame:
-    """The input columns plus score columns; null text scores as empty text."""
+    """The input columns plus score columns; null text scores as empty text. Scores need no key; one that is named may hold anything."""
     names = {
         "sentiment": "Sentiment", "compound": "Compound_Score", "pos": "Positive_Score",
         "neg": "Negative_Score", "neu": "Neutral_Score",
     }
     if emotions:
-        scored = add_analysis(df, text, lexicons, key, **options)
+        scored = add_analysis(df, text, lexicons, **options)
         names |= {"primary_emotion": "Primary_Emotion", "emotion_confidence": "Emotion_Confidence"}
     else:
-        scored = add_sentiment(df, text, lexicons[0], key, **options)
+        scored = add_sentiment(df, text, lexicons[0], **options)
     return scored.select(*df.columns, *[F.col(c).alias(n) for c, n in names.items()])
 
 
-def score_guarded(
-    df: DataFrame, text: str, lexicons: tuple[DataFrame, DataFrame], key: str | None = None, **options
-) -> DataFrame:
+def score_guarded(df: DataFrame, text: str, lexicons: tuple[DataFrame, DataFrame], key: str | None = None, **options) -> DataFrame:
     """Input columns plus the five stream columns; a blank text is neutral and names no model."""
-    scored = add_analysis(df, text, lexicons, key, **options)
+    scored = add_analysis(df, text, lexicons, **options)
     blank = strip(F.coalesce(F.col(text), F.lit(""))) == ""
     return scored.select(
         *df.columns,

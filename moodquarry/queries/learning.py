@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from moodquarry.functions.labels import EMOTIONS, SENTIMENTS
 from moodquarry.operators import learning as L
 from moodquarry.operators import prepare as P
+from moodquarry.plans.scratch import new_folder
 from moodquarry.queries import query
 from moodquarry.queries.tables import posts, r6, samples, sql, text_table
 
@@ -92,6 +93,24 @@ def predict(spark, sf):
     return out.select("doc_id", "sentiment_prediction", r6("sentiment_confidence"), "emotion_prediction", r6("emotion_confidence"))
 
 
+@query("reloaded_model", "SELECT doc_id, true AS same, true AS noted FROM documents")
+def reloaded_model(spark, sf):
+    """Predictions of a model that was kept and read again, row by row those of the model itself."""
+    df = _training(spark, sf)
+    model = L.train_two_heads(df.where("split = 'train'"), df.where("split = 'val'"), [{"regParam": 0.1}], 1 << 12, 3)
+    path = f"{new_folder(spark, 'model')}/two_heads"
+    for _ in range(2):
+        L.save_model(spark, model, path)
+    again = L.load_model(spark, path)
+    docs = text_table(spark, sf, "documents").select("doc_id", "text")
+    shown = lambda m: L.predict(m, docs).select(
+        "doc_id", F.to_json(F.struct("sentiment_prediction", "sentiment_scores", "emotion_prediction", "emotion_scores", "emotion_confidence")).alias("all")
+    )
+    both = shown(model).join(shown(again).withColumnRenamed("all", "other"), "doc_id")
+    noted = again.history == model.history and L.best_trial(again)["trial"] == 0
+    return both.select("doc_id", (F.col("all") == F.col("other")).alias("same"), F.lit(noted).alias("noted"))
+
+
 _HELD = "CAST('0x' || substr(md5(doc_id || ':42'), 1, 8) AS BIGINT) / 4294967296.0 >= 0.8"
 
 

@@ -9,13 +9,14 @@ from moodquarry.queries.tables import (
     ALL_WORDS, AS_OF, PARTS, STAND_IN_RULES, lexicons, posts_of, r6, sql, sql_clean, sql_label, sql_list, stamp, table, text_table,
 )
 
+_PLAIN = "translate(clean, '‘’ʼ＇', '" + "'" * 8 + "')"
 _PUNCTUATION = S.EDGE_PUNCTUATION.replace("'", "''")
 
 
 def _step(d: int) -> tuple[str, str]:
     """SQL of what the word `d` places before adds, by the sign of the sum so far, and of its factor."""
     r, p, free = STAND_IN_RULES, f"p{d}", f"k{d} IS NULL"
-    negator = f"{p} IN {sql_list(r['negators'])}"
+    negator = f"({p} IN {sql_list(r['negators'])} OR {p} LIKE '%n''t')"
     shout = f"CASE WHEN mixed AND u{d} THEN 0.733::DOUBLE ELSE 0 END"
     add = f"""CASE WHEN {p} IS NULL OR NOT ({free}) OR {negator} THEN 0
         WHEN {p} IN {sql_list(r['weaker'])} THEN -0.293::DOUBLE + {shout} WHEN {p} IN {sql_list(r['stronger'])} THEN 0.293::DOUBLE + {shout} ELSE 0 END"""
@@ -48,7 +49,7 @@ def _word_parts(rel: str, key: str, cut: bool = False) -> dict[str, str]:
     clean = sql_clean("text") if cut else sql_clean("text", cut=False)
     return {
         "cleaned": f"SELECT {key} AS key, {clean} AS clean FROM {rel}",
-        "split0": "SELECT key, list_filter(string_split(clean, ' '), lambda x: x <> '') AS ws FROM cleaned",
+        "split0": f"SELECT key, list_filter(string_split({_PLAIN}, ' '), lambda x: x <> '') AS ws FROM cleaned",
         "words0": "SELECT key, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split0",
         "words1": f"SELECT key, i, coalesce(nullif(trim(w, '{_PUNCTUATION}'), ''), w) AS w FROM words0",
         "words2": "SELECT key, i, lower(w) AS low, w = upper(w) AND w <> lower(w) AS up FROM words1",
@@ -103,7 +104,7 @@ def _emotion_parts(rel: str, key: str, words: bool = True) -> dict[str, str]:
     }
 
 
-_ALL_WORDS = {"lex0": f"SELECT DISTINCT w AS term FROM ({ALL_WORDS})", "lexicon": PARTS["lexicon"], "emolex": PARTS["emolex"]}
+_ALL_WORDS = {k: PARTS[k] for k in ("lex0", "lexicon", "emolex")}
 
 
 def _scored_sql(body: str, rel: str = "documents", key: str = "doc_id", cut: bool = False) -> str:
@@ -136,11 +137,99 @@ def score_sentiment_cut(spark, sf):
 def score_sentiment_large_lexicon(spark, sf):
     """A lexicon of all words, joined word by word and brought back by the text."""
     scored = S.add_sentiment(
-        text_table(spark, sf, "documents").select("doc_id", "text"), "text", lexicons(spark, sf, None)[0], rules=STAND_IN_RULES, max_literal=100
+        text_table(spark, sf, "documents").select("doc_id", "text"), "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES, max_literal=100
     )
     return scored.drop("text")
 
 
+# Terms of one or two words: every pair that five documents begin a line or sentence with, frequent words, and signs.
+_PAIRS = """
+    SELECT term FROM (SELECT low || ' ' || next AS term FROM (SELECT low, lead(low) OVER (PARTITION BY key ORDER BY i) AS next FROM words2) WHERE next IS NOT NULL)
+    GROUP BY term HAVING count(*) >= 20"""
+_PHRASE_LEXICON = {
+    "lex0": f"SELECT w AS term FROM ({ALL_WORDS}) UNION {_PAIRS}",
+    "lexicon": PARTS["lexicon"],
+    # Of pairs that overlap in a row every second one counts, from the left.
+    "pairs": """SELECT key, i, low || ' ' || next AS low, up2 AS up FROM (
+            SELECT *, row_number() OVER (PARTITION BY key, streak ORDER BY i) AS n FROM (
+                SELECT *, i - row_number() OVER (PARTITION BY key ORDER BY i) AS streak FROM (
+                    SELECT key, i, low, lead(low) OVER o AS next, (up OR w = upper(w)) AND (lead(up) OVER o OR lead(w = upper(w)) OVER o) AND (up OR lead(up) OVER o) AS up2
+                    FROM words2 JOIN words1 USING (key, i) WINDOW o AS (PARTITION BY key ORDER BY i)
+                ) JOIN lexicon ON term = low || ' ' || next)) WHERE n % 2 = 1""",
+    "merged": """SELECT key, row_number() OVER (PARTITION BY key ORDER BY i) AS i, low, up FROM (
+            SELECT key, i, coalesce(p.low, w.low) AS low, coalesce(p.up, w.up) AS up FROM words2 w LEFT JOIN pairs p USING (key, i)
+            WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.key = w.key AND q.i = w.i - 1))""",
+}
+
+
+def _phrase_sql() -> str:
+    parts = _sentiment_parts("documents", "doc_id")
+    first = {k: parts.pop(k) for k in list(_word_parts("documents", "doc_id"))}
+    parts["words3"] = parts["words3"].replace("FROM words2 w", "FROM merged w")
+    parts["folded"] = parts["folded"].replace("len(ws) AS n", "(SELECT count(*) FROM merged m WHERE m.key = c.key) AS n")
+    return sql("", _SENTIMENT, **first, **_PHRASE_LEXICON, **parts)
+
+
+def _phrase_lexicon(spark, sf):
+    """All words and the frequent pairs of neighbours, with values from their hash."""
+    from moodquarry.functions.text import clean_text
+    from moodquarry.queries.tables import hashed_valence
+
+    low = F.transform(S.split_words(S.plain_apostrophes(clean_text("text", None))), F.lower)
+    words = text_table(spark, sf, "documents").select(low.alias("w")).where(F.size("w") > 1)
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))).alias("term"))
+    pairs = pairs.groupBy("term").count().where("count >= 20").select("term")
+    every = lexicons(spark, sf)[0].select("term").unionByName(pairs).distinct()
+    return every.select("term", hashed_valence("term"))
+
+
+@query("score_phrases", _phrase_sql())
+def score_phrases(spark, sf):
+    """A lexicon of words and of pairs of words; the longer term counts."""
+    docs = text_table(spark, sf, "documents").select("doc_id", "text")
+    return S.score_sentiment(docs, "doc_id", "text", _phrase_lexicon(spark, sf), rules=STAND_IN_RULES)
+
+
+# What the default rules know, before the first words of each text.
+_BEFORE = [
+    "mightn't be", "needn’t be", "couldn’t", "hella", "sorta", "uber", "never so", "without doubt", "kind of", "sort of", "at least", "least",
+    "not very", "VERY", "wasn't that", "hardly", "nothing", "cannot",
+]
+_DEFAULT_TEXTS = f"""SELECT doc_id, [{", ".join("'" + b.replace("'", "''") + "'" for b in _BEFORE)}][1 + doc_id % {len(_BEFORE)}] || ' '
+    || array_to_string(regexp_extract_all(text, '[^ \\n]+')[1:12], ' ') AS text FROM documents"""
+
+
+def _default_sql() -> str:
+    text = sql("", _SENTIMENT, begun=_DEFAULT_TEXTS, **_ALL_WORDS, **_sentiment_parts("begun", "doc_id"))
+    for kind, words in STAND_IN_RULES.items():
+        if isinstance(words, list):
+            text = text.replace(sql_list(words), sql_list(S.RULES[kind]))
+    return text.replace(sql_list(STAND_IN_RULES["stronger"] + STAND_IN_RULES["weaker"]), sql_list(S.RULES["stronger"] + S.RULES["weaker"]))
+
+
+@query("score_default_rules", _default_sql())
+def score_default_rules(spark, sf):
+    """The rules as they are without any option, on short texts that use them, with a null, a repeated and an odd key."""
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0)), 1, 12)
+    begin = F.element_at(F.array(*map(F.lit, _BEFORE)), (F.col("doc_id") % len(_BEFORE) + 1).cast("int"))
+    docs = text_table(spark, sf, "documents").select("doc_id", F.concat(begin, F.lit(" "), F.array_join(words, " ")).alias("text"))
+    return S.score_sentiment(docs, "doc_id", "text", lexicons(spark, sf)[0])
+
+
+_ODD = "SELECT CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id % 5 AS VARCHAR) END AS k, lang, doc_id, text FROM documents"
+
+
+@query(
+    "score_without_key",
+    sql("", "SELECT k, key AS doc_id, sentiment, compound, pos FROM sentiments JOIN odd ON odd.doc_id = key", odd=_ODD, **_ALL_WORDS, **_sentiment_parts("documents", "doc_id")),
+)
+def score_without_key(spark, sf):
+    """Keys that are null or repeated, with a lexicon that is joined."""
+    docs = text_table(spark, sf, "documents").select(F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 5).cast("string")).alias("k"), "doc_id", "text")
+    scored = S.add_sentiment(docs, "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES, max_literal=1)
+    return scored.select("k", "doc_id", "sentiment", "compound", "pos")
+
+
 _EMOTION = f"""SELECT key AS doc_id, primary_emotion, round(emotion_confidence, 6) AS emotion_confidence,
                       {", ".join(f"round({e}_share, 6) AS {e}" for e in EMOTIONS)} FROM emotions"""
 
@@ -173,7 +262,7 @@ def score_emotion(spark, sf):
 @query("score_emotion_large_lexicon", sql("", _EMOTION, **_ALL_WORDS, **_emotion_parts("documents", "doc_id")))
 def score_emotion_large_lexicon(spark, sf):
     """A lexicon of all words."""
-    df = S.score_emotion(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf, None)[1], max_literal=100)
+    df = S.score_emotion(text_table(spark, sf, "documents"), "doc_id", "text", lexicons(spark, sf)[1], max_literal=100)
     return _emotion_columns(df)
 
 
@@ -340,3 +429,22 @@ def new_cache_rows(spark, sf):
         docs, "text", "quick", _scorer(spark, sf), ["sentiment", "compound"], _cache(spark, sf), 86_400, stamp(AS_OF)
     )
     return new.withColumn("stored_at", F.col("stored_at").cast("timestamp_ntz"))
+
+
+@query(
+    "score_kept_cache",
+    _scored_sql(
+        """SELECT key AS doc_id, 'sentiment:quick:' || md5(clean) AS cache_key, sentiment, compound,
+                  clean IN (SELECT clean FROM sentiments WHERE key % 2 = 0) AS from_cache FROM sentiments"""
+    ),
+)
+def score_kept_cache(spark, sf):
+    """Half of the documents fill the cache, and a second run scores only the texts that are new to it."""
+    from moodquarry.operators.cache import ScoreCache, score_through_cache
+    from moodquarry.plans.scratch import new_folder
+
+    docs, folder = text_table(spark, sf, "documents").select("doc_id", "text"), new_folder(spark, "cache")
+    cache = ScoreCache(spark, "scores_" + folder[-8:], folder, {"sentiment": "string", "compound": "double"}, 8)
+    run = lambda df: score_through_cache(df, "text", "quick", _scorer(spark, sf), cache, 86_400, stamp(AS_OF))
+    run(docs.where("doc_id % 2 = 0"))
+    return run(docs).drop("text")

@@ -6,6 +6,7 @@ from moodquarry.operators import filters as FL
 from moodquarry.operators import jobs as J
 from moodquarry.operators import ordering as O
 from moodquarry.operators import screen as S
+from moodquarry.plans.scratch import children, new_folder
 from moodquarry.queries import query
 from moodquarry.queries.tables import (
     AS_OF, END, START, analyses, jobs, ntz, posts, r6, samples, sql, sql_strip, stamp, table, texts,
@@ -125,6 +126,35 @@ def match_many_phrases(spark, sf):
     return FL.match_keywords(table(spark, sf, "documents"), "doc_id", "text", [*_PHRASES, "worthless"]).select("doc_id", "lang")
 
 
+_PAIRS = r"""SELECT list_extract(w, 1) || ' ' || list_extract(w, 2) AS phrase FROM (
+    SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE doc_id % 4 = 0 AND regexp_matches(lower(text), '^[\p{L}\p{N}_]+ [\p{L}\p{N}_]+([^\p{L}\p{N}_]|$)'))"""
+
+
+def _pairs(spark, sf):
+    """The first two words of a quarter of the documents: hundreds or thousands of phrases."""
+    low, word = F.lower("text"), r"[\p{L}\p{N}_]+"
+    some = table(spark, sf, "documents").where(F.col("doc_id") % 4 == 0).where(low.rlike(rf"^{word} {word}([^\p{{L}}\p{{N}}_]|$)"))
+    words = F.regexp_extract_all(low, F.lit(word), F.lit(0))
+    return [r[0] for r in some.select(F.concat(F.get(words, 0), F.lit(" "), F.get(words, 1))).distinct().collect()]
+
+
+_WITH_PAIR = rf"""
+    SELECT DISTINCT d.doc_id, d.lang FROM documents d JOIN (SELECT DISTINCT phrase FROM ({_PAIRS})) ON contains(lower(d.text), phrase)
+    WHERE regexp_matches(lower(d.text), '(?:^|{_EDGE})' || phrase || '(?:{_EDGE}|$)')"""
+
+
+@query("match_thousand_phrases", _WITH_PAIR)
+def match_thousand_phrases(spark, sf):
+    """Thousands of phrases at one look at the words."""
+    return FL.match_keywords(table(spark, sf, "documents"), None, "text", _pairs(spark, sf)).select("doc_id", "lang")
+
+
+@query("match_phrases_joined", _WITH_PAIR)
+def match_phrases_joined(spark, sf):
+    """More phrases than a constant may hold."""
+    return FL.match_keywords(table(spark, sf, "documents"), None, "text", _pairs(spark, sf), 1, 1).select("doc_id", "lang")
+
+
 @query("time_range", f"SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'")
 def time_range(spark, sf):
     start, end = (F.lit(x).cast("timestamp_ntz") for x in (START, END))
@@ -164,6 +194,28 @@ def expired_jobs(spark, sf):
     return expired.select("job_id", F.lit(True).alias("expired")).unionByName(kept.select("job_id", F.lit(False).alias("expired")))
 
 
+_RUNS_OF_SUPPLIERS = "CASE s_suppkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'processing' END"
+
+
+@query(
+    "expire_files",
+    f"""SELECT CAST(s_suppkey AS VARCHAR) AS job_id, {_RUNS_OF_SUPPLIERS} = 'completed' AS removed, {_RUNS_OF_SUPPLIERS} <> 'completed' AS still_there
+        FROM supplier""",
+)
+def expire_files(spark, sf):
+    """A job for each supplier. Results of completed jobs go once they are a week old, others stay; a repeat removes nothing."""
+    root = new_folder(spark, "results")
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("job_id"), F.expr(_RUNS_OF_SUPPLIERS).alias("status"))
+    rows.coalesce(1).write.partitionBy("job_id").parquet(root)
+    later = F.current_timestamp() + F.expr("INTERVAL 8 DAYS")
+    none = J.expire_files(spark, rows, root).count()
+    gone = J.expire_files(spark, rows, root, as_of=later).select("job_id", F.lit(True).alias("removed"))
+    again = J.expire_files(spark, rows, root, as_of=later).count()
+    there = spark.createDataFrame([(c.removeprefix("job_id="),) for c in children(spark, root) if c.startswith("job_id=")], "job_id string")
+    out = rows.select("job_id").join(gone, "job_id", "left").join(there.withColumn("still_there", F.lit(True)), "job_id", "left").na.fill(False)
+    return out.where(F.lit(none + again == 0))
+
+
 @query(
     "active_jobs",
     sql("jobs", "SELECT user_id, count(*) AS active_jobs FROM jobs WHERE status IN ('pending', 'processing') GROUP BY user_id"),

@@ -13,7 +13,6 @@ from moodquarry.plans.spread import spread
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
 AS_OF = "2024-01-15 12:30:00"
-LEXICON_SIZE = 500
 # Stand-in modifiers that the lexicon leaves out; the others are lexicon words, too, and so modify nothing.
 MERE_MODIFIERS = ["no", "nicht", "pas", "of", "de", "der", "and", "la"]
 # The invented prose has other frequent words than English, so these serve as modifiers.
@@ -199,17 +198,19 @@ def _hex_byte(column: str, at: int):
 _LEXICONS: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
-def lexicons(spark: SparkSession, sf: str, size: int | None = LEXICON_SIZE) -> tuple[DataFrame, DataFrame]:
-    """A sentiment and an emotion lexicon of the most frequent words, or with `size` None of all, with values from their hash."""
-    at = (spark.sparkContext.applicationId, sf, size)
+def hashed_valence(term: str):
+    return ((_hex_byte(term, 1) - 128) / F.lit(32.0)).alias("valence")
+
+
+def lexicons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A sentiment and an emotion lexicon of all words of the documents, with values from their hash."""
+    at = (spark.sparkContext.applicationId, sf)
     if at not in _LEXICONS:
         words = text_table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
-        counts = words.where((F.col("term") != "") & ~F.col("term").isin(MERE_MODIFIERS)).groupBy("term").count()
-        top = counts if size is None else counts.orderBy(F.desc("count"), "term").limit(size)
-        top = settle(top.select("term"))
+        top = settle(words.where((F.col("term") != "") & ~F.col("term").isin(MERE_MODIFIERS)).distinct())
         label = F.element_at(F.array(*[F.lit(e) for e in EMOTIONS]), _hex_byte("term", 3) % 7 + 1)
         _LEXICONS[at] = (
-            top.select("term", ((_hex_byte("term", 1) - 128) / F.lit(32.0)).alias("valence")),
+            top.select("term", hashed_valence("term")),
             top.select("term", label.alias("emotion"), (_hex_byte("term", 5) % 4 + 1).cast("double").alias("weight")),
         )
     return _LEXICONS[at]
@@ -314,7 +315,7 @@ PARTS: dict[str, str] = {
         SELECT l_suppkey AS run_id, l_orderkey * 10 + l_linenumber AS epoch, round(l_discount + l_tax, 2) AS val_loss,
                l_quantity / 100 AS sentiment_acc, l_quantity / 50 AS emotion_acc
         FROM lineitem""",
-    "lex0": f"SELECT w AS term FROM ({ALL_WORDS}) GROUP BY w ORDER BY count(*) DESC, w LIMIT {LEXICON_SIZE}",
+    "lex0": f"SELECT DISTINCT w AS term FROM ({ALL_WORDS})",
     "lexicon": f"SELECT term, CAST(({sql_hex('term', 1)} - 128) / 32.0 AS DOUBLE) AS valence FROM lex0",
     "emolex": f"""
         SELECT term, list_extract([{', '.join(f"'{e}'" for e in EMOTIONS)}], {sql_hex('term', 3)} % 7 + 1) AS emotion,
