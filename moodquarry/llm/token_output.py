@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodquarry.llm.packing import CAPACITY, token_pieces
+from moodquarry.llm.tables import keep
 
 GROUP_CHARS = 16 << 20  # characters whose ids one task packs together
 MATRIX_ROWS = 64
+MOST_EQUAL = 1000  # equal rows that are dealt together
 
 MATRIX = (
     "matrix_id bigint, n_rows int, n_cols int, ids binary, cu_seqlens array<int>, position_resets array<int>, "
@@ -67,6 +69,26 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
+def _dealt(rows: DataFrame, group_chars: int) -> DataFrame:
+    """`rows` (id, text) with a `group` of about `group_chars` characters that depends on the row's content alone.
+
+    So a task that is run again deals its rows as before, whatever order they come in, and none is lost or doubled. Rows that are there
+    more than `MOST_EQUAL` times are counted, and their copies dealt over groups by number.
+    """
+    hashed = rows.withColumn("hash", F.xxhash64("id", "text"))
+    sizes = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("chars"))
+    sizes = keep(sizes, "row_sizes")
+    chars = sizes.agg(F.sum("chars")).first()[0] or 1
+    groups = F.lit(-(-chars // group_chars))
+    hot = sizes.filter(F.col("n") > MOST_EQUAL).select("hash")
+    if hot.isEmpty():
+        return hashed.withColumn("group", F.pmod("hash", groups)).drop("hash")
+    copies = hashed.join(hot, "hash", "left_semi").groupBy("hash", "id", "text").agg(F.count(F.lit(1)).alias("n"))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    dealt = copies.select("id", "text", F.pmod(F.xxhash64("hash", "copy"), groups).alias("group"))
+    return hashed.join(hot, "hash", "left_anti").withColumn("group", F.pmod("hash", groups)).drop("hash").unionByName(dealt)
+
+
 def packed_matrices(
     df: DataFrame, id_col: str, text: str, path: str, end_id: int, pad_id: int = 0, capacity: int = CAPACITY,
     matrix_rows: int = MATRIX_ROWS, dtype: str = "<u2", group_chars: int = GROUP_CHARS,
@@ -83,9 +105,7 @@ def packed_matrices(
     `dtype` cannot hold are an error. No row gives no row. Columns beside the id and the text are not read.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    chars = rows.select(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 1
-    groups = -(-chars // group_chars)
-    salted = rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    salted = _dealt(rows, group_chars)
     pieces = token_pieces(salted, "text", path, end_id, capacity, ("id", "group"), ids=True).drop("ids_crc32")
 
     def build(group: pa.Table) -> pa.Table:
@@ -114,8 +134,3 @@ def packed_matrices(
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), ARROW)], MATRIX_NAMES)
 
     return pieces.groupBy("group").applyInArrow(build, MATRIX)
-
-
-def write_matrices(matrices: DataFrame, path: str) -> None:
-    """The matrices as Parquet files with a binary column, which any store takes and a retried task replaces whole."""
-    matrices.write.parquet(path)

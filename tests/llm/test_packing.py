@@ -3,11 +3,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from moodquarry.llm.packing import pack, pack_documents, packing_order, sum_of_squares
 from moodquarry.llm.tables import keep
-from moodquarry.llm.token_output import GapTree, best_fit_decreasing, packed_matrices
+from moodquarry.llm.token_output import GapTree, _dealt, best_fit_decreasing, packed_matrices
 from moodquarry.llm.tokens import WordTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -139,3 +140,31 @@ def test_large_ids_beside_a_null_id(frame):
     assert {r.doc_id for r in pack_documents(docs, "doc_id", "text", PATH, 1).collect()} == {*large, None}
     named = [d for m in packed_matrices(docs, "doc_id", "text", PATH, 1).collect() for d, p in zip(m.doc_ids, m.pieces) if p is not None]
     assert len(named) == 4 and set(named) == {*large, None}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_decreasing_by_definition(seed):
+    rng = np.random.default_rng(seed)
+    lengths, capacity = rng.integers(1, 31, 200), 30
+    bins, offsets = best_fit_decreasing(lengths, capacity)
+    fill = []
+    for i in np.argsort(-lengths, kind="stable"):
+        fits = [k for k in range(len(fill)) if fill[k] + lengths[i] <= capacity]
+        least = min((capacity - fill[k] for k in fits), default=None)
+        if least is None:
+            assert bins[i] == len(fill) and offsets[i] == 0
+            fill.append(0)
+        else:  # any of the open bins with the least gap
+            assert capacity - fill[bins[i]] == least and offsets[i] == fill[bins[i]]
+        fill[bins[i]] += lengths[i]
+
+
+def test_rows_are_dealt_by_content(spark, frame):
+    rows = [(i, f"text {i} " * (i % 5)) for i in range(300)] + [(7, "the same")] * 3500 + [(None, None)] * 1200
+    df = frame("id bigint, text string", rows)
+    group = lambda d: sorted(map(str, _dealt(d, 2000).collect()))
+    first = group(df)
+    assert first == group(df.repartition(5)) == group(df.orderBy(F.desc("text")))
+    assert len(first) == len(rows)
+    of_copies = _dealt(df, 2000).filter("id = 7 AND text = 'the same'").groupBy("group").count().collect()
+    assert len(of_copies) > 5 and max(r["count"] for r in of_copies) < 1500
