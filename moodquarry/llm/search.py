@@ -18,7 +18,7 @@ PAGE_ROWS = 4096  # vectors of a page, about
 FANOUT = 32  # entries of an inner node
 LEAF = 256  # vectors of a leaf
 QUERY_BLOCK = 4096  # queries that meet a page in one task
-_SLACK = 1e-6  # of rounding in distances, so that a bound never hides an equal score
+_LONG = (1 << 63) - 1
 
 
 class Metric:
@@ -30,15 +30,25 @@ class Metric:
 
     def __init__(self, most: int):
         self.most = most
+        # Whole numbers of 64 bits hold what is computed here, or else Python's own do; doubles hold products up to 2 ** 53.
+        self.whole = np.int64 if most < 1 << 60 else object
+        # Of rounding in distances, so that a bound never hides an equal score.
+        self.slack = 1e-6 + 1e-12 * float(most) ** 0.5
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(self.most - (x * x).sum(axis=1), 0).astype(float))
 
     def between(self, x: np.ndarray, lift: np.ndarray, y: np.ndarray, y_lift: float) -> np.ndarray:
-        return np.sqrt(((x - y) ** 2).sum(axis=1) + (lift - y_lift) ** 2)
+        return np.sqrt(((x - y) ** 2).sum(axis=1).astype(float) + (lift - y_lift) ** 2)
 
     def of_score(self, norm: int, score):
-        return np.sqrt(np.maximum(norm + self.most - 2 * np.asarray(score), 0))
+        return np.sqrt(np.maximum(norm + self.most - 2 * np.asarray(score), 0).astype(float)) if np.ndim(score) else max(0, norm + self.most - 2 * score) ** 0.5
+
+    def matrix(self, lists, width: int) -> np.ndarray:
+        out = np.zeros((len(lists), width), self.whole)
+        for i, row in enumerate(lists):
+            out[i, : len(row)] = row if self.whole is not object else [int(v) for v in row]
+        return out
 
 
 class Tree:
@@ -83,7 +93,7 @@ class Tree:
         norm, asked = int(vector @ vector), vector.astype(self.exact.dtype)
         heap = list(best)
         heapq.heapify(heap)
-        limit = float(self.metric.of_score(norm, heap[0][0])) + _SLACK if len(heap) == k else np.inf
+        limit = float(self.metric.of_score(norm, heap[0][0])) + self.metric.slack if len(heap) == k else np.inf
         top = float(self.metric.of_score(norm, int(vector @ self.vectors[0])))
         queue = [(max(0.0, top - self.root_radius), 0, self.root, top)]
         pushed = 0
@@ -102,7 +112,7 @@ class Tree:
                     least = np.partition(scores, -k - 1)[-k - 1]
                     good = np.flatnonzero(scores >= (max(least, heap[0][0]) if len(heap) == k else least))
                     near, scores = near[good], scores[good]
-                for i, score in zip(near.tolist(), scores.astype(np.int64).tolist()):
+                for i, score in zip(near.tolist(), map(int, scores.tolist())):
                     for one in self.ids[rows[i]]:
                         if one == query:
                             continue
@@ -113,7 +123,7 @@ class Tree:
                         else:
                             break  # the ids of a vector rise
                 if len(heap) == k:
-                    limit = float(self.metric.of_score(norm, heap[0][0])) + _SLACK
+                    limit = float(self.metric.of_score(norm, heap[0][0])) + self.metric.slack
                 continue
             there = self.metric.of_score(norm, scores)
             lower = np.maximum(there - radii[near], bound)
@@ -131,20 +141,13 @@ def quantised(vector: str | Column, scale: int = SCALE) -> Column:
     return F.when(whole, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
-def _matrix(lists, width: int) -> np.ndarray:
-    out = np.zeros((len(lists), width), np.int64)
-    for i, row in enumerate(lists):
-        out[i, : len(row)] = row
-    return out
-
-
 def _near(rows: DataFrame, pivots: np.ndarray, metric: Metric) -> DataFrame:
     """`rows` (v, ids) with the nearest pivot and the distance to it."""
     width, lifts = pivots.shape[1], metric.lift(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("v").to_pylist(), width)
+            x = metric.matrix(batch.column("v").to_pylist(), width)
             lift, best, at = metric.lift(x), np.full(len(x), np.inf), np.zeros(len(x), np.int64)
             for k, (p, p_lift) in enumerate(zip(pivots, lifts)):
                 there = metric.between(x, lift, p, p_lift)
@@ -172,24 +175,26 @@ def top_inner_products(
     query first searches one page of its own pivot, which gives a score to beat; then all pages of each pivot whose covering radius
     lets it hold as good a score. Queries meet a page in blocks of `query_block`.
 
+    Components may have any finite size; those beyond 64 bits once multiplied count as the largest number of 64 bits, and so do scores.
+
     Vectors that are null or hold a null, NaN or infinity take no part; shorter ones count as if they went on with zeros. Rows with a
     null id take no part. A query id on several rows gets the answers of each distinct vector. With fewer than k other rows all are
     returned; without any vector no row is.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), quantised(vector, scale).alias("v"), is_query.alias("ask"))
     rows = keep(rows.filter("id is not null and v is not null"), "vectors")
-    norm = F.aggregate("v", F.lit(0).cast("bigint"), lambda s, x: s + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     total, width, most = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(norm)).first()
     spark = df.sparkSession
     if not total:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    metric, width = Metric(most), max(width, 1)
+    metric, width = Metric(int(most) if most < 1 << 52 else int(most * (1 + 1e-9))), max(width, 1)
 
     first = Window.partitionBy("v").orderBy("id")
     kept = rows.select("v", "id").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
     points = keep(kept.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "points")
     wanted = min(max_pivots, -(-points.count() * 2 // page_rows))
-    pivots = _matrix([r.v for r in points.orderBy(F.xxhash64("v"), "v").limit(wanted).select("v").collect()], width)
+    pivots = metric.matrix([r.v for r in points.orderBy(F.xxhash64("v"), "v").limit(wanted).select("v").collect()], width)
     placed = keep(_near(points, pivots, metric), "placed")
     tops = {r.pivot: (r.n, r.radius) for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
     pages = np.array([max(1, -(-tops.get(p, (0, 0.0))[0] // page_rows)) for p in range(len(pivots))])
@@ -201,7 +206,7 @@ def top_inner_products(
     paged = placed.select("v", "ids", (own["start"] + F.pmod(F.xxhash64("v"), own["n"])).alias("page"))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree([list(map(int, i)) for i in group["ids"]], _matrix(group["v"].tolist(), width), metric)
+        tree = Tree([list(map(int, i)) for i in group["ids"]], metric.matrix(group["v"].tolist(), width), metric)
         return pd.DataFrame({"page": [int(group["page"].iloc[0])], "tree": [pickle.dumps(tree, protocol=5)]})
 
     trees = keep(paged.groupBy("page").applyInPandas(build, "page bigint, tree binary"), "trees")
@@ -212,20 +217,20 @@ def top_inner_products(
 
     def first_page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("v").to_pylist(), width)
+            x = metric.matrix(batch.column("v").to_pylist(), width)
             lift = metric.lift(x)
             near = np.array([metric.between(pivots, lifts, one, own_lift).argmin() for one, own_lift in zip(x, lift)], np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts[near])], [*batch.schema.names, "page"])
 
     def other_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("v").to_pylist(), width)
+            x = metric.matrix(batch.column("v").to_pylist(), width)
             found, done = batch.column("best").to_pylist(), batch.column("page").to_pylist()
             of, page = [], []
             for i, one in enumerate(x):
                 norm = int(one @ one)
                 there = metric.of_score(norm, pivots @ one)
-                limit = metric.of_score(norm, min(b["score"] for b in found[i])) + _SLACK if len(found[i]) == k else np.inf
+                limit = metric.of_score(norm, min(b["score"] for b in found[i])) + metric.slack if len(found[i]) == k else np.inf
                 some = [q for p in np.flatnonzero((there - radii <= limit) & (radii >= 0)) for q in range(starts[p], starts[p] + pages[p]) if q != done[i]]
                 of.extend([i] * len(some))
                 page.extend(some)
@@ -239,9 +244,9 @@ def top_inner_products(
         if len(pages_) and len(queries):
             tree = pickle.loads(pages_["tree"].iloc[0])
             known = queries["best"] if "best" in queries else [[]] * len(queries)
-            for no, query, v, best in zip(queries["no"], queries["id"], _matrix(queries["v"].tolist(), width), known):
+            for no, query, v, best in zip(queries["no"], queries["id"], metric.matrix(queries["v"].tolist(), width), known):
                 start = [(int(b["score"]), -int(b["vec_id"])) for b in best]
-                out.extend((no, query, -one, score) for score, one in set(tree.search(int(query), v, k, start)) - set(start))
+                out.extend((no, query, -one, max(-_LONG, min(score, _LONG))) for score, one in set(tree.search(int(query), v, k, start)) - set(start))
         return pd.DataFrame(out, columns=["no", "query_id", "vec_id", "score"])
 
     def meet(queries: DataFrame) -> DataFrame:

@@ -65,3 +65,17 @@ def test_bounds_spare_distances():
     best = sorted(((s, -i) for s, i in zip((x @ x[17]).tolist(), range(len(x))) if i != 17), reverse=True)[:5]
     assert sorted(tree.search(17, x[17], 5, []), reverse=True) == best
     assert tree.exact.n < len(x) / 2
+
+
+def test_large_finite_components(frame):
+    """Far beyond what products in 64 bits hold, where the scores themselves fit, and saturated where they do not."""
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** int(rng.integers(0, 6))).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(100 + i, [1e8 * (i - 2), 0.0, 1.0]) for i in range(6)] + [(200, [0.0, 5e6, -5e6]), (205, [0.0, 4e6, 1e6])]
+    df = frame("vec_id bigint, embedding array<float>", rows)
+    most = (1 << 63) - 1
+    want = [(q, r, i, max(-most, min(s, most))) for q, r, i, s in by_brute_force(rows, 5)]
+    assert {(q, s) for q, _, _, s in result(df, page_rows=8)} == {(q, s) for q, _, _, s in want}
+    huge = frame("vec_id bigint, embedding array<float>", [(0, [3e38, 1.0]), (1, [3e38, 0.0]), (2, [-3e38, 0.0]), (5, [0.0, 1.0])])
+    got = {(q, i): s for q, _, i, s in result(huge)}
+    assert got[0, 1] == most and got[0, 2] == -most and got[0, 5] == 65536 and got[5, 0] == 65536
