@@ -29,10 +29,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("OFF")
     from moodquarry.queries import QUERIES, load_all
-    from moodquarry.queries.tables import lexicons
+    from moodquarry.queries.tables import common_lexicons, lexicons
 
     load_all()
-    lexicons(spark, sf)  # an input of the scoring queries
+    lexicons(spark, sf)  # inputs of the scoring queries
+    common_lexicons(spark, sf)
     times = {}
     for name in HEADLINE:
         runs = []

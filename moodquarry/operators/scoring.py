@@ -193,12 +193,12 @@ def _term_lookup(df: DataFrame, terms: DataFrame, value: str, max_literal: int)
         return df, lookup, most
     if df.isStreaming:
         raise ValueError(f"a lexicon of over {max_literal} terms is joined, which a stream does batch by batch: use streaming.control.start_fan_out")
-    df = df.withColumn("_h", _text_key(F.md5("_clean")))
-    texts = df.select("_h", "_lows").dropDuplicates(["_h"])
-    words = texts.select("_h", F.explode(F.array_distinct(_grams(F.col("_lows"), most))).alias("_low"))
+    df = df.withColumn("_text_hash", _text_key(F.md5("_clean")))
+    texts = df.select("_text_hash", "_lows").dropDuplicates(["_text_hash"])
+    words = texts.select("_text_hash", F.explode(F.array_distinct(_grams(F.col("_lows"), most))).alias("_low"))
     found = lookup_join(words, terms, "_low", "inner")
-    maps = found.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("_low", value))).alias("_known"))
-    return hot_join(df, maps, "_h").drop("_h"), lambda w: F.col("_known")[w], most
+    maps = found.groupBy("_text_hash").agg(F.map_from_entries(F.collect_list(F.struct("_low", value))).alias("_known"))
+    return hot_join(df, maps, "_text_hash").drop("_text_hash"), lambda w: F.col("_known")[w], most
 
 
 def _end(places: Column) -> Column:

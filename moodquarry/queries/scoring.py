@@ -6,7 +6,7 @@ from moodquarry.functions.labels import EMOTIONS
 from moodquarry.operators import scoring as S
 from moodquarry.queries import query
 from moodquarry.queries.tables import (
-    ALL_WORDS, AS_OF, PARTS, STAND_IN_RULES, lexicons, posts_of, r6, sql, sql_clean, sql_label, sql_list, stamp, table, text_table,
+    ALL_WORDS, AS_OF, COMMON_WORDS, PARTS, STAND_IN_RULES, common_lexicons, lexicons, posts_of, r6, sql, sql_clean, sql_label, sql_list, stamp, table, text_table,
 )
 
 _PLAIN = "translate(clean, '‘’ʼ＇', '" + "'" * 8 + "')"
@@ -243,15 +243,15 @@ def _emotion_columns(df):
 @query(
     "score_posts",
     sql(
-        "posts lexicon",
+        "posts",
         "SELECT key AS id, sentiment, compound, pos, neg, neu, confidence FROM sentiments",
-        **_sentiment_parts("posts", "id"),
+        lex0=COMMON_WORDS, lexicon=PARTS["lexicon"], **_sentiment_parts("posts", "id"),
     ),
 )
 def score_posts(spark, sf):
-    """Many short texts."""
+    """Many short texts, with a lexicon of common words inside the row."""
     short = posts_of(text_table(spark, sf, "events"))
-    return S.score_sentiment(short, "id", "text", lexicons(spark, sf)[0], rules=STAND_IN_RULES)
+    return S.score_sentiment(short, "id", "text", common_lexicons(spark, sf)[0], rules=STAND_IN_RULES)
 
 
 @query("score_emotion", sql("emolex", _EMOTION, **_emotion_parts("documents", "doc_id")))

@@ -8,7 +8,7 @@ from moodquarry.plans.scratch import children, new_folder
 from moodquarry.queries import query
 from moodquarry.queries.aggregates import LABEL_COUNTS, _LABELS
 from moodquarry.queries.scoring import _both_sql, _emotion_parts, _sentiment_parts
-from moodquarry.queries.tables import ALL_WORDS, PARTS, STAND_IN_RULES, lexicons, ntz, posts, posts_of, r6, sql, stream, table, text_table
+from moodquarry.queries.tables import COMMON_WORDS, PARTS, STAND_IN_RULES, common_lexicons, lexicons, ntz, posts, posts_of, r6, sql, stream, table
 from moodquarry.sinks.batches import Counts, make_batch_writer, parquet_sink, table_sink
 from moodquarry.sources.messages import message_posts, read_message_stream
 from moodquarry.sources.search_pages import PAGE_SCHEMA, flatten_search_pages
@@ -90,26 +90,20 @@ def score_stream(spark, sf):
     return _score_rows(spark.read.parquet(f"{root}/scored"))
 
 
-_COMMON = """SELECT w AS term FROM (""" + ALL_WORDS + """) GROUP BY w HAVING count(*) >= 20"""
-
-
 @query(
     "score_stream_in_row",
     sql(
         "",
         """SELECT t.id, sentiment, compound AS compound_score, primary_emotion, round(emotion_confidence, 6) AS confidence
            FROM turns t JOIN sentiments s ON s.key = t.id JOIN emotions e ON e.key = t.id""",
-        lex0=_COMMON, lexicon=PARTS["lexicon"], emolex=PARTS["emolex"], turns="SELECT conv_id || '.' || turn AS id, text FROM conversations",
+        lex0=COMMON_WORDS, lexicon=PARTS["lexicon"], emolex=PARTS["emolex"], turns="SELECT conv_id || '.' || turn AS id, text FROM conversations",
         **_sentiment_parts("turns", "id"), **_emotion_parts("turns", "id", words=False),
     ),
 )
 def score_stream_in_row(spark, sf):
     """A lexicon of common words is a constant of the stream itself, which keeps no state and moves no row."""
     root = new_folder(spark, "scored")
-    words = text_table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
-    common = words.groupBy("term").count().where("count >= 20").select("term")
-    both = tuple(x.join(common, "term", "left_semi") for x in lexicons(spark, sf))
-    scored = P.score_stream(_turn_posts(stream(spark, sf, "conversations")), both, rules=STAND_IN_RULES)
+    scored = P.score_stream(_turn_posts(stream(spark, sf, "conversations")), common_lexicons(spark, sf), rules=STAND_IN_RULES)
     _end(C.start_files(scored, "score_stream_in_row", f"{root}/out", None, f"{root}/state", ["source"]))
     return _score_rows(spark.read.parquet(f"{root}/out"))
 

@@ -216,6 +216,19 @@ def lexicons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return _LEXICONS[at]
 
 
+COMMON = 20  # occurrences of a common word at least
+
+
+def common_lexicons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Those of `lexicons` for words that are common in the documents: some thousands, as published lexicons have."""
+    at = (spark.sparkContext.applicationId, sf, "common")
+    if at not in _LEXICONS:
+        words = text_table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
+        common = settle(words.groupBy("term").count().where(F.col("count") >= COMMON).select("term"))
+        _LEXICONS[at] = tuple(settle(x.join(common, "term", "left_semi")) for x in lexicons(spark, sf))
+    return _LEXICONS[at]
+
+
 # ---- the same as SQL -------------------------------------------------------------------------
 
 SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -257,6 +270,8 @@ ALL_WORDS = rf"""
     SELECT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{{L}}]+')) AS w FROM documents)
     WHERE w <> '' AND w NOT IN {sql_list(MERE_MODIFIERS)}"""
 
+COMMON_WORDS = f"SELECT w AS term FROM ({ALL_WORDS}) GROUP BY w HAVING count(*) >= {COMMON}"
+
 PARTS: dict[str, str] = {
     "posts0": "SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events",
     "posts": f"""
