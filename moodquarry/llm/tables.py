@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from moodquarry.plans.scratch import new_folder
+from moodquarry.plans.scratch import new_folder, remove
 
 _KEPT: list[str] = []
 
@@ -26,13 +26,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def forget(spark: SparkSession) -> None:
-    """Remove all kept tables; call it when no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    for folder in _KEPT:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _KEPT.clear()
+def kept() -> list[str]:
+    """Folders of the tables that are kept now."""
+    return list(_KEPT)
+
+
+def forget(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Remove these kept tables, or all; call it when no result that reads them is needed any more."""
+    for folder in kept() if folders is None else folders:
+        if folder in _KEPT:
+            remove(spark, folder)
+            _KEPT.remove(folder)
 
 
 def tidy(fn: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
