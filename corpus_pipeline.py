@@ -9,7 +9,7 @@ from moodquarry.llm.mixing import mixed_rows, words
 from moodquarry.llm.packing import pack_documents
 from moodquarry.llm.simhash import without_near_duplicates
 from moodquarry.llm.substrings import without_repeats
-from moodquarry.llm.tables import keep
+from moodquarry.llm.tables import forget, keep, kept
 
 LEAST_SEEN = 0.5  # at scale 0.01, 300 Latin letters drawn by chance have up to 0.22 of their units known, a document 0.97 or more
 
@@ -48,7 +48,24 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
-STAGES = [
+_made: dict[str, list[str]] = {}  # tables that the stage before kept for its result, by its name
+
+
+def _after(before: str | None, name: str, fn):
+    """Stage `name`: what the stage `before` kept for its result goes, as that is written by now."""
+
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if before is not None:
+            forget(spark, _made.pop(before, []))
+        earlier = set(kept())
+        out = fn(spark, docs, sf_dir)
+        _made[name] = [folder for folder in kept() if folder not in earlier]
+        return out
+
+    return stage
+
+
+_ORDER = [
     ("language_id", language_stage),
     ("simhash_near_dedup", simhash_stage),
     ("substring_dedup", substring_stage),
@@ -56,6 +73,8 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
+STAGES = [(name, _after(_ORDER[i - 1][0] if i else None, name, fn)) for i, (name, fn) in enumerate(_ORDER)]
+
 ORACLE_SQL = None  # hyperdimensional profiles, BPE and packing are beyond SQL; tests/llm checks each stage
 
 
