@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodquarry.plans.lookup import MAX_LITERAL_ROWS, constant_lookup, lookup_join
+from moodquarry.plans.lookup import MAX_LITERAL_ROWS, constant_lookup, lookup_join, may_have
 from moodquarry.plans.skew import hot_join
 
 # Up to this many keywords one pattern is tried on each text; more are looked up by their first words.
@@ -76,8 +76,8 @@ def match_keywords(
     """Rows whose text has one of the keywords, words or phrases, as a whole, in any case; no keyword, no row.
 
     A few keywords make one pattern. Many are known by their first word: each text is looked at once, word by word, and only where a
-    first word stands its phrases are compared, so ten thousand phrases cost a lookup for each word. More than a constant can hold are
-    joined to the distinct texts by their first words, and then compared in the same way. All ways give the same rows; no key
+    first word stands its phrases are compared, so ten thousand phrases cost a lookup for each word. Of more than a constant can hold,
+    a text's stretches of as many words are joined to them, those that their hash does not rule out. All ways give the same rows; no key
     is needed, and null and repeated ones change nothing.
     """
     wanted = sorted({k.lower() for k in keywords})
@@ -99,17 +99,40 @@ def match_keywords(
         for p in known:
             index.setdefault(p["first"], []).append(p)
         return df.where(other | _has_phrase(low, constant_lookup(index, f"array<{_PHRASE}>")))
-    rows = [(p["first"], p["lead"], p["core"], p["tail"], p["n"]) for p in known]
-    table = df.sparkSession.createDataFrame(rows, "first string, lead string, core string, tail string, n int")
-    by_first = table.groupBy("first").agg(F.collect_list(F.struct("first", "lead", "core", "tail", "n")).alias("_some"))
-    hashed = df.withColumn("_h", F.coalesce(F.md5(text), F.lit("")))
-    texts = hashed.select("_h", low.alias("_low")).dropDuplicates(["_h"])
-    words = texts.select("_h", F.explode(F.array_distinct(F.split("_low", _EDGE))).alias("first"))
-    found = lookup_join(words, by_first, "first", "inner").groupBy("_h").agg(F.flatten(F.collect_list("_some")).alias("_some"))
-    # The phrases of the words that a text has, as many as fit it.
-    have = hot_join(hashed, found, "_h")
-    of_word = lambda w: F.filter("_some", lambda p: p["first"] == w)
-    return have.where(other | F.coalesce(F.col("_some").isNotNull() & _has_phrase(low, of_word), F.lit(False))).select(*df.columns)
+    rows = [(p["core"], p["lead"], p["tail"]) for p in known]
+    table = df.sparkSession.createDataFrame(rows, "core string, lead string, tail string")
+    # Texts stay where they are; only what may be a phrase goes to the phrases, with the hash of its text.
+    hashed = df.withColumns({"_h": F.coalesce(F.unhex(F.md5(text)), F.lit("").cast("binary")), "_other": other})
+    sizes, may_be = sorted({p["n"] for p in known}), may_have(table, "core")
+    hits = hashed.select("_h", F.explode(_stretches(low, sizes, may_be)).alias("_s")).select("_h", "_s.*")
+    by_core = table.groupBy("core").agg(F.collect_list(F.struct("lead", "tail")).alias("_ends"))
+    found = lookup_join(hits, by_core, "core", "inner").where(F.exists("_ends", _ends_fit)).select("_h").distinct()
+    have = hot_join(hashed, found.withColumn("_has", F.lit(True)), "_h")
+    return have.where(F.coalesce(F.col("_other"), F.lit(False)) | F.coalesce(F.col("_has"), F.lit(False))).select(*df.columns)
+
+
+def _stretches(text: Column, sizes: list[int], may_be: Callable[[Column], Column]) -> Column:
+    """Distinct stretches of some numbers of runs that pass a test, with the runs before and after them and whether these are the text's ends."""
+    runs = F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0))
+
+    def of(t: Column, n: int) -> Column:
+        cores = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(t, i + 1, n), "").alias("core")))
+        some = F.filter(F.when(F.size(t) >= n, cores), lambda s: may_be(s["core"]))
+        return F.transform(some, lambda s: F.struct(
+            s["core"], F.get(t, s["i"] - 1).alias("before"), F.get(t, s["i"] + n).alias("after"),
+            (s["i"] == 1).alias("early"), (s["i"] + n == F.size(t) - 1).alias("late"),
+        ))
+
+    every = lambda t: F.array_distinct(F.flatten(F.array_compact(F.array(*(of(t, n) for n in sizes)))))
+    return F.get(F.transform(F.array(runs), every), F.lit(0))  # one lambda holds the runs, so they are made once
+
+
+def _ends_fit(p: Column) -> Column:
+    """Whether a stretch stands between what a phrase has before its first and after its last word, and nothing of a word touches these."""
+    lead, tail, before, after = p["lead"], p["tail"], F.col("before"), F.col("after")
+    leads = (lead == "") | (before.endswith(lead) & ((F.length(before) > F.length(lead)) | F.col("early")))
+    tails = (tail == "") | (after.startswith(tail) & ((F.length(after) > F.length(tail)) | F.col("late")))
+    return F.coalesce(leads & tails, F.lit(False))
 
 
 def time_range(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
