@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodquarry.plans.scratch import make_folder, remove
+from moodquarry.plans.scratch import make_folder, remove_all
 from moodquarry.plans.session import settle
 
 # Job states, days to keep records and files, columns of the run tables.
@@ -57,8 +57,7 @@ def expire_files(spark: SparkSession, jobs: DataFrame, root: str, days: int = KE
     done = jobs.where(F.col("status") == COMPLETED).select(F.col("job_id").cast("string").alias("job_id")).distinct()
     old = folders.where(F.col("newest") < _now(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")).join(done, "job_id", "left_semi")
     gone = settle(old.select("job_id", "files", "bytes"))
-    for r in gone.select("job_id").toLocalIterator():  # a name for each folder that goes
-        remove(spark, f"{root}/job_id={r.job_id}")
+    remove_all(spark, (f"{root}/job_id={r.job_id}" for r in gone.select("job_id").toLocalIterator()))  # a name for each folder that goes
     return gone
 
 
