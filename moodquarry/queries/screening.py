@@ -206,7 +206,9 @@ def expire_files(spark, sf):
     """A job for each supplier. Results of completed jobs go once they are a week old, others stay; a repeat removes nothing."""
     root = new_folder(spark, "results")
     rows = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("job_id"), F.expr(_RUNS_OF_SUPPLIERS).alias("status"))
-    rows.coalesce(1).write.partitionBy("job_id").parquet(root)
+    # Many tasks write the folders, each its own, and put them in place themselves.
+    tasks = rows.repartition(spark.sparkContext.defaultParallelism, "job_id")
+    tasks.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("job_id").parquet(root)
     later = F.current_timestamp() + F.expr("INTERVAL 8 DAYS")
     none = J.expire_files(spark, rows, root).count()
     gone = J.expire_files(spark, rows, root, as_of=later).select("job_id", F.lit(True).alias("removed"))
