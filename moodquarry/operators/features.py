@@ -21,7 +21,8 @@ STOP_WORDS = [
 
 def tokenize(c: Column | str, stop: list[str] | None = None, lower: bool = True) -> Column:
     """Words of the cleaned text; `stop` names words to leave out."""
-    words = F.filter(F.split(clean_for_tokens(c, lower), " "), lambda w: w != "")
+    # Single blanks part the words, so only a text without any has an empty one, and the array ends there.
+    words = F.array_remove(F.split(clean_for_tokens(c, lower), " "), "")
     return words if not stop else F.filter(words, lambda w: ~w.isin(stop))
 
 
