@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -67,12 +67,15 @@ def train_two_heads(
     heads = HEADS
     need = ["text", *heads]
     train, val = (df.select(*need).na.drop().where(F.col("sentiment").isin(SENTIMENTS) & F.col("emotion").isin(EMOTIONS)) for df in (train, val))
-    # Words are counted once: the weights of the counts and both heads read what is kept.
-    counting = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
-    counted = counting.transform(train.withColumn("_tokens", tokenize("text"))).drop("text", "_tokens")
-    counted = counted.withColumns({f"{h}_label": _position(h, labels) for h, labels in heads.items()}).persist()
-    weighting = IDF(inputCol="_tf", outputCol="_features", minDocFreq=2).fit(counted)
-    features, rows = PipelineModel([counting, weighting]), weighting.transform(counted).drop("_tf")
+    steps = Pipeline(
+        stages=[
+            HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
+            IDF(inputCol="_tf", outputCol="_features", minDocFreq=2),
+        ]
+    )
+    features = steps.fit(train.withColumn("_tokens", tokenize("text")))
+    rows = _with_features(features, train).drop("text")
+    rows = rows.withColumns({f"{h}_label": _position(h, labels) for h, labels in heads.items()}).persist()
     held = _with_features(features, val).drop("text").persist()
     best, history = None, []
     try:
@@ -92,7 +95,7 @@ def train_two_heads(
             if best is None or (metrics["val_loss"] is not None and (best[0] is None or metrics["val_loss"] < best[0])):
                 best = (metrics["val_loss"], fitted)
     finally:
-        counted.unpersist()
+        rows.unpersist()
         held.unpersist()
     return TwoHeads(features, best[1]["sentiment"], best[1]["emotion"], history)
 
