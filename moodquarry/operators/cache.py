@@ -61,13 +61,14 @@ def score_through_cache(
     """All rows with cache_key, the cache's columns and from_cache; texts that the cache does not have are scored once and added to it.
 
     Distinct texts are cleaned once and settled. They come to the cache's buckets; the cache itself stays where it is. Rows of a hot text are split
-    over tasks. Null and empty texts are one text. `scorer(texts, key, text)` returns the key and the cache's columns.
+    over tasks. Null and empty texts are one text. `scorer(texts, key, text)` gets cleaned texts and returns the key and the cache's columns.
     """
     keyed = df.withColumn("_clean", clean_text(text, None))
     keyed = keyed.withColumn("cache_key", F.coalesce(cache_key("_clean", kind), F.lit("")))
-    texts = settle(keyed.groupBy("cache_key").agg(F.any_value("_clean").alias("_clean")))
+    texts = settle(keyed.groupBy("cache_key").agg(F.any_value("_clean").alias("_clean"), F.count(F.lit(1)).alias("_n")))
     hits = settle(texts.select("cache_key").join(cache.fresh(as_of, ttl_seconds), "cache_key"))
-    scored = settle(scorer(texts.join(hits, "cache_key", "left_anti"), "cache_key", "_clean").select("cache_key", *cache.columns))
+    missing = settle(texts.drop("_n").join(hits.select("cache_key"), "cache_key", "left_anti"))
+    scored = settle(scorer(missing, "cache_key", "_clean").select("cache_key", *cache.columns))
     cache.add(scored, as_of)
     known = hits.withColumn("from_cache", F.lit(True)).unionByName(scored.withColumn("from_cache", F.lit(False)))
-    return hot_join(keyed.drop("_clean"), known, "cache_key")
+    return hot_join(keyed.drop("_clean"), known, "cache_key", counts=texts.select("cache_key", "_n"))
