@@ -14,7 +14,8 @@ def score_stream(df: DataFrame, lexicons: tuple[DataFrame, DataFrame], **options
     """Posts with their scores, in the columns of SCORED that apply.
 
     Lexicons small enough to be constants make this a stateless projection, so it runs on a stream
-    as on a table. Larger ones are joined, which a stream does batch by batch: `control.start_fan_out` takes lexicons of any size.
+    as on a table. Larger ones are joined, which a stream does batch by batch: `control.start_fan_out` takes lexicons of any size. With
+    `in_row` every task knows larger ones, too, as long as a worker's memory holds them, and the projection stays one.
     """
     scored = score_guarded(df, "text", lexicons, **options)
     return scored.select(*[f.name for f in SCORED.fields if f.name in scored.columns])
