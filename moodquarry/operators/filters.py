@@ -2,15 +2,26 @@
 
 import re
 from collections.abc import Callable
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodquarry.plans.lookup import MAX_LITERAL_ROWS, constant_lookup, lookup_join, may_have
+from moodquarry.operators import phrase_rules, word_rules
+from moodquarry.plans.lookup import lookup_join, may_have
 from moodquarry.plans.skew import hot_join
 
-# Up to this many keywords one pattern is tried on each text; more are looked up by their first words.
+# Their code goes along to the tasks, which need not have this library.
+for _rules in (phrase_rules, word_rules):
+    cloudpickle.register_pickle_by_value(_rules)
+
+# Up to this many keywords one pattern is tried on each text; more are looked up by the hash of their words.
 MAX_PATTERN_KEYWORDS = 50
+# Up to this many, every task knows them all, by some hundred bytes each; more are joined.
+MAX_KNOWN_KEYWORDS = 2_000_000
 
 
 def originals_only(df: DataFrame, references: str, kinds: list[str] | None = None) -> DataFrame:
@@ -30,7 +41,6 @@ def match_language(df: DataFrame, languages: list[str], column: str = "lang") ->
 
 _EDGE = r"[^\p{L}\p{N}_]"
 _RUNS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
-_PHRASE = "struct<first:string,lead:string,core:string,tail:string,n:int>"
 
 
 def _parted(phrase: str) -> dict | None:
@@ -43,26 +53,25 @@ def _parted(phrase: str) -> dict | None:
     if not words:
         return None
     a, b = words[0], words[-1]
-    return {"first": runs[a], "lead": "".join(runs[:a]), "core": "".join(runs[a : b + 1]), "tail": "".join(runs[b + 1 :]), "n": b - a + 1}
+    return {"lead": "".join(runs[:a]), "core": "".join(runs[a : b + 1]), "tail": "".join(runs[b + 1 :]), "n": b - a + 1}
 
 
-def _found_at(t: Column, i: Column, p: Column) -> Column:
-    """Whether the phrase p begins at run i (from 0) of the runs t: words and what parts them, in turn."""
-    before, after = F.get(t, i - 1), F.get(t, i + p["n"])
-    lead = (p["lead"] == "") | (before.endswith(p["lead"]) & ((F.length(before) > F.length(p["lead"])) | (i == 1)))
-    tail = (p["tail"] == "") | (after.startswith(p["tail"]) & ((F.length(after) > F.length(p["tail"])) | (i + p["n"] == F.size(t) - 1)))
-    return F.coalesce((F.array_join(F.slice(t, i + 1, p["n"]), "") == p["core"]) & lead & tail, F.lit(False))
+@cache
+def _letters() -> np.ndarray:
+    return phrase_rules.word_characters()
 
 
-def _has_phrase(text: Column, phrases_at: Callable[[Column], Column]) -> Column:
-    """Whether a text in lower case has one of the phrases that `phrases_at` gives for a word, or null for none."""
-    runs = F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0))
+def _has_phrase(text: Column, parted: list[dict]) -> Column:
+    """Whether a text in lower case has one of the phrases."""
+    phrases, made = phrase_rules.Phrases.of(parted, _letters()), []
 
-    def any_of(t: Column) -> Column:
-        here = lambda i: F.coalesce(F.exists(phrases_at(F.get(t, i)), lambda p: _found_at(t, i, p)), F.lit(False))
-        return F.when(F.size(t) > 0, F.exists(F.sequence(F.lit(0), F.size(t) - 1), here)).otherwise(F.lit(False))
+    @F.arrow_udf("boolean")
+    def has(texts: pa.Array) -> pa.Array:
+        if not made:  # once in a task
+            made.append(phrases.finder())
+        return made[0].has_any(texts)
 
-    return F.exists(F.array(runs), any_of)  # one lambda holds the runs, so they are made once
+    return has(text)
 
 
 def match_keywords(
@@ -71,12 +80,12 @@ def match_keywords(
     text: str,
     keywords: list[str],
     max_pattern: int = MAX_PATTERN_KEYWORDS,
-    max_literal: int = MAX_LITERAL_ROWS,
+    max_literal: int = MAX_KNOWN_KEYWORDS,
 ) -> DataFrame:
     """Rows whose text has one of the keywords, words or phrases, as a whole, in any case; no keyword, no row.
 
-    A few keywords make one pattern. Many are known by their first word: each text is looked at once, word by word, and only where a
-    first word stands its phrases are compared, so ten thousand phrases cost a lookup for each word. Of more than a constant can hold,
+    A few keywords make one pattern. Many are known to every task: the words of a batch of texts are looked at once, and stretches of as many
+    words as phrases have are met by their hash, whatever the number of phrases. Of more than tasks should hold,
     a text's stretches of as many words are joined to them, those that their hash does not rule out. All ways give the same rows; no key
     is needed, and null and repeated ones change nothing.
     """
@@ -95,10 +104,7 @@ def match_keywords(
     known = [p for p in parted if p is not None]
     other = has(wordless) if wordless else F.lit(False)
     if len(known) <= max_literal:
-        index: dict[str, list[dict]] = {}
-        for p in known:
-            index.setdefault(p["first"], []).append(p)
-        return df.where(other | _has_phrase(low, constant_lookup(index, f"array<{_PHRASE}>")))
+        return df.where(other | _has_phrase(low, known)) if known else df.where(other)
     rows = [(p["core"], p["lead"], p["tail"]) for p in known]
     table = df.sparkSession.createDataFrame(rows, "core string, lead string, tail string")
     # Texts stay where they are; only what may be a phrase goes to the phrases, with the hash of its text.
